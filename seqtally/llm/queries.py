@@ -10,6 +10,7 @@ from seqtally.llm.bpe import encode_decode
 from seqtally.llm.common import table
 from seqtally.llm.digests import crc_of_ids
 from seqtally.llm.packing import pack
+from seqtally.llm.passages import remove_repeats
 from seqtally.llm.tokenfiles import read_tokens, write_tokens
 
 
@@ -17,6 +18,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, digest=True).drop("text")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc_of_ids(read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"))))
 
@@ -26,7 +32,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op7_token_files, op8_bpe)}
+    return {f.__name__: f for f in (op2_packing, op3_passages, op7_token_files, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
