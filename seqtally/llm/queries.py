@@ -11,6 +11,7 @@ from seqtally.llm.common import table
 from seqtally.llm.digests import crc_of_ids
 from seqtally.llm.packing import pack
 from seqtally.llm.passages import remove_repeats
+from seqtally.llm.simhash import near_duplicates
 from seqtally.llm.tokenfiles import read_tokens, write_tokens
 
 
@@ -31,8 +32,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_passages, op7_token_files, op8_bpe)}
+    return {f.__name__: f for f in (op2_packing, op3_passages, op7_token_files, op8_bpe, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
