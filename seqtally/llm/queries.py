@@ -11,10 +11,15 @@ from seqtally.llm.common import table
 from seqtally.llm.digests import crc_of_ids
 from seqtally.llm.packing import pack
 from seqtally.llm.passages import remove_repeats
+from seqtally.llm.sharding import shard_documents
 from seqtally.llm.simhash import near_duplicates
 from seqtally.llm.tokenfiles import read_tokens, write_tokens
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
@@ -37,7 +42,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_passages, op7_token_files, op8_bpe, op9_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op7_token_files, op8_bpe, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
