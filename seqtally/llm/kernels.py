@@ -90,8 +90,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: in
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of bytes other than 0x20 and 0x09-0x0D: starts, ends, document of each.
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes other than 0x20 and 0x09-0x0D (or of ``letters``): starts, ends, document of each.
 
     Those bytes never occur inside a longer UTF-8 sequence, so this is the split by code points as well.
     """
@@ -99,7 +99,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not n:
         e = np.empty(0, np.int64)
         return e, e, e
-    letter = ~_SPACE[data]
+    letter = ~_SPACE[data] if letters is None else letters[data]
     first = np.zeros(n + 1, bool)
     first[offsets[:-1]] = True  # a document's first byte never continues a word
     first = first[:n]
