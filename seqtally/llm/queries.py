@@ -11,9 +11,11 @@ from seqtally.llm.common import table
 from seqtally.llm.digests import crc_of_ids
 from seqtally.llm.packing import pack
 from seqtally.llm.passages import remove_repeats
+from seqtally.llm.pii import find_personal_data
 from seqtally.llm.sharding import shard_documents
 from seqtally.llm.simhash import near_duplicates
 from seqtally.llm.tokenfiles import read_tokens, write_tokens
+from seqtally.llm.toxicity import held_out, score, train
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,16 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, digest=True).drop("text")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc_of_ids(read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"))))
 
@@ -42,7 +54,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op7_token_files, op8_bpe, op9_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op4_toxicity, op6_personal_data, op7_token_files, op8_bpe, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
