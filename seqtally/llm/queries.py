@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seqtally.llm.bpe import encode_decode
 from seqtally.llm.common import table
 from seqtally.llm.digests import crc_of_ids
+from seqtally.llm.neighbours import near_vectors
 from seqtally.llm.packing import pack
 from seqtally.llm.passages import remove_repeats
 from seqtally.llm.pii import find_personal_data
@@ -53,8 +54,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op4_toxicity, op6_personal_data, op7_token_files, op8_bpe, op9_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op4_toxicity, op6_personal_data, op7_token_files, op8_bpe, op9_simhash, op10_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
