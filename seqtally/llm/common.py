@@ -32,7 +32,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and a lost executor costs nothing that is done."""
     spark = df.sparkSession
     path = path or scratch(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
