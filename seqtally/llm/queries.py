@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqtally.llm.bpe import encode_decode
+from seqtally.llm.chroma import align
 from seqtally.llm.common import table
 from seqtally.llm.digests import crc_of_ids
 from seqtally.llm.neighbours import near_vectors
@@ -38,6 +40,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: a document's bytes stand in for a recording with unsigned 8-bit samples."""
+    return align(table(spark, sf_dir, "documents"), "doc_id", F.encode("text", "UTF-8")).withColumnRenamed("id", "doc_id")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -59,7 +66,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op4_toxicity, op6_personal_data, op7_token_files, op8_bpe, op9_simhash, op10_vectors)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op4_toxicity, op5_chroma, op6_personal_data, op7_token_files, op8_bpe, op9_simhash, op10_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
