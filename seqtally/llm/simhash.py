@@ -37,6 +37,8 @@ SEED = 42
 SAMPLE = 4096
 #: Fingerprints of a bucket that are compared with each other in one task.
 MOST = 2048
+#: Buckets whose members agree on so many bits are not divided; they hold at most 2 ** (BITS - DIVIDED) fingerprints.
+DIVIDED = 50
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -269,7 +271,7 @@ def near_pairs(fps: DataFrame, parts: list[tuple[int, int]], distance: int = DIS
     rows, found = _buckets(fps, parts), None
     while True:
         sized = rows.groupBy("bits", "key").agg(F.count("*").alias("size"))
-        large = written(sized.filter(F.col("size") > most).select("bits", "key"))
+        large = written(sized.filter((F.col("size") > most) & (F.bit_count("bits") < DIVIDED)).select("bits", "key"))
         none = large.isEmpty()
         fit = rows if none else rows.join(large, ["bits", "key"], "left_anti")
         gathered = fit.groupBy("bits", "key").agg(F.collect_list(F.when(F.col("own"), F.col("fp"))).alias("own"), F.collect_list(F.when(~F.col("own"), F.col("fp"))).alias("probes"))
@@ -277,7 +279,8 @@ def near_pairs(fps: DataFrame, parts: list[tuple[int, int]], distance: int = DIS
         found = edges if found is None else found.unionByName(edges)
         if none:
             return found
-        rows = written(_divide(rows.join(large, ["bits", "key"]), distance))
+        # parts of different masks can make the same mask, so a row may come more than once
+        rows = written(_divide(rows.join(large, ["bits", "key"]), distance).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, most: int = MOST) -> DataFrame:

@@ -144,7 +144,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
         name = f"{base}/tokens-{part:06d}.zst"
         part_name = f"{base}/_{part:06d}-{task.taskAttemptId()}"
         n_docs = n_tokens = 0
-        with fs.open_output_stream(part_name) as out:
+        with fs.open_output_stream(part_name, compression=None) as out:
             w = Writer(out, width)
             for batch in it:
                 for i in range(0, batch.num_rows, 256):
