@@ -10,6 +10,12 @@ from seqtally.plans.template import Template
 from seqtally.schema import Strand
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out where a scan has fewer pieces than there are cores: windows are many times the reads."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def constant_mismatches(window: Column, template: Template, reverse: bool) -> Column:
     """Constant bases that a window of the template's length doesn't have; each base that isn't ACGT is one."""
     out = F.lit(0)
@@ -44,25 +50,26 @@ def candidates(reads: DataFrame, template: Template, max_mismatches: int, strand
     """
     n = len(template)
     flags = strand.reversed_flags
-    fit = reads.filter(F.length(seq) >= n).select(*keys, F.col(seq).alias("_seq"))
-    slid = fit.select(*keys, "_seq", F.explode(F.sequence(F.lit(0), F.length("_seq") - n)).alias("position"))
-    slid = slid.withColumn("_raw", F.expr(f"substring(_seq, position + 1, {n})")).withColumn("_window", F.upper("_raw"))
+    fit = reads.filter(F.length(seq) >= n).select(*keys, F.col(seq).alias("_seq"), F.upper(seq).alias("_upper"))
+    # windows are cut in the generator: as its output they are made once, whatever tests refer to them
+    places = F.transform(F.sequence(F.lit(0), F.length("_seq") - n), lambda p: F.struct(p.alias("position"), F.substr("_upper", p + 1, F.lit(n)).alias("window")))
+    slid = fit.select(*keys, "_seq", F.explode(places).alias("_at")).select(*keys, "_seq", F.col("_at.position").alias("position"), F.col("_at.window").alias("_window"))
+    window = F.col("_window")
+    quick = [_fits(window, template, r, max_mismatches) for r in flags]
+    if all(q is not None for q in quick):
+        slid = slid.filter(quick[0] if len(quick) == 1 else quick[0] | quick[1])
+    count = [constant_mismatches(window, template, r) for r in flags]
     if len(flags) == 1:
-        slid = slid.withColumn("reverse", F.lit(flags[0]))
-        count = constant_mismatches(F.col("_window"), template, flags[0])
-        quick = _fits(F.col("_window"), template, flags[0], max_mismatches)
+        hits = slid.withColumn("reverse", F.lit(flags[0])).withColumn("constant_mismatches", count[0])
     else:
-        slid = slid.withColumn("reverse", F.explode(F.array(F.lit(False), F.lit(True))))
-        count = F.when(F.col("reverse"), constant_mismatches(F.col("_window"), template, True)).otherwise(constant_mismatches(F.col("_window"), template, False))
-        fwd, rev = (_fits(F.col("_window"), template, r, max_mismatches) for r in (False, True))
-        quick = None if fwd is None or rev is None else F.when(F.col("reverse"), rev).otherwise(fwd)
-    if quick is not None:
-        slid = slid.filter(quick)
-    hits = slid.withColumn("constant_mismatches", count).filter(F.col("constant_mismatches") <= max_mismatches)
+        sides = F.array(*[F.struct(F.lit(r).alias("reverse"), c.alias("constant_mismatches")) for r, c in zip(flags, count, strict=True)])
+        hits = slid.select("*", F.explode(sides).alias("_side")).select("*", "_side.*")
+    hits = hits.filter(F.col("constant_mismatches") <= max_mismatches)
+    whole = F.expr(f"substring(_seq, position + 1, {n})") if raw else window
     regions = []
     for i, (s, e) in enumerate(template.regions):
-        forward = F.substring("_raw", s + 1, e - s)
-        backward = F.substring("_raw", n - e + 1, e - s)
+        forward = F.substring(whole, s + 1, e - s)
+        backward = F.substring(whole, n - e + 1, e - s)
         backward = reverse_complement(backward, strict=True, allow_iupac=False) if raw else reverse_complement(backward)
         v = forward if flags == (False,) else backward if flags == (True,) else F.when(F.col("reverse"), backward).otherwise(forward)
         regions.append((v if raw else canonical(v)).alias(f"v{i}"))

@@ -10,6 +10,8 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqtally.operators.scan import spread
+
 POOL1, POOL2 = 24, 12
 #: Templates of one region, of two, of three, and for either read of a pair.
 ONE, TWO, THREE = "ACGT--------CGGC", "ACGT--------CGGC------TTGA", "ACGT--------CGGC------TTGA----GG"
@@ -102,7 +104,7 @@ ASYMMETRIC_SQL = f"select {K} as read_id, {asymmetric()} as seq from orders"
 
 
 def _from_orders(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(f"{K} as read_id", *columns)
+    return spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(K)).selectExpr(f"{K} as read_id", *columns)
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
