@@ -138,7 +138,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"node": [], "n_links": [], "roots": []})
+            return pd.DataFrame({"node": [], "n_links": [], "roots": []}, dtype=object)
         node = right["node"].to_numpy(np.int64)
         counts, roots, edges, _ = query_block(left.iloc[0].to_dict(), node, np.stack([np.asarray(v, np.float64) for v in right["vector"]]), least)
         return pd.DataFrame({"node": [*node.tolist(), *(a for a, _ in edges)], "n_links": counts + [0] * len(edges), "roots": roots + [[b] for _, b in edges]})

@@ -64,7 +64,7 @@ def test_interactions_are_learnt():
         rows.append(np.array([*([11] if a else []), *([22] if b else []), 1000 + int(rng.integers(50))]))
         label.append(int(a and b))
     m = toxicity.fit(rows, np.array(label))
-    score = lambda f: float(m.score(1, np.zeros(len(f), np.int64), np.array(f))[0])
+    score = lambda f: float(m.score(1, np.zeros(len(f), np.int64), np.array(f, np.int64))[0])
     assert score([11, 22]) > 0.8 and score([11]) < 0.3 and score([22]) < 0.3 and score([]) < 0.3
 
 
