@@ -69,5 +69,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op4_toxicity, op5_chroma, op6_personal_data, op7_token_files, op8_bpe, op9_simhash, op10_vectors)}
 
 
+#: op3: every window of 13 words, the smallest document that has it, and the words under windows of a smaller one.
+OP3_SQL = r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from docs),
+windows as (select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from docs where len(w) >= 13)),
+firsts as (select g, min(doc_id) as least from windows group by g),
+gone as (select doc_id, i from windows join firsts using (g) where least < doc_id),
+covered as (select words.doc_id, word, words.i, max(gone.i) over (partition by words.doc_id order by words.i rows between 12 preceding and current row) is not null as removed
+ from words left join gone on gone.doc_id = words.doc_id and gone.i = words.i),
+sums as (select doc_id, count(*) as n, count(*) filter (removed) as r, coalesce(string_agg(word, ' ' order by i) filter (not removed), '') as kept from covered group by doc_id)
+select docs.doc_id, coalesce(n, 0) as n_words, coalesce(r, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from docs left join sums using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries need tokenizers, trained models, XXH64 or graph searches; tests hold them against brute force."""
+    return {"op3_passages": OP3_SQL}
