@@ -91,16 +91,16 @@ add("hamming_distance", lambda s, d: orders(s, d).selectExpr("o_orderkey", f"{PL
 
 # --- pools -------------------------------------------------------------------------------------
 
-# a pool of 3,000 sequences with IUPAC codes and repeats
-POOL_EXPR = "substr(translate(md5(cast(o_orderkey % 1500 as string)), '0123456789abcdef', 'AACCGGTTAACCRYAN'), 1, 5)"
-_EXPANDED = f"""pool as (select cast(o_orderkey as integer) as idx, {POOL_EXPR} as seq from orders where o_orderkey < 3000),
+# a pool of one sequence for each order, with IUPAC codes and repeats
+POOL_EXPR = "substr(translate(md5(cast(o_orderkey as string)), '0123456789abcdef', 'AACCGGTTAACCRYAN'), 1, 5)"
+_EXPANDED = f"""pool as (select cast(o_orderkey as integer) as idx, {POOL_EXPR} as seq from orders),
 code as (select * from (values ('A','A'),('C','C'),('G','G'),('T','T'),('R','A'),('R','G'),('Y','C'),('Y','T'),('N','A'),('N','C'),('N','G'),('N','T')) t(k, b)),
 expanded as (select idx, c1.b || c2.b || c3.b || c4.b || c5.b as expanded from pool
  join code c1 on c1.k = substr(seq,1,1) join code c2 on c2.k = substr(seq,2,1) join code c3 on c3.k = substr(seq,3,1) join code c4 on c4.k = substr(seq,4,1) join code c5 on c5.k = substr(seq,5,1))"""
 
 
 def pool_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders(spark, sf_dir).filter("o_orderkey < 3000").selectExpr("cast(o_orderkey as int) as idx", f"{POOL_EXPR} as seq")
+    return orders(spark, sf_dir).selectExpr("cast(o_orderkey as int) as idx", f"{POOL_EXPR} as seq")
 
 
 add("pool_iupac_expand", lambda s, d: expand_iupac(pool_table(s, d)).select("idx", "expanded"), f"with {_EXPANDED} select idx, expanded from expanded")
