@@ -126,7 +126,8 @@ def write_tokens(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
 
     Returns the manifest, in order: file, path, documents, tokens and the number of ids before it;
     it has a row for each file.  A null text is empty; rows with equal ids stand together; null ids
-    come first.  A file appears under its name when it is whole, so a repeated task does no harm.
+    come first.  Each attempt of a task writes a file of its own name, and the manifest holds those of the
+    attempts that counted, so a repeated task does no harm; what a lost attempt left is never read.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark)
@@ -141,10 +142,9 @@ def write_tokens(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
         part = task.partitionId()
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
-        name = f"{base}/tokens-{part:06d}.zst"
-        part_name = f"{base}/_{part:06d}-{task.taskAttemptId()}"
+        name = f"tokens-{part:06d}-{task.taskAttemptId()}.zst"
         n_docs = n_tokens = 0
-        with fs.open_output_stream(part_name, compression=None) as out:
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
             w = Writer(out, width)
             for batch in it:
                 for i in range(0, batch.num_rows, 256):
@@ -155,8 +155,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
                     w.add(piece.column(0).to_pylist(), ids, np.diff(offsets))
                     n_docs, n_tokens = n_docs + piece.num_rows, n_tokens + len(ids)
             w.close(id_type)
-        fs.move(part_name, name)
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/tokens-{part:06d}.zst"]), pa.array([n_docs]), pa.array([n_tokens])], schema=arrow_schema(schema))
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/{name}"]), pa.array([n_docs]), pa.array([n_tokens])], schema=arrow_schema(schema))
 
     rows = source.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(write, schema).collect()
     out, start = [], 0
