@@ -34,7 +34,9 @@ _FOUND = "node long, n_links long, roots array<long>"
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a power of two is taken out first, so that no square over- or underflows."""
     x = raw.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
