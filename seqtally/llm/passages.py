@@ -296,11 +296,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 anchors = _Anchors(opened(payload.as_py(), 1)[1], parts, window, block)
                 aligned, several = anchors.flags()
                 out = []
-                for p in range(parts):
+                for p in np.flatnonzero(np.diff(anchors.bounds)).tolist():
                     i, j = anchors.bounds[p], anchors.bounds[p + 1]
-                    if i < j:
-                        raw = _planes(_deltas((anchors.key[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32))) + np.packbits(aligned[i:j]).tobytes() + np.packbits(several[i:j]).tobytes()
-                        out.append((p, chunk, int(j - i), zstd.compress(raw)))
+                    raw = _planes(_deltas((anchors.key[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32))) + np.packbits(aligned[i:j]).tobytes() + np.packbits(several[i:j]).tobytes()
+                    out.append((p, chunk, int(j - i), zstd.compress(raw)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
 
@@ -310,11 +309,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows, w = opened(payload, 2)
             anchors = _Anchors(w, parts, window, block)
             found = _Windows(w, _ids(rows, id_at), anchors.candidates(_bits(right, anchors.bounds), window), parts, window)
-            for p in range(parts):
+            for p in np.flatnonzero(np.diff(found.bounds)).tolist():
                 i, j = found.bounds[p], found.bounds[p + 1]
-                if i < j:
-                    raw = _planes(_deltas(found.a[i:j])) + _planes(found.b[i:j]) + _planes(found.least[i:j])
-                    out.append((p, chunk, int(j - i), zstd.compress(raw)))
+                raw = _planes(_deltas(found.a[i:j])) + _planes(found.b[i:j]) + _planes(found.least[i:j])
+                out.append((p, chunk, int(j - i), zstd.compress(raw)))
         return pd.DataFrame(out, columns=["part", "chunk", "n", "payload"])
 
     out_schema = T.StructType([*docs.schema.fields, *new])
