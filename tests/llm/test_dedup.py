@@ -13,7 +13,8 @@ from seqtally.llm.queries import queries
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute_passages(rows, window=13):
+def brute_kept(rows, window=13):
+    """(doc_id, words, words removed, kept text) of each row, in order."""
     words = [WORD.findall(t or "") for _, t in rows]
     ids = [float("inf") if d is None else d for d, _ in rows]
     first = {}
@@ -28,8 +29,12 @@ def brute_passages(rows, window=13):
             if first[tuple(w[i : i + window])] < d:
                 gone.update(range(i, i + window))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        out.append((str(doc_id), len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    return sorted(out)
+        out.append((doc_id, len(w), len(gone), kept))
+    return out
+
+
+def brute_passages(rows, window=13):
+    return sorted((str(d), n, gone, hashlib.sha256(kept.encode()).hexdigest()) for d, n, gone, kept in brute_kept(rows, window))
 
 
 @pytest.mark.parametrize("name", ["edge", "documents", "clashing"])

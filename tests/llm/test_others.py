@@ -272,6 +272,15 @@ def test_vectors_against_brute_force(spark):
     assert got == brute_vectors(rows)
 
 
+def test_lengths_whose_squares_leave_the_range(spark):
+    """Only directions count, so scaled by powers of two all links are those of the plain vectors."""
+    rows = [(i, v) for i, (_, v) in enumerate(vector_rows()[:40])]
+    scaled = [(i, [x * 2.0 ** (700 if i % 2 else -700) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(scaled, "vec_id long, embedding array<double>")
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in neighbours.near_vectors(df, shards=2).collect())
+    assert got == brute_vectors(rows) and any(r[1] for r in got)
+
+
 def test_vectors_of_an_empty_table(spark):
     assert neighbours.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

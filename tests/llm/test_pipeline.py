@@ -1,6 +1,11 @@
+import pyarrow as pa
 import pytest
+from test_dedup import brute_groups, brute_kept
+from test_tokens import check_packing
 
 import corpus_pipeline as cp
+from seqtally.llm import pii, toxicity
+from seqtally.llm.kernels import column_bytes
 from seqtally.llm.packing import pack
 
 
@@ -28,9 +33,41 @@ def test_stages_with_edge_cases(spark, sf, edge, none, k):
     assert stage(spark, none, sf).count() == 0
 
 
-def test_run(spark, sf):
+def masked(text, model):
+    """Spans cut from the end, so that those before keep their places; overlapping ones as one, of the first's kind."""
+    _, (spans,) = pii.find(*column_bytes(pa.array([text])), model)
+    whole = []
+    for a, kind, b in spans:
+        if whole and a < whole[-1][2]:
+            whole[-1][2] = max(whole[-1][2], b)
+        else:
+            whole.append([a, kind, b])
+    for a, kind, b in reversed(whole):
+        text = f"{text[:a]}<{pii.KINDS[kind]}>{text[b:]}"
+    return text
+
+
+def test_run_against_brute_force(spark, sf, documents):
+    """Every stage again, one text at a time; the model of toxicity and the random field are the trained ones."""
+    model = toxicity.train(documents, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = [(r["doc_id"], r["text"]) for r in documents.orderBy("doc_id").collect()]
+    n = len(rows)
+    rows = [(d, t) for d, t in rows if model.score(1, *toxicity.features(*column_bytes(pa.array([t or ""]))))[0] < 0.3]
+    assert len(rows) < n
+    n, least = len(rows), {d: component for d, _, component in brute_groups(rows)}
+    rows = [(d, t) for d, t in rows if least[str(d)] == str(d)]
+    assert len(rows) < n
+    cut = brute_kept(rows)
+    assert any(gone for _, _, gone, _ in cut)
+    rows = [(d, kept if gone else t) for (d, t), (_, _, gone, kept) in zip(rows, cut, strict=True)]
+    field = pii.train()
+    clean = [(d, t if t is None else masked(t, field)) for d, t in rows]
+    assert clean != rows
     df = cp.run(spark, sf)
-    assert df.columns == pack(spark.read.parquet(f"{sf}/documents.parquet")).columns and df.count() > 0
+    assert df.columns == pack(documents).columns
+    got = df.collect()
+    assert {r["doc_id"] for r in got} == {d for d, _ in clean}
+    assert check_packing(spark.createDataFrame(clean, "doc_id long, text string"), got) < 0.01
 
 
 def test_near_dedup_keeps_one_of_each_group(spark, sf):
