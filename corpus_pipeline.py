@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, SimHash near duplicates, repeated passages, personal data, packing."""
+"""The corpus pipeline: toxicity, near copies, repeated passages, personal data, packing."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqtally.llm.common import scratch, table
+from seqtally.llm.copies import near_copies
 from seqtally.llm.packing import pack
 from seqtally.llm.passages import remove_repeats
 from seqtally.llm.pii import find_personal_data
-from seqtally.llm.simhash import near_duplicates
 from seqtally.llm.toxicity import score, train
 
 
@@ -20,11 +20,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays.
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id stays.
 
     Documents with a null id, which can't be told apart, stay.
     """
-    groups = near_duplicates(docs)
+    groups = near_copies(docs)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,33 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components didn't settle")
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], stars: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(accepted pairs, (node, root) of each node in one) among the nodes that share a key of members (key, node).
+
+    ``compare`` takes distinct pairs (a, b) and gives those accepted, with columns of its own.  A star compares the nodes
+    of each key with one of them, which unites a large group at a cost of its size.  Then every two nodes that
+    share a key and are not united yet are compared, so any two are either in one component or were rejected.
+    """
+    rows, accepted, roots = members.select("key", "node"), None, None
+    for k in range(stars + 1):
+        now = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        now = written(now.join(apart, "key").select("key", "node", "root"))
+        if now.isEmpty():
+            break
+        if k < stars:
+            order = F.struct("node") if not k else F.struct(F.xxhash64("root", F.lit(k)).alias("h"), "node")
+            heads = now.groupBy("key").agg(F.min_by(F.struct("node", "root"), order).alias("head"))
+            pairs = now.join(heads, "key").filter("root <> head.root").select(F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b"))
+        else:
+            other = now.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
+            pairs = now.withColumnRenamed("node", "a").join(other, "key").filter("a > b and root <> other").select("a", "b")
+        found = written(compare(pairs.distinct()))
+        accepted = found if accepted is None else accepted.unionByName(found)
+        roots = written(components(accepted))
+    if accepted is None:
+        accepted = compare(rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+        roots = components(accepted)
+    return accepted, roots
