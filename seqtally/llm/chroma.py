@@ -6,10 +6,9 @@ integral image; each comparison is quantised to two bits, so a place becomes one
 Two recordings are aligned by the histogram of offsets between places with equal landmarks (two packed
 integers in a row), and accepted by the share of bits that differ over the overlap at the best offset.
 
-Every landmark names one recording, the first that has it, and other recordings are aligned with that one.
-So the work grows with the number of landmarks, whatever part of the recordings share one; accepted
-alignments are united into components.  Two recordings that share landmarks only with a third one that
-is accepted for neither are not compared.
+Recordings that share a landmark are first aligned with one of them, so a large group of copies costs its size;
+accepted alignments are united into components.  Then every two that share a landmark and are in different
+components are aligned, by all landmarks they share.  So two recordings that share a landmark are either united or rejected.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqtally.llm.common import arrow_schema, field, written
-from seqtally.llm.components import components
+from seqtally.llm.components import linked
 
 #: Samples of a frame and between frames; frames that a packed integer covers; pitch classes.
 FRAME, HOP, SPAN, CLASSES = 128, 64, 16, 12
@@ -167,24 +166,30 @@ def align(table: DataFrame, id_col: str, audio: Column, least_votes: int = LEAST
     """One row for each recording: id, n_values, values_crc32, class_id, n_aligned, match_id, shift, votes,
     error, component_id.
 
-    class_id: the smallest id with the same packed integers.  n_aligned: accepted alignments with recordings
-    of other classes that are the first to have one of its landmarks; match_id, shift (in frames), votes and error:
-    the one with the least error (then most votes, smallest id).  component_id: the smallest id reachable.
+    class_id: the smallest id with the same packed integers.  n_aligned: accepted alignments with earlier
+    recordings of other classes, without those not needed to find the component; match_id, shift (in frames), votes and
+    error: the one with the least error (then most votes, smallest id).  component_id: the smallest id reachable.
     A recording too short for a packed integer, empty or null, is in no class but its own.  A null id is kept, and
     counts as no id.  Repeated rows are one class.  Extra columns are not read.  An empty table gives no rows.
     """
     prints = written(fingerprints(table, id_col, audio).withColumn("row", F.monotonically_increasing_id()).withColumn("class_key", F.when(F.col("n_values") > 0, F.sha2("vals", 256)).otherwise(F.col("row").cast("string"))))
     classes = written(prints.groupBy("class_key").agg(F.min("id").alias("class_id"), F.min("row").alias("class"), F.first("vals").alias("vals")))
-    marks = classes.select("class", "vals").mapInArrow(_landmarks, "class long, place int, landmark long")
-    marks = written(marks)
-    first = marks.groupBy("landmark").agg(F.min(F.struct("class", "place")).alias("f"))
-    votes = marks.join(first, "landmark").filter(F.col("class") != F.col("f.class")).groupBy("class", F.col("f.class").alias("first"), (F.col("place") - F.col("f.place")).alias("shift")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("class", "first").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("near"), "shift")).alias("b")).filter(F.col("b.votes") >= least_votes)
-    best = best.select("class", "first", F.col("b.shift").cast("int").alias("shift"), F.col("b.votes").alias("votes"))
+    marks = written(classes.select("class", "vals").mapInArrow(_landmarks, "class long, place int, landmark long"))
+    several = marks.groupBy("landmark").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("landmark")
+    shared = written(marks.join(several, "landmark"))
     side = lambda c, v: classes.select(F.col("class").alias(c), F.col("vals").alias(v))
-    pairs = best.join(side("class", "a"), "class").join(side("first", "b"), "first").select("class", "first", "shift", "votes", "a", "b")
-    found = written(pairs.mapInArrow(_compare, "class long, first long, shift int, votes long, error double, overlap long").filter(F.col("error") <= most_error))
-    roots = components(found.select(F.col("class").alias("a"), F.col("first").alias("b")))
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        ours = shared.select(F.col("class").alias("a"), "landmark", "place")
+        theirs = shared.select(F.col("class").alias("b"), "landmark", F.col("place").alias("other"))
+        votes = pairs.join(ours, "a").join(theirs, ["b", "landmark"]).groupBy(F.col("a").alias("class"), F.col("b").alias("first"), (F.col("place") - F.col("other")).alias("shift")).agg(F.count("*").alias("votes"))
+        best = votes.groupBy("class", "first").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("near"), "shift")).alias("b")).filter(F.col("b.votes") >= least_votes)
+        best = best.select("class", "first", F.col("b.shift").cast("int").alias("shift"), F.col("b.votes").alias("votes"))
+        sides = best.join(side("class", "a"), "class").join(side("first", "b"), "first").select("class", "first", "shift", "votes", "a", "b")
+        found = sides.mapInArrow(_compare, "class long, first long, shift int, votes long, error double, overlap long").filter(F.col("error") <= most_error)
+        return found.withColumns({"a": F.col("class"), "b": F.col("first")})
+
+    found, roots = linked(shared.select(F.col("landmark").alias("key"), F.col("class").alias("node")), compare)
     names = classes.select(F.col("class").alias("first"), F.col("class_id").alias("match_id"))
     top = found.join(names, "first").groupBy("class").agg(F.count("*").alias("n_aligned"), F.min(F.struct("error", (-F.col("votes")).alias("v"), "match_id", "shift")).alias("m"))
     known = classes.select("class_key", "class", "class_id").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")

@@ -195,6 +195,23 @@ def test_a_cut_of_a_recording_is_aligned(spark):
     assert [got[k]["n_values"] for k in (5, 6, 7)] == [0, 0, 0] and got[5]["class_id"] == 5
 
 
+def test_copies_whose_landmarks_others_have_first_are_compared(spark):
+    """7 and 8 are near copies, of the parts that 1 and 2 have; neither is accepted with 1 or 2 over the whole overlap."""
+    rng = np.random.default_rng(7)
+    noise = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    one, two = noise(6), noise(6)
+    p = np.concatenate([one, noise(200), two])
+    q = p.copy()
+    q[6:206] ^= np.uint32(1)
+    prints = {1: np.concatenate([noise(300), one, noise(300)]), 2: np.concatenate([noise(300), two, noise(300)]), 7: p, 8: q}
+    table = spark.createDataFrame([(k, bytes(v.astype("<u4"))) for k, v in prints.items()], "id long, audio binary").coalesce(1)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(chroma, "fingerprints", lambda t, *_: t.select("id", F.expr("length(audio) div 4").alias("n_values"), F.col("audio").alias("vals")))
+        got = {r["id"]: r for r in chroma.align(table, "id", F.col("audio")).collect()}
+    assert [got[k]["component_id"] for k in (1, 2, 7, 8)] == [1, 2, 7, 7]
+    assert got[8]["match_id"] == 7 and got[8]["shift"] == 0 and got[8]["votes"] == 10
+
+
 def test_filters_come_from_the_integral_image():
     frames = np.abs(np.random.default_rng(0).normal(size=(20, 12))).astype(np.float32)
     want = []
