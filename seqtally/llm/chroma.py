@@ -13,6 +13,7 @@ components are aligned, by all landmarks they share.  So two recordings that sha
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -126,17 +127,19 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
 
 
 def fingerprints(table: DataFrame, id_col: str, audio: Column) -> DataFrame:
-    """id, n_values and values (little-endian unsigned 32-bit) of each recording."""
+    """id, n_values, values (little-endian unsigned 32-bit) and, where there are samples but no values, a digest of the samples."""
     source = table.select(F.col(id_col).alias("id"), audio.cast("binary").alias("audio"))
-    schema = T.StructType([field(source, "id"), T.StructField("n_values", T.LongType()), T.StructField("vals", T.BinaryType())])
+    schema = T.StructType([field(source, "id"), T.StructField("n_values", T.LongType()), T.StructField("vals", T.BinaryType()), T.StructField("samples", T.StringType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
         for whole in it:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
-                values = [fingerprint(x.as_py() or b"") for x in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(target.field(0).type), pa.array([len(v) for v in values], pa.int64()), pa.array([v.astype("<u4").tobytes() for v in values], pa.binary())], schema=target)
+                sounds = [decode(x.as_py() or b"") for x in batch.column(1)]
+                values = [packed(chroma(x)) for x in sounds]
+                short = [hashlib.sha256(x.tobytes()).hexdigest() if len(x) and not len(v) else None for x, v in zip(sounds, values, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(target.field(0).type), pa.array([len(v) for v in values], pa.int64()), pa.array([v.astype("<u4").tobytes() for v in values], pa.binary()), pa.array(short, pa.string())], schema=target)
 
     return source.mapInArrow(run, schema)
 
@@ -169,10 +172,11 @@ def align(table: DataFrame, id_col: str, audio: Column, least_votes: int = LEAST
     class_id: the smallest id with the same packed integers.  n_aligned: accepted alignments with earlier
     recordings of other classes, without those not needed to find the component; match_id, shift (in frames), votes and
     error: the one with the least error (then most votes, smallest id).  component_id: the smallest id reachable.
-    A recording too short for a packed integer, empty or null, is in no class but its own.  A null id is kept, and
+    A recording too short for a packed integer is in no class but its own; its component_id is the smallest id with equal
+    samples.  One without samples, or null, is in a component of its own.  A null id is kept, and
     counts as no id.  Repeated rows are one class.  Extra columns are not read.  An empty table gives no rows.
     """
-    prints = written(fingerprints(table, id_col, audio).withColumn("row", F.monotonically_increasing_id()).withColumn("class_key", F.when(F.col("n_values") > 0, F.sha2("vals", 256)).otherwise(F.col("row").cast("string"))))
+    prints = written(fingerprints(table, id_col, audio).withColumn("row", F.monotonically_increasing_id()).withColumn("class_key", F.when(F.col("n_values") > 0, F.sha2("vals", 256)).otherwise(F.coalesce(F.concat(F.lit("samples "), "samples"), F.col("row").cast("string")))))
     classes = written(prints.groupBy("class_key").agg(F.min("id").alias("class_id"), F.min("row").alias("class"), F.first("vals").alias("vals")))
     marks = written(classes.select("class", "vals").mapInArrow(_landmarks, "class long, place int, landmark long"))
     several = marks.groupBy("landmark").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("landmark")
@@ -196,4 +200,4 @@ def align(table: DataFrame, id_col: str, audio: Column, least_votes: int = LEAST
     known = written(known.join(top, "class", "left"))
     parts = known.groupBy("root").agg(F.min("class_id").alias("component_id"))
     final = known.join(parts, "root").select("class_key", "class_id", F.coalesce("n_aligned", F.lit(0)).alias("n_aligned"), "m", "component_id")
-    return prints.select("id", "n_values", F.crc32("vals").alias("values_crc32"), "class_key").join(final, "class_key").select("id", "n_values", "values_crc32", "class_id", "n_aligned", F.col("m.match_id").alias("match_id"), F.col("m.shift").alias("shift"), (-F.col("m.v")).alias("votes"), F.col("m.error").alias("error"), "component_id")
+    return prints.select("id", "n_values", F.crc32("vals").alias("values_crc32"), "class_key").join(final, "class_key").select("id", "n_values", "values_crc32", F.when(F.col("n_values") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), "n_aligned", F.col("m.match_id").alias("match_id"), F.col("m.shift").alias("shift"), (-F.col("m.v")).alias("votes"), F.col("m.error").alias("error"), "component_id")

@@ -206,12 +206,20 @@ def test_copies_whose_landmarks_others_have_first_are_compared(spark):
     prints = {1: np.concatenate([noise(300), one, noise(300)]), 2: np.concatenate([noise(300), two, noise(300)]), 7: p, 8: q}
     table = spark.createDataFrame([(k, bytes(v.astype("<u4"))) for k, v in prints.items()], "id long, audio binary").coalesce(1)
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(chroma, "fingerprints", lambda t, *_: t.select("id", F.expr("length(audio) div 4").alias("n_values"), F.col("audio").alias("vals")))
+        patch.setattr(chroma, "fingerprints", lambda t, *_: t.select("id", F.expr("length(audio) div 4").alias("n_values"), F.col("audio").alias("vals"), F.lit(None).cast("string").alias("samples")))
         got = {r["id"]: r for r in chroma.align(table, "id", F.col("audio")).collect()}
     assert [got[k]["component_id"] for k in (1, 2, 7, 8)] == [1, 2, 7, 7]
     assert got[8]["match_id"] == 7 and got[8]["shift"] == 0 and got[8]["votes"] == 10
 
 
+def test_equal_short_recordings_share_a_component(spark):
+    short = bytes(range(200)) * 5
+    rows = [(4, short), (2, short), (3, short[:-1]), (5, b""), (6, b""), (7, None), (8, None), (9, wav(np.arange(-50, 50) / 100)), (10, wav(np.arange(-50, 50) / 100)), (None, short)]
+    got = {r["id"]: r for r in chroma.align(spark.createDataFrame(rows, "id long, audio binary"), "id", F.col("audio")).collect()}
+    assert len(got) == len(rows) and not any(r["n_values"] for r in got.values())
+    assert {k: r["component_id"] for k, r in got.items()} == {4: 2, 2: 2, 3: 3, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9, 10: 9, None: 2}
+
+
 def test_filters_come_from_the_integral_image():
     frames = np.abs(np.random.default_rng(0).normal(size=(20, 12))).astype(np.float32)
     want = []
