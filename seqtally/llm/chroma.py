@@ -145,17 +145,22 @@ def fingerprints(table: DataFrame, id_col: str, audio: Column) -> DataFrame:
 
 
 def _landmarks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first place of each distinct landmark, how many places in a row from there have it, and whether it is the only one."""
     for batch in it:
-        cls, place, key = [], [], []
+        cls, place, key, run, only = [], [], [], [], []
         for c, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             v = np.frombuffer(raw.as_py(), "<u4").astype(np.uint64)
             if len(v) > 1:
-                k, first = np.unique(v[:-1] << np.uint64(32) | v[1:], return_index=True)
+                marks = v[:-1] << np.uint64(32) | v[1:]
+                k, first = np.unique(marks, return_index=True)
+                change = np.append(np.flatnonzero(marks[1:] != marks[:-1]) + 1, len(marks))
                 cls.append(np.full(len(k), c, np.int64))
                 place.append(first.astype(np.int32))
                 key.append(k.view(np.int64))
+                run.append((change[np.searchsorted(change, first, "right")] - first).astype(np.int32))
+                only.append(np.full(len(k), len(k) == 1))
         if cls:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cls, place, key)], names=["class", "place", "landmark"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cls, place, key, run, only)], names=["class", "place", "landmark", "run", "only"])
 
 
 def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,22 +176,26 @@ def align(table: DataFrame, id_col: str, audio: Column, least_votes: int = LEAST
 
     class_id: the smallest id with the same packed integers.  n_aligned: accepted alignments with earlier
     recordings of other classes, without those not needed to find the component; match_id, shift (in frames), votes and
-    error: the one with the least error (then most votes, smallest id).  component_id: the smallest id reachable.
+    error: the one with the least error (then most votes, smallest id).  Votes are distinct landmarks, or for a recording
+    with a single one the places in a row that have it.  component_id: the smallest id reachable.
     A recording too short for a packed integer is in no class but its own; its component_id is the smallest id with equal
     samples.  One without samples, or null, is in a component of its own.  A null id is kept, and
     counts as no id.  Repeated rows are one class.  Extra columns are not read.  An empty table gives no rows.
     """
     prints = written(fingerprints(table, id_col, audio).withColumn("row", F.monotonically_increasing_id()).withColumn("class_key", F.when(F.col("n_values") > 0, F.sha2("vals", 256)).otherwise(F.coalesce(F.concat(F.lit("samples "), "samples"), F.col("row").cast("string")))))
     classes = written(prints.groupBy("class_key").agg(F.min("id").alias("class_id"), F.min("row").alias("class"), F.first("vals").alias("vals")))
-    marks = written(classes.select("class", "vals").mapInArrow(_landmarks, "class long, place int, landmark long"))
+    marks = written(classes.select("class", "vals").mapInArrow(_landmarks, "class long, place int, landmark long, run int, only boolean"))
     several = marks.groupBy("landmark").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("landmark")
     shared = written(marks.join(several, "landmark"))
     side = lambda c, v: classes.select(F.col("class").alias(c), F.col("vals").alias(v))
 
     def compare(pairs: DataFrame) -> DataFrame:
-        ours = shared.select(F.col("class").alias("a"), "landmark", "place")
-        theirs = shared.select(F.col("class").alias("b"), "landmark", F.col("place").alias("other"))
-        votes = pairs.join(ours, "a").join(theirs, ["b", "landmark"]).groupBy(F.col("a").alias("class"), F.col("b").alias("first"), (F.col("place") - F.col("other")).alias("shift")).agg(F.count("*").alias("votes"))
+        ours = shared.select(F.col("class").alias("a"), "landmark", "place", "run", "only")
+        theirs = shared.select(F.col("class").alias("b"), "landmark", F.col("place").alias("other"), F.col("run").alias("run_b"), F.col("only").alias("only_b"))
+        votes = pairs.join(ours, "a").join(theirs, ["b", "landmark"]).groupBy(F.col("a").alias("class"), F.col("b").alias("first"), (F.col("place") - F.col("other")).alias("shift"))
+        # a steady sound has one landmark: its places vote, of others only distinct landmarks do, so that pauses don't outvote them
+        votes = votes.agg(F.count("*").alias("marks"), F.max(F.when(F.col("only") | F.col("only_b"), F.least("run", "run_b"))).alias("steady"))
+        votes = votes.withColumn("votes", F.greatest("marks", F.col("steady").cast("long")))
         best = votes.groupBy("class", "first").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("near"), "shift")).alias("b")).filter(F.col("b.votes") >= least_votes)
         best = best.select("class", "first", F.col("b.shift").cast("int").alias("shift"), F.col("b.votes").alias("votes"))
         sides = best.join(side("class", "a"), "class").join(side("first", "b"), "first").select("class", "first", "shift", "votes", "a", "b")

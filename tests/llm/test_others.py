@@ -220,6 +220,14 @@ def test_equal_short_recordings_share_a_component(spark):
     assert {k: r["component_id"] for k, r in got.items()} == {4: 2, 2: 2, 3: 3, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9, 10: 9, None: 2}
 
 
+def test_steady_sounds_of_different_lengths_are_aligned(spark):
+    rows = [(1, bytes([128]) * 4000), (2, bytes([128]) * 6000), (3, bytes(range(64)) * 80), (4, bytes(range(64)) * 110), (5, pcm(tune(60_000, 1)))]
+    table = spark.createDataFrame(rows, "id long, audio binary").coalesce(1)
+    got = {r["id"]: r for r in chroma.align(table, "id", F.col("audio")).collect()}
+    assert {k: r["component_id"] for k, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    assert got[2]["match_id"] == 1 and got[4]["match_id"] == 3 and got[2]["error"] == 0 and got[2]["shift"] == 0 and got[4]["error"] < 0.05
+
+
 def test_filters_come_from_the_integral_image():
     frames = np.abs(np.random.default_rng(0).normal(size=(20, 12))).astype(np.float32)
     want = []
