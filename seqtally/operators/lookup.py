@@ -106,7 +106,10 @@ def lookup(df: DataFrame, v: str, pool: BarcodePool, cap: int, duplicates: Dupli
     seeds = lambda c: F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.substring(c, cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("seed")) for i in range(parts)]))
     seen = df.select(F.col(v).alias("v")).distinct().select("v", seeds("v").alias("s")).select("v", "s.*")
     known = _expanded(spark, pool).select("idx", "key", seeds("key").alias("s")).select("idx", "key", "s.*")
-    near = seen.join(known, ["part", "seed"]).withColumn("distance", hamming("v", "key", n)).filter(F.col("distance") <= cap)
+    near = seen.join(known, ["part", "seed"]).withColumn("distance", hamming("v", "key", n)).filter(F.col("distance") <= cap).select("v", "idx", "distance")
+    if cap >= n:  # a string that shares no base with any barcode is at full distance from all of them
+        ends = _expanded(spark, pool).agg(F.array(F.min("idx"), F.max("idx")).alias("ends"))
+        near = near.unionByName(df.select(F.col(v).alias("v")).distinct().filter(F.length("v") == n).crossJoin(F.broadcast(ends)).select("v", F.explode("ends").alias("idx"), F.lit(n).alias("distance")))
     table = _nearest(near, ["v"]).withColumnRenamed("v", "key")
     return done(df.join(table, df[v] == table["key"]))
 
@@ -135,7 +138,8 @@ def lookup_segments(df: DataFrame, segments: list[tuple[str, BarcodePool, str]],
         cuts = [i * n // parts for i in range(parts + 1)]
         seeds = lambda c: F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.substring(c, cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("seed")) for i in range(parts)]))
         known = _expanded(spark, pool).select("idx", "key", seeds("key").alias("s")).select("idx", "key", "s.*")
-        found = seen.withColumn("s", seeds(first)).select(*keys, "s.*").join(known, ["part", "seed"]).withColumn("d0", hamming(first, "key", n)).groupBy(*keys, "idx").agg(F.min("d0").alias("d0"))
+        found = seen.withColumn("s", seeds(first)).select(*keys, "s.*").join(known, ["part", "seed"]) if most < n else seen.filter(F.length(first) == n).crossJoin(known.select("idx", "key").distinct())
+        found = found.withColumn("d0", hamming(first, "key", n)).groupBy(*keys, "idx").agg(F.min("d0").alias("d0"))
     found = found.filter(F.col("d0") <= F.col(segments[0][2]))
     for i, (v, p, cap) in enumerate(segments[1:], 1):
         codes = p.frame(spark).withColumnRenamed("seq", f"_s{i}")
