@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, field
+from seqtally.llm.common import arrow_schema, field, slices
 from seqtally.llm.kernels import PieceCache, column_bytes, gather, pretokens, runs
 
 
@@ -165,8 +165,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         bpe, cache = _loaded(path)
         target = arrow_schema(schema)
         for whole in it:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in slices(whole, 1):
                 data, offsets = column_bytes(batch.column(1))
                 n, a, b = [], [], []
                 for i, j in runs(offsets):

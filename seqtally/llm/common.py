@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows that Spark hands to Python at once; texts can be long, so there are few.
-ARROW_ROWS = 512
+#: Rows and bytes of text that are worked on at once, at most; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder all executors share (spark.checkpoint.dir); its own folder only where none is set."""
+    """A new path in the folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="seqtally-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{base.rstrip('/')}/seqtally-{uuid.uuid4().hex}"
 
 
+def slices(batch: pa.RecordBatch, at: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in slices of at most ``rows`` rows and about ``size`` bytes in column ``at``, or of one row."""
+    column = batch.column(at)
+    if batch.num_rows <= 1 or column.nbytes <= size and batch.num_rows <= rows:
+        if batch.num_rows:
+            yield batch
+        return
+    wide = pa.large_string() if pa.types.is_string(column.type) else pa.large_binary() if pa.types.is_binary(column.type) else column.type
+    offsets = np.frombuffer(column.cast(wide).buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    i = 0
+    while i < batch.num_rows:
+        j = int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1
+        j = min(max(j, i + 1), i + rows, batch.num_rows)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and a lost executor costs nothing that is done."""
     spark = df.sparkSession
@@ -57,14 +72,3 @@ def batches(rows: dict[str, list], schema: pa.Schema, size: int = 20_000) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(rows[f.name][i : i + size], f.type) for f in schema], schema=schema)
     for v in rows.values():
         v.clear()
-
-
-def small_batches(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows: int = ARROW_ROWS):
-    """For mapInArrow: fn over slices of the batches, so that one call sees a bounded number of rows."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for i in range(0, batch.num_rows, rows):
-                yield from fn(batch.slice(i, rows))
-
-    return run

@@ -1,8 +1,9 @@
 """Columnar text kernels: numpy over the byte buffers of Arrow string columns.
 
-Python strings are never made for single words here.  A word is a pair of byte
-offsets and a 64-bit hash, taken from prefix sums of ``byte * R**position``, so
-the cost per byte does not depend on how many words there are.
+Python strings are never made for single words here.  A word is a pair of byte offsets.  Two kinds
+of hash are used.  ``span_hashes`` is a polynomial, taken from prefix sums, and only says where to
+look: strings can be written that agree on it, so bytes decide afterwards.  ``digests`` mixes eight
+bytes at a time (XXH3 for longer words) into 128 bits and stands for the word itself.
 """
 
 from __future__ import annotations
@@ -13,11 +14,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Work is done on runs of documents of about this many bytes, which bounds the temporaries.
 BLOCK_BYTES = 1 << 20
 
-_R = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_R = 0x9E3779B97F4A7C15
+#: Words of more bytes are hashed one by one.
+_SHORT = 32
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -62,8 +67,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def _powers(n: int, lane: int, inverse: bool) -> np.ndarray:
-    r = pow(_R[lane], -1, 1 << 64) if inverse else _R[lane]
+def _powers(n: int, inverse: bool) -> np.ndarray:
+    r = pow(_R, -1, 1 << 64) if inverse else _R
     out = np.empty(n, np.uint64)
     out[0], k = 1, 1
     while k < n:
@@ -77,19 +82,61 @@ def _size(n: int) -> int:
     return max(BLOCK_BYTES * 2, 1 << (int(n) + 1).bit_length())
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of data[starts[i]:ends[i]] for each i."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[starts[i]:ends[i]] for each i; equal hashes don't prove equal bytes."""
     n = len(data)
     if not len(starts):
         return np.empty(0, np.uint64)
     size = _size(n)
     pre = np.empty(n + 1, np.uint64)
     pre[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(size, lane, False)[:n], out=pre[1:])
-    h = (pre[ends] - pre[starts]) * _powers(size, lane, True)[starts]
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(size, False)[:n], out=pre[1:])
+    h = (pre[ends] - pre[starts]) * _powers(size, True)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int = 2) -> list[np.ndarray]:
+    """128 bits (or the first 64) of each data[starts[i]:ends[i]], in lanes of 64 bits, that stand for its bytes.
+
+    Every eight bytes go through a non-linear step of their own, so no pattern of letters makes two words agree.
+    """
+    size = ends - starts
+    out = [size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed) for seed in _SEEDS[:lanes]]
+    if not len(size):
+        return out
+    eights = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    at, step = np.flatnonzero(size <= _SHORT), 0
+    while len(at):
+        left = size[at] - step
+        at, left = at[left > 0], left[left > 0]
+        block = eights[starts[at] + step]
+        cut = left < 8
+        block[cut] &= (np.uint64(1) << (8 * left[cut]).astype(np.uint64)) - np.uint64(1)
+        for lane in out:
+            lane[at] = mix(lane[at] ^ block) + np.uint64(_R)
+        step += 8
+    at = np.flatnonzero(size > _SHORT)
+    if len(at):
+        raw = memoryview(np.ascontiguousarray(data))
+        long = [xxhash.xxh3_128_intdigest(raw[a:b]) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        for k, lane in enumerate(out):
+            lane[at] = np.array([h >> 64 * k & 0xFFFFFFFFFFFFFFFF for h in long], np.uint64)
+    return out
+
+
+def sequence_hashes(words: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the k words (as one lane of ``digests``) from each place, or from the places ``at``."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = np.zeros(n if at is None else len(at), np.uint64)
+    for i in range(k):
+        out ^= words[i : i + n] if at is None else words[at + i]
+        out *= np.uint64(0x9FB21C651E98DF25)
+        out ^= out >> np.uint64(29)
+    return mix(out)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes other than 0x20 and 0x09-0x0D (or of ``letters``): starts, ends, document of each.
 
@@ -114,10 +161,6 @@ def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = No
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def counts(doc: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(doc, minlength=n).astype(np.int64)
-
-
 # --- pre-tokens of the byte-level BPE pattern -------------------------------------------------
 
 _L, _N, _S, _O, _UNSURE = 0, 1, 2, 3, 4
@@ -203,9 +246,13 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class PieceCache:
-    """From a pre-token's hash to its ids: an open-addressing table in arrays, emptied when ``limit`` entries are in it."""
+    """From a pre-token to its ids: an open-addressing table in arrays, emptied when ``limit`` entries are in it.
 
-    def __init__(self, encode, limit: int = 2_000_000):
+    A hash tells where to look and the bytes, which are kept, decide.  Of several pre-tokens with one hash the first
+    is kept and the others are encoded each time.
+    """
+
+    def __init__(self, encode, limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
         self.bits = max(10, (2 * limit).bit_length())
         self.clear()
@@ -215,7 +262,8 @@ class PieceCache:
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.slot = np.zeros(1 << self.bits, np.int32)
         self.begin, self.size, self.ids = np.empty(1024, np.int64), np.empty(1024, np.int32), np.empty(4096, np.uint32)
-        self.used = 0
+        self.text, self.text_at, self.text_size = np.empty(4096, np.uint8), np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.used = self.text_used = 0
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of each key, or of the free cell where it belongs; whether it is there)."""
@@ -239,29 +287,57 @@ class PieceCache:
             setattr(self, name, a)
         return a
 
+    def _append(self, name: str, at: int, values: np.ndarray) -> int:
+        self._grow(name, at + len(values))[at : at + len(values)] = values
+        return at + len(values)
+
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pre-tokens, one after another; number of ids of each)."""
         h = span_hashes(data, starts, ends)
         h[h == 0] = 1
-        if self.n > self.limit:
+        if self.n > self.limit or self.text_used > 64 * self.limit:
             self.clear()
         pos, found = self._find(h)
+        raw = None
         if not found.all():
             new, first = np.unique(h[~found], return_index=True)
             at = np.flatnonzero(~found)[first]
             raw = data.tobytes()
             pieces = self.encode([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             size = np.fromiter(map(len, pieces), np.int32, len(pieces))
-            total = int(size.sum())
-            self._grow("ids", self.used + total)[self.used : self.used + total] = np.fromiter((i for p in pieces for i in p), np.uint32, total)
-            self._grow("begin", self.n + len(new))[self.n : self.n + len(new)] = self.used + np.cumsum(size) - size
-            self._grow("size", self.n + len(new))[self.n : self.n + len(new)] = size
+            length = ends[at] - starts[at]
+            self._append("begin", self.n, self.used + np.cumsum(size) - size)
+            self._append("size", self.n, size)
+            self._append("text_at", self.n, self.text_used + np.cumsum(length) - length)
+            self._append("text_size", self.n, length)
+            self.used = self._append("ids", self.used, np.fromiter((i for p in pieces for i in p), np.uint32, int(size.sum())))
+            self.text_used = self._append("text", self.text_used, gather(data, starts[at], length))
             self._insert(new, np.arange(self.n, self.n + len(new), dtype=np.int32))
-            self.n, self.used = self.n + len(new), self.used + total
+            self.n += len(new)
             pos[~found] = self._find(h[~found])[0]
         slot = self.slot[pos]
-        size = self.size[slot]
-        return gather(self.ids, self.begin[slot], size), size
+        size, begin = self.size[slot], self.begin[slot]
+        wrong = self._differ(data, starts, ends, slot)
+        ids = self.ids
+        if len(wrong):
+            raw = raw or data.tobytes()
+            pieces = self.encode([raw[a:b] for a, b in zip(starts[wrong].tolist(), ends[wrong].tolist(), strict=True)])
+            size[wrong] = [len(p) for p in pieces]
+            begin[wrong] = self.used + np.cumsum(size[wrong]) - size[wrong]
+            ids = np.append(ids[: self.used], np.fromiter((i for p in pieces for i in p), np.uint32))
+        return gather(ids, begin, size), size
+
+    def _differ(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Places of those whose bytes aren't the ones kept."""
+        length = ends - starts
+        same = self.text_size[slot] == length
+        at = np.flatnonzero(same)
+        if len(at):
+            length = length[at]
+            off = gather(self.text, self.text_at[slot[at]], length) != gather(data, starts[at], length)
+            if off.any():
+                same[at[np.searchsorted(np.cumsum(length), np.flatnonzero(off), "right")]] = False
+        return np.flatnonzero(~same)
 
     def _insert(self, keys: np.ndarray, slots: np.ndarray) -> None:
         while self.n + len(keys) > 3 << (self.bits - 2):  # one very rich batch

@@ -3,8 +3,9 @@
 A repeat of ``window`` words holds a whole block of ``block`` words at a multiple of ``block`` in the
 document it is compared with, if window >= 2 * block - 1.  So the non-overlapping blocks of every
 document are the index, and every rolling window of ``block`` words is a probe.  Hits are extended:
-around each, the windows of ``window`` words are compared by a 96-bit hash, and the smallest
-document id of each is found.  Words under windows that also start in a document with a smaller id go;
+around each, the windows of ``window`` words are compared by 96 bits, and the smallest
+document id of each is found.  These bits come from 128-bit digests of the words' bytes, so that no pattern of
+letters makes two windows agree; by chance two of 10^13 different windows do at a probability of about 0.1 %.  Words under windows that also start in a document with a smaller id go;
 neighbouring windows together make up the maximal repeats.
 
 Documents travel as chunks (some MB of text, kept once in a table bucketed by chunk), and only digests
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqtally.llm.common import arrow_schema, scratch, written
-from seqtally.llm.kernels import column_bytes, gather, mix, runs, span_hashes, words
+from seqtally.llm.kernels import column_bytes, digests, gather, runs, sequence_hashes, words
 
 WINDOW, BLOCK = 13, 7
 CHUNK_BYTES = 4 << 20
@@ -87,8 +88,8 @@ class _Words:
             lo = offsets[i]
             d = data[lo : offsets[j]]
             s, e, k = words(d, offsets[i : j + 1] - lo)
-            for n in range(lanes):
-                lane[n].append(span_hashes(d, s, e, n))
+            for n, x in enumerate(digests(d, s, e, lanes)):
+                lane[n].append(x)
             starts.append(s + lo)
             ends.append(e + lo)
             doc.append((k + i).astype(np.int32))
@@ -100,17 +101,6 @@ class _Words:
         first = np.cumsum(self.count) - self.count
         self.place = np.arange(len(self.doc)) - first[self.doc]
 
-    def grams(self, k: int, lane: int, at: np.ndarray | None = None) -> np.ndarray:
-        """Hashes of the k words from each place (all places but the last k - 1)."""
-        w = self.lane[lane]
-        n = len(w) - k + 1
-        base = np.arange(n) if at is None else at
-        out = np.zeros(len(base), np.uint64)
-        for i in range(k):
-            out *= np.uint64(0x9FB21C651E98DF25)
-            out += w[i : i + n] if at is None else w[base + i]
-        return mix(out)
-
     def fits(self, k: int) -> np.ndarray:
         """Places at which k words of one document begin."""
         n = len(self.doc) - k + 1
@@ -142,7 +132,7 @@ class _Anchors:
     def __init__(self, w: _Words, parts: int, window: int, block: int):
         at = w.fits(block)
         at = at[w.count[w.doc[at]] >= window]
-        h = w.grams(block, 0)[at] if len(at) else np.empty(0, np.uint64)
+        h = sequence_hashes(w.lane[0], block)[at] if len(at) else np.empty(0, np.uint64)
         key = ((h >> np.uint64(40)) % np.uint64(parts)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
         order = np.argsort(key, kind="stable")
         key, self.at = key[order], at[order]
@@ -177,7 +167,7 @@ class _Windows:
     """The distinct candidate windows of a chunk, by range and 96-bit hash, with the smallest document id."""
 
     def __init__(self, w: _Words, ids: np.ndarray, at: np.ndarray, parts: int, window: int):
-        a, b = w.grams(window, 0, at), w.grams(window, 1, at) >> np.uint64(32)
+        a, b = sequence_hashes(w.lane[0], window, at), sequence_hashes(w.lane[1], window, at) >> np.uint64(32)
         part = ((a >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((b, a, part))
         self.at, a, b, part = at[order], a[order], b[order], part[order]
@@ -349,4 +339,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grown = by_chunk.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(extend, _BLOBS)
     smaller = written(grown.groupBy("part").applyInPandas(_smaller_elsewhere, _BLOBS))
     answers = shared.withColumn("step", F.lit(1)).unionByName(smaller.withColumn("step", F.lit(2)))
-    return by_chunk.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, out_schema)
+    result = by_chunk.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, out_schema)
+    spark.sql(f"drop table {name}")  # the name alone: its files are in the shared folder, and plans made above read those
+    return result

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, field, written
+from seqtally.llm.common import arrow_schema, field, slices, written
 from seqtally.llm.components import components
 from seqtally.llm.kernels import column_bytes, gather, runs, words
 
@@ -83,8 +83,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
         for whole in it:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
+            for batch in slices(whole, 1):
                 fp = fingerprints(*column_bytes(batch.column(1)), shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(target.field(0).type), pa.array(fp.view(np.int64))], schema=target)
 

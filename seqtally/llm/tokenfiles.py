@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, batches, field, scratch
+from seqtally.llm.common import arrow_schema, batches, field, scratch, slices
 from seqtally.llm.tokens import default_vocabulary, encode_column
 
 #: Fixed values of the zstandard seekable format.
@@ -147,8 +147,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
         with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
             w = Writer(out, width)
             for batch in it:
-                for i in range(0, batch.num_rows, 256):
-                    piece = batch.slice(i, 256)
+                for piece in slices(batch, 1):
                     ids, offsets = encode_column(piece.column(1), path, end_id)
                     if width < 4 and len(ids) and int(ids.max()) >> (8 * width):
                         raise ValueError(f"an id doesn't fit {width} bytes")

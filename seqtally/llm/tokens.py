@@ -2,7 +2,7 @@
 
 A text's ids are those of its pre-tokens in turn, so each distinct pre-token goes through the
 library once and the rest is array lookups.  Texts with code points on which Unicode versions
-disagree go through the library whole.
+disagree, and those that hold the string of an added token, go through the library whole.
 """
 
 from __future__ import annotations
@@ -27,9 +27,13 @@ def _library(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[bytes, ...]:
+    """The strings that the library takes out of a text before it is cut into pre-tokens."""
+    return tuple(t.content.encode() for t in _library(path).get_added_tokens_decoder().values())
 
 
 @lru_cache(maxsize=2)
@@ -51,13 +55,20 @@ def encode_column(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray,
         lo = offsets[i]
         d, o = data[lo : offsets[j]], offsets[i : j + 1] - lo
         starts, ends, doc, unsure = pretokens(d, o)
+        raw = d.tobytes()
+        for mark in _added(path):
+            at = raw.find(mark)
+            while at >= 0:
+                k = int(np.searchsorted(o, at, "right")) - 1
+                unsure[k] = True
+                at = raw.find(mark, max(at + 1, int(o[k + 1]) - len(mark) + 1))
         flat, size = cache.lookup(d, starts, ends)
         per_doc = np.bincount(doc, weights=size, minlength=j - i).astype(np.int64)
         if unsure.any():
             cut = np.append(0, np.cumsum(per_doc))
             whole = [flat[cut[k] : cut[k + 1]] for k in range(j - i)]
             for k in np.flatnonzero(unsure):
-                text = d[o[k] : o[k + 1]].tobytes().decode("utf-8", "replace")
+                text = raw[o[k] : o[k + 1]].decode("utf-8", "replace")
                 whole[k] = np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
                 per_doc[k] = len(whole[k])
             flat = np.concatenate(whole)

@@ -45,6 +45,25 @@ def test_passages_against_brute_force(request, name):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_passages(rows)
 
 
+@pytest.mark.parametrize("order", [1, -1])
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_only_hash_alike_are_no_repeat(spark, order, n):
+    """Two words of two letters, swapped: every polynomial hash modulo 2^64 of them is the same."""
+    t = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    u = t.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = list(zip((1, 2, 3), (f"{t} {rest}", f"{u} {rest}", f"x {t} {rest}")[::order], strict=True))
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), digest=True).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_passages(rows)
+    assert sum(r["n_removed"] for r in got) == 13
+
+
+def test_passages_leave_no_table_behind(spark, documents):
+    before = {t.name for t in spark.catalog.listTables()}
+    out = remove_repeats(documents)
+    assert out.count() == documents.count() and {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_passages_over_many_small_chunks(spark, documents, monkeypatch):
     from seqtally.llm import passages
 
