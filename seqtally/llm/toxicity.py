@@ -2,9 +2,15 @@
 
 A term is a lower-cased run of letters and digits; it gives one hashed feature if it occurs and a
 second one if it occurs again.  The score is logistic in b + sum(w_i) + sum over pairs (v_i . v_j), so that
-two mild terms can weigh together what neither weighs alone.  Features whose presence goes with the label
-by chance only (a G-test over the training sample) are left out before training, so a long text doesn't
-add up the noise of thousands of weights.
+two mild terms can weigh together what neither weighs alone.
+
+All features that stand in LEAST_ROWS training rows take part; none is chosen by its own relation to the label.
+Weights and factors are fitted together under a penalty that grows with the noise of their gradients: a
+weight, or a row of factors, stays zero unless its gradient is NOISE standard deviations from what labels dealt
+at random would give, so a long text doesn't add up the noise of thousands of weights, and a term that tells
+only beside another one is kept for its factors.  Factors start from a power iteration over what additive weights leave
+unexplained, so that a pair whose terms tell nothing alone is come by among thousands of others.  What isn't zero is then
+fitted again with a weak penalty.
 """
 
 from __future__ import annotations
@@ -18,16 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, field
+from seqtally.llm.common import arrow_schema, field, slices
 from seqtally.llm.kernels import column_bytes, runs, span_hashes, words
 
 HASH_BITS = 18
 FACTORS = 8
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their id.
 SAMPLE_ROWS = 20_000
-#: Features kept, and the G statistic that one must have.
-FEATURES = 512
-LEAST_G = 12.0
+#: Training rows that a feature stands in at least: fewer can't show a relation.
+LEAST_ROWS = 4
+#: Standard deviations of noise that a gradient must exceed.
+NOISE = 3.5
+#: Parts of the rows, one for each step of descent; passes over them while weights are chosen, and when they are fitted again.
+PARTS, CHOOSE, REFIT = 8, 16, 60
 THRESHOLD = 0.3
 
 _LETTERS = np.zeros(256, bool)
@@ -80,59 +89,152 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def g_statistic(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Of a feature in a of n1 positive and b of n0 negative rows."""
-    n = n1 + n0
+class _Rows:
+    """A matrix of zeros and ones, in the order of rows and of columns."""
+
+    def __init__(self, n: int, row: np.ndarray, col: np.ndarray, size: int):
+        heads = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+        order = np.lexsort((col, row))
+        self.shape, row, self.col = (n, size), row[order], col[order]
+        self.row_heads = heads(row)
+        self.rows = row[self.row_heads]
+        order = np.argsort(self.col, kind="stable")
+        self.row, col = row[order], self.col[order]
+        self.col_heads = heads(col)
+        self.cols = col[self.col_heads]
+
+    def by_row(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[0], *x.shape[1:]), np.float32)
+        if len(self.rows):
+            out[self.rows] = np.add.reduceat(x[self.col], self.row_heads, axis=0)
+        return out
 
-    def term(seen, row, col):
-        expected = row * col / n
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    def by_col(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[1], *x.shape[1:]), np.float32)
+        if len(self.cols):
+            out[self.cols] = np.add.reduceat(x[self.row], self.col_heads, axis=0)
+        return out
 
-    have, lack = a + b, n - a - b
-    return 2 * (term(a, have, n1) + term(b, have, n0) + term(n1 - a, lack, n1) + term(n0 - b, lack, n0))
+
+def _parts(row: np.ndarray, col: np.ndarray, label: np.ndarray, size: int, seed: int) -> list[tuple[_Rows, np.ndarray]]:
+    """Rows dealt out into parts, at least some 32 in each."""
+    n = len(label)
+    count = max(1, min(PARTS, n // 32))
+    part = np.random.default_rng(seed).permutation(n) % count
+    out = []
+    for k in range(count):
+        own = np.flatnonzero(part == k)
+        new = np.full(n, -1, np.int64)
+        new[own] = np.arange(len(own))
+        keep = new[row] >= 0
+        out.append((_Rows(len(own), new[row[keep]], col[keep], size), label[own].astype(np.float32)))
+    return out
+
+
+def _descend(parts: list, size: int, bias: float, factors: int, passes: int, rate: float, seed: int, decay=(0.0, 0.0), noise: tuple | None = None, start: tuple | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors after some passes over the parts, from ``start`` or from small random factors.
+
+    ``noise`` (threshold of each weight, threshold of factors for a unit of what they are multiplied with) makes
+    weights and whole rows of factors zero whose gradients stay below it.
+    """
+    w, v = start or (np.zeros(size), np.random.default_rng(seed).normal(0, 0.05, (size, factors)))
+    p = [np.full(1, bias, np.float32), w.astype(np.float32), v.astype(np.float32)]
+    mean, square = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p[:2]] + [np.zeros((size, 1), np.float32)]
+    beside = np.zeros(size, np.float32)  # mean square of the factors that a feature's own are multiplied with
+    for step in range(1, passes * len(parts) + 1):
+        x, y = parts[step % len(parts)]
+        xv = x.by_row(p[2])
+        own = x.by_row(np.column_stack([p[1], (p[2] ** 2).sum(1)]))
+        z = p[0][0] + own[:, 0] + ((xv * xv).sum(1) - own[:, 1]) / 2
+        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        g = x.by_col(np.column_stack([err[:, None] * xv, err, (xv * xv).sum(1) / len(y)]).astype(np.float32))
+        grads = [err.sum(keepdims=True), g[:, factors] + decay[0] * p[1], g[:, :factors] - g[:, factors, None] * p[2] + decay[1] * p[2]]
+        beside += 0.1 * (g[:, factors + 1] - beside)
+        for k, grad in enumerate(grads if factors else grads[:2]):
+            mean[k] += 0.1 * (grad - mean[k])
+            square[k] += 0.01 * ((grad * grad).mean(1, keepdims=True) if k == 2 else grad * grad) - 0.01 * square[k]
+            speed = rate / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+            new = p[k] - speed * mean[k] / (1 - 0.9**step)
+            if noise and k == 1:
+                new = np.sign(new) * np.maximum(np.abs(new) - speed * noise[0], 0)
+            if noise and k == 2:
+                length = np.sqrt((new * new).sum(1))
+                least = speed[:, 0] * noise[1] * np.sqrt(beside / (1 - 0.9**step))
+                new = new * np.maximum(1 - least / np.maximum(length, 1e-12), 0)[:, None]
+            p[k] = new.astype(np.float32)
+    return float(p[0][0]), p[1], p[2]
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, factors: int = FACTORS, most: int = FEATURES, epochs: int = 400, seed: int = 1) -> FactorizationMachine:
-    """rows: the features of each training text.  Without rows of both labels every score is near the base rate."""
-    size = 2 << HASH_BITS
-    index = np.full(size, -1, np.int32)
-    n1, n0 = int(label.sum()), int(len(label) - label.sum())
-    base = (n1 + 0.5) / (len(label) + 5)
+def _paired(parts: list, size: int, bias: float, w: np.ndarray, seed: int, columns: int = 32, rounds: int = 8) -> np.ndarray:
+    """Which features go in pairs with what additive weights leave over: a power iteration that keeps few of them.
+
+    The matrix is sum(residual * x_i * x_j), off its diagonal.  Beginning with random columns, a row of the product is kept
+    as far as it exceeds the length that residuals dealt at random would give it; the bound rises with each round.
+    """
+    left = [(x, y - 1 / (1 + np.exp(-np.clip(bias + x.by_row(w), -30, 30)))) for x, y in parts]
+    left = [(x, r - sum(q.sum() for _, q in left) / sum(len(q) for _, q in left)) for x, r in left]
+    often = sum(x.by_col(np.ones(len(r), np.float32)) for x, r in left)
+    own = sum(x.by_col(r) for x, r in left)
+    u = np.random.default_rng(seed).normal(size=(size, columns)) / np.sqrt(np.maximum(often, 1))[:, None]
+    for k in range(rounds):
+        u = u.astype(np.float32)
+        new, noise = -own[:, None] * u, np.zeros(size)
+        for x, r in left:
+            xu = x.by_row(u)
+            both = x.by_col(np.column_stack([r[:, None] * xu, r * r * (xu * xu).sum(1)]).astype(np.float32))
+            new += both[:, :-1]
+            noise += both[:, -1]
+        z = np.sqrt((new * new).sum(1) / np.maximum(noise, 1e-12))
+        least = 1 + (1 + 0.5 * k) / np.sqrt(2 * columns)  # under chance z is about 1, with that spread
+        u = new / np.sqrt(np.maximum(noise * often, 1e-12))[:, None] * np.maximum(1 - least / np.maximum(z, 1e-12), 0)[:, None]
+        if not u.any():
+            break
+        u /= np.sqrt((u * u).sum(0)).max()
+    return np.abs(u).sum(1) > 0
+
+
+def fit(rows: list[np.ndarray], label: np.ndarray, factors: int = FACTORS, noise: float = NOISE, seed: int = 1) -> FactorizationMachine:
+    """rows: the features of each training text.  Without rows of both labels every score is near the base rate.
+
+    factors=0 gives additive weights alone.
+    """
+    index = np.full(2 << HASH_BITS, -1, np.int32)
+    n, n1 = len(label), int(label.sum())
+    base = (n1 + 0.5) / (n + 5)
     bias = float(np.log(base / (1 - base)))
-    if not n1 or not n0:
-        return FactorizationMachine(bias, index, np.zeros(1), np.zeros((1, factors)))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    nothing = FactorizationMachine(bias, index, np.zeros(1), np.zeros((1, factors)))
+    if not n1 or n1 == n:
+        return nothing
+    row = np.repeat(np.arange(n), [len(r) for r in rows])
     flat = np.concatenate(rows)
-    a = np.bincount(flat[label[owner] == 1], minlength=size).astype(np.float64)
-    b = np.bincount(flat[label[owner] == 0], minlength=size).astype(np.float64)
-    g = g_statistic(a, b, n1, n0)
-    chosen = np.argsort(-g, kind="stable")[:most]
-    chosen = chosen[g[chosen] >= LEAST_G]
+    count = np.bincount(flat, minlength=len(index))
+    chosen = np.flatnonzero(count >= LEAST_ROWS)
+    spread = base * (1 - base) / n
+    for _ in range(3 if len(chosen) else 0):  # what a first round has not brought to zero yet, the next ones do
+        index[:] = -1
+        index[chosen] = np.arange(len(chosen))
+        col = index[flat].astype(np.int64)
+        row, col, flat = row[col >= 0], col[col >= 0], flat[col >= 0]
+        often = np.minimum(count[chosen], n - count[chosen] + 1)
+        least = (noise * np.sqrt(often / n * spread)).astype(np.float32), noise * float(np.sqrt(spread))
+        parts = _parts(row, col, label, len(chosen), seed)
+        now, w, _ = _descend(parts, len(chosen), bias, 0, CHOOSE, 0.05, seed, noise=least)
+        v = np.zeros((len(chosen), factors))
+        if factors:
+            v = np.random.default_rng(seed).normal(0, 0.05, v.shape) * _paired(parts, len(chosen), now, w, seed)[:, None]
+            _, w, v = _descend(parts, len(chosen), now, factors, CHOOSE, 0.05, seed, noise=least, start=(w, v))
+        keep = (w != 0) | (np.abs(v).sum(1) > 0)
+        chosen = chosen[keep]
+        if not len(chosen) or len(chosen) > 0.9 * len(keep):
+            break
+    index[:] = -1
     if not len(chosen):
-        return FactorizationMachine(bias, index, np.zeros(1), np.zeros((1, factors)))
+        return nothing
     index[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    at = index[flat]
-    x[owner[at >= 0], at[at >= 0]] = 1
-    x, inverse = np.unique(x, axis=0, return_inverse=True)  # most rows have none of the features
-    inverse = inverse.ravel()
-    many = np.bincount(inverse, minlength=len(x)).astype(np.float32)
-    y = (np.bincount(inverse, weights=label, minlength=len(x)) / many).astype(np.float32)
-    rng = np.random.default_rng(seed)
-    p = [np.zeros(1, np.float32), np.zeros(len(chosen), np.float32), rng.normal(0, 0.05, (len(chosen), factors)).astype(np.float32)]
-    p[0][0] = bias
-    m, s = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
-    for step in range(1, epochs + 1):
-        xv = x @ p[2]
-        z = p[0][0] + x @ p[1] + (xv**2 - x @ (p[2] ** 2)).sum(1) / 2
-        err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * many / len(label)
-        xe = x.T @ err
-        grads = [err.sum(keepdims=True), xe + 2e-4 * p[1], x.T @ (err[:, None] * xv) - xe[:, None] * p[2] + 1e-3 * p[2]]
-        for k, grad in enumerate(grads):
-            m[k] = 0.9 * m[k] + 0.1 * grad
-            s[k] = 0.999 * s[k] + 0.001 * grad**2
-            p[k] = p[k] - 0.03 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(float(p[0][0]), index, p[1].astype(np.float64), p[2].astype(np.float64))
+    col = index[flat].astype(np.int64)
+    parts = _parts(row[col >= 0], col[col >= 0], label, len(chosen), seed)
+    bias, w, v = _descend(parts, len(chosen), bias, factors, REFIT * PARTS // len(parts), 0.03, seed, decay=(2e-4, 1e-3))
+    return FactorizationMachine(bias, index, w.astype(np.float64), v.astype(np.float64))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -141,14 +243,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
-    """Fits on at most ``most_rows`` labelled rows outside the held-out part; rows with null labels or ids don't count."""
+    """Fits on at most ``most_rows`` labelled rows outside the held-out part.
+
+    Rows with null labels or ids don't count; a null text is an empty one.  Repeated labels of an id count once, the
+    greatest; repeated documents count each.  Extra columns are not read.  Without rows (empty tables, no labels) or with labels
+    of one kind every score is near the base rate.
+    """
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null").filter(~held_out("doc_id"))
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
+            for batch in slices(whole, 1):
                 doc, feature = features(*column_bytes(batch.column(1)))
                 order = np.argsort(doc, kind="stable")
                 cut = np.searchsorted(doc[order], np.arange(batch.num_rows + 1))
@@ -175,8 +281,7 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
         for whole in it:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
+            for batch in slices(whole, at):
                 s = model.score(batch.num_rows, *features(*column_bytes(batch.column(at))))
                 columns = [c.cast(f.type) for c, f in zip(batch.columns, target, strict=False)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema=target)

@@ -68,6 +68,49 @@ def test_interactions_are_learnt():
     assert score([11, 22]) > 0.8 and score([11]) < 0.3 and score([22]) < 0.3 and score([]) < 0.3
 
 
+@pytest.mark.parametrize("noise", [1, 50, 2000])
+def test_a_pair_whose_terms_tell_nothing_alone_is_found(noise):
+    """Label: exactly one of two terms.  Either term is as frequent in one class as in the other."""
+    rng = np.random.default_rng(0)
+    rows, label = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.5
+        rows.append(np.unique([*([11] if a else []), *([22] if b else []), *(1000 + rng.integers(noise, size=40 if noise > 1 else 1))]))
+        label.append(int(a != b))
+    right = {}
+    for factors in (toxicity.FACTORS, 0):
+        m = toxicity.fit(rows[:3000], np.array(label[:3000]), factors=factors)
+        right[factors] = np.mean([(m.score(1, np.zeros(len(f), np.int64), f)[0] >= 0.5) == y for f, y in zip(rows[3000:], label[3000:], strict=True)])
+    assert right[toxicity.FACTORS] > 0.95 and right[0] < 0.6
+
+
+def test_labels_dealt_at_random_teach_nothing():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(500, size=30)) for _ in range(3000)]
+    m = toxicity.fit(rows, (rng.random(3000) < 0.1).astype(int))
+    assert all(m.score(1, np.zeros(len(f), np.int64), f)[0] < 0.3 for f in rows[:500])
+
+
+def test_score_is_the_sum_over_all_pairs():
+    rng = np.random.default_rng(6)
+    index = np.full(100, -1, np.int32)
+    index[10:60] = rng.permutation(50)
+    m = toxicity.FactorizationMachine(-0.3, index, rng.normal(0, 0.3, 50), rng.normal(0, 0.3, (50, 5)))
+    texts = [np.unique(rng.integers(100, size=k)) for k in (0, 1, 2, 9, 30)]
+    got = m.score(len(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.concatenate(texts).astype(np.int64))
+    for t, s in zip(texts, got, strict=True):
+        at = [int(index[f]) for f in t if index[f] >= 0]
+        z = m.bias + sum(m.w[i] for i in at) + sum(float(m.v[i] @ m.v[j]) for x, i in enumerate(at) for j in at[:x])
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_features_are_the_terms_of_a_text():
+    data = "Ein HÄSSLICHES ding, ein Ding! a_b été".encode()
+    doc, feature = toxicity.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    terms = [t for t in re.findall("[^\\W_]+", data.decode().lower())]
+    assert len(feature) == len(set(terms)) + sum(terms.count(t) > 1 for t in set(terms)) and not doc.any()
+
+
 def test_toxicity_edges(spark, edge, none, clashing):
     labels = spark.createDataFrame([(5, 1), (6, 1), (8, 0), (9, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(edge, labels)
