@@ -1,59 +1,29 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of ``least`` or more.
+"""The exact check of candidate groups: which texts of a group have sets of shingles that are similar enough.
 
-The search is exact.  Shingles are put in one order for all texts, frequent ones last; two texts that are similar enough
-share one of the first n - ceil(least * n) + 1 of their n shingles (prefix filter), whatever the order is.  Texts that share
-one are compared on their whole sets, until each two are either united or rejected.  Texts with equal sets
-are one node.  Sets hold 64-bit hashes, so a collision could change a similarity by one shingle.
+Two sets of a Jaccard similarity of ``least`` or more share one of the first n - ceil(least * n) + 1 of their n members, in
+whatever order these are (prefix filter); frequent ones come last here.  Texts of a group that share one are compared on
+their whole sets, until each two are either united or rejected.  Texts with equal sets are one node.
+Sets hold 64-bit hashes, so a collision could change a similarity by one shingle.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, field, written
+from seqtally.llm.common import slices, written
 from seqtally.llm.components import linked
-from seqtally.llm.kernels import column_bytes, gather, runs, span_hashes, words
-from seqtally.llm.simhash import _LOWER
+from seqtally.llm.kernels import column_bytes
 
-SHINGLE, LEAST = 5, 0.8
 #: Shingles counted at once; counts of less than LOCAL among them are not passed on, nor are more than FREQUENT shingles kept.
 COUNTED, LOCAL, FREQUENT = 1 << 20, 4, 1 << 18
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles; a text of fewer words is one shingle, one without words has none."""
-    for i, j in runs(offsets):
-        lo = offsets[i]
-        d = _LOWER[data[lo : offsets[j]]]
-        starts, ends, doc = words(d, offsets[i : j + 1] - lo)
-        size = ends - starts + 1
-        text = gather(np.append(d, np.uint8(32)), starts, size)
-        stop = np.cumsum(size)
-        text[stop - 1] = 32
-        begin, stop = stop - size, stop - 1
-        per_doc = np.bincount(doc, minlength=j - i)
-        first = np.cumsum(per_doc) - per_doc
-        last = first + per_doc - 1
-        at = np.arange(len(doc))
-        at = at[(at + shingle - 1 <= last[doc]) | ((per_doc[doc] < shingle) & (at == first[doc]))]
-        hashes = span_hashes(text, begin[at], stop[np.minimum(at + shingle - 1, last[doc[at]])])
-        cuts = np.searchsorted(doc[at], np.arange(j - i + 1))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield np.unique(hashes[a:b])
-
-
-def node_of(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least: Fraction) -> np.ndarray:
     """The hashes, first in the order of counts and then of hashes, of which a similar set must have one."""
     n = len(hashes)
@@ -73,21 +43,8 @@ def similar(a: bytes, b: bytes, least: Fraction) -> bool:
     return both * least.denominator >= (len(x) + len(y) - both) * least.numerator
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST, stars: int = 2) -> DataFrame:
-    """doc_id and component_id, the smallest id reachable by links of similarity ``least`` or more.
-
-    Words are op9's: runs of bytes other than 0x20 and 0x09-0x0D, lower-cased A-Z.  Texts without words, nulls
-    among them, are copies of each other.  A null id keeps its row; its component is the smallest id that is not
-    null.  Rows with equal ids are rows of their own.  Extra columns are not read.  An empty table gives no rows.
-    """
-    part = Fraction(str(least))
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([field(source, "doc_id"), T.StructField("node", T.LongType())])
-
-    def nodes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = arrow_schema(schema)
-        for batch in it:
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(target.field(0).type), pa.array([node_of(s) for s in shingle_sets(*column_bytes(batch.column(1)), shingle)], pa.int64())], schema=target)
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and their counts: an order for prefixes, of which any is right."""
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -98,39 +55,56 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(count[keep])], names=["key", "n"])
 
         for batch in it:
-            for s in shingle_sets(*column_bytes(batch.column(0)), shingle):
-                held.append(s)
-                n += len(s)
+            for x in batch.column(0):
+                held.append(np.frombuffer(x.as_buffer(), np.uint64))
+                n += len(held[-1])
                 if n >= COUNTED:
                     yield flush()
                     held, n = [], 0
         if held:
             yield flush()
 
-    common = source.select("text").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
-    key, count = common["key"].to_numpy().astype(np.int64).view(np.uint64), common["n"].to_numpy().astype(np.int64)
+    top = sets.select("hashes").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
+    key, count = top["key"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
     order = np.argsort(key)
-    shared = docs.sparkSession.sparkContext.broadcast((key[order], count[order]))
+    return key[order], count[order]
 
-    def prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = shared.value
-        for batch in it:
-            sets = list(shingle_sets(*column_bytes(batch.column(0)), shingle))
-            heads = [prefix(s, frequent, counts, part) for s in sets]
-            if sum(map(len, heads)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat([node_of(s) for s in sets], [len(h) for h in heads]))], names=["key", "node"])
+
+def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Callable, least: float) -> DataFrame:
+    """The rows of ``table`` (doc_id, root, node and others) with component_id, the smallest id linked to in their group.
+
+    ``root`` is the group of candidates and ``node`` the name of the row's set of shingles.  ``texts`` (doc_id, text) are read
+    again only for one document of each set in groups that hold several sets.
+    """
+    part = Fraction(str(least))
+    nodes = written(table.groupBy("root", "node").agg(F.min("doc_id").alias("id"), F.xxhash64("root", "node").alias("at")))
+    several = nodes.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    wanted = written(nodes.join(several, "root"))
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            sets = list(shingle_sets(*column_bytes(batch.column(0)), shingle))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+            for piece in slices(batch, 0):
+                found = list(sets_of(*column_bytes(piece.column(0))))
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "hashes"])
 
-    table = written(source.mapInArrow(nodes, schema))
-    heads = source.select("text").mapInArrow(prefixes, "key long, node long")
+    chosen = wanted.select(F.col("id").alias("_id")).distinct()
+    read = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["_id"]), "left_semi").select("text").mapInArrow(whole, "node long, hashes binary")
+    sets = written(read.join(wanted.select("node", "at", "root"), "node").dropDuplicates(["at"]).select("at", "root", "hashes"))
+    shared = texts.sparkSession.sparkContext.broadcast(_frequent(sets))
+
+    def prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = shared.value
+        for batch in it:
+            heads = [prefix(np.frombuffer(x.as_buffer(), np.uint64), frequent, counts, part) for x in batch.column(2)]
+            size = [len(h) for h in heads]
+            if sum(size):
+                key = np.concatenate(heads).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(1).to_numpy(), size)), pa.array(key), pa.array(np.repeat(batch.column(0).to_numpy(), size))], names=["root", "shingle", "node"])
+
+    heads = sets.mapInArrow(prefixes, "root long, shingle long, node long").select(F.xxhash64("root", "shingle").alias("key"), "node")
+    heads = written(heads)
     meeting = heads.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    members = written(heads.join(written(meeting), "key").select("key", "node").distinct())
-    sets = source.select("text").mapInArrow(whole, "node long, hashes binary").join(members.select("node").distinct(), "node", "left_semi")
-    sets = written(sets.dropDuplicates(["node"]))
+    members = written(heads.join(meeting, "key").select("key", "node"))
 
     def verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -138,10 +112,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def compare(pairs: DataFrame) -> DataFrame:
-        side = lambda c, v: sets.select(F.col("node").alias(c), F.col("hashes").alias(v))
+        side = lambda c, v: sets.select(F.col("at").alias(c), F.col("hashes").alias(v))
         return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
 
-    _, roots = linked(members, compare, stars)
-    named = table.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    named = written(named)
-    return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+    _, links = linked(members, compare)
+    united = nodes.join(links.withColumnRenamed("root", "top"), nodes["at"] == links["node"], "left").select(nodes["root"], nodes["node"], "id", F.coalesce("top", "at").alias("top"))
+    united = written(united)
+    ids = united.groupBy("top").agg(F.min("id").alias("component_id"))
+    return table.join(united.join(ids, "top").select("root", "node", "component_id"), ["root", "node"])

@@ -7,6 +7,9 @@ seems.  The thresholds t_i, -1 for a partition that is not used, come from dynam
 the number of candidates and probes that they are expected to cost.  Each distinct fingerprint is
 indexed under its own bits of a partition and probes all values within t_i; what meets is verified.
 
+With ``least``, the groups found are candidates: texts of a group whose sets of shingles have that Jaccard
+similarity are linked, exactly, and no others are (see copies.py).
+
 Equal fingerprints are one node.  A bucket gives the edges of a spanning forest, not its pairs.
 Buckets of more than ``most`` fingerprints are divided: what differs in ``distance`` bits outside the
 bits already equal agrees on one of distance + 1 parts of them.
@@ -14,6 +17,7 @@ bits already equal agrees on one of distance + 1 parts of them.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -27,6 +31,7 @@ from pyspark.sql import types as T
 
 from seqtally.llm.common import arrow_schema, field, slices, written
 from seqtally.llm.components import components
+from seqtally.llm.copies import confirm
 from seqtally.llm.kernels import column_bytes, gather, runs, words
 
 BITS = 64
@@ -37,6 +42,8 @@ SEED = 42
 SAMPLE = 4096
 #: Fingerprints of a bucket that are compared with each other in one task.
 MOST = 2048
+#: What a row of a bucket costs, in comparisons of two fingerprints.
+ROW_COST = 400.0
 #: Buckets whose members agree on so many bits are not divided; they hold at most 2 ** (BITS - DIVIDED) fingerprints.
 DIVIDED = 50
 
@@ -44,48 +51,83 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """A fingerprint for each text: bit set if it is set in over half the hashes of its shingles."""
-    out = []
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each run of texts: their number, and the text and hash of each shingle, repeats included, in order."""
+    h = xxhash.xxh64_intdigest
     for i, j in runs(offsets):
         lo, n = offsets[i], j - i
         d = _LOWER[data[lo : offsets[j]]]
         starts, ends, doc = words(d, offsets[i : j + 1] - lo)
-        fp = np.zeros(n, np.uint64)
-        if len(doc):
-            size = ends - starts + 1
-            text = gather(np.append(d, np.uint8(32)), starts, size)
-            stop = np.cumsum(size)
-            text[stop - 1] = 32
-            begin, stop = stop - size, stop - 1
-            per_doc = np.bincount(doc, minlength=n)
-            first = np.cumsum(per_doc) - per_doc
-            at = np.arange(len(doc))
-            last = first[doc] + per_doc[doc] - 1
-            keep = (at + shingle - 1 <= last) | ((per_doc[doc] < shingle) & (at == first[doc]))
-            at = at[keep]
-            end = np.minimum(at + shingle - 1, last[keep])
-            raw, h = text.tobytes(), xxhash.xxh64_intdigest
-            hashes = np.array([h(raw[a:b], SEED) for a, b in zip(begin[at].tolist(), stop[end].tolist(), strict=True)], np.uint64)
-            owner = doc[at]
-            head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            total = np.diff(np.append(head, len(owner)))
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, head, axis=0, dtype=np.int32)
-            fp[owner[head]] = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        out.append(fp)
+        if not len(doc):
+            yield n, np.empty(0, np.int64), np.empty(0, np.uint64)
+            continue
+        size = ends - starts + 1
+        text = gather(np.append(d, np.uint8(32)), starts, size)
+        stop = np.cumsum(size)
+        text[stop - 1] = 32
+        begin, stop = stop - size, stop - 1
+        per_doc = np.bincount(doc, minlength=n)
+        first = np.cumsum(per_doc) - per_doc
+        at = np.arange(len(doc))
+        last = first[doc] + per_doc[doc] - 1
+        keep = (at + shingle - 1 <= last) | ((per_doc[doc] < shingle) & (at == first[doc]))
+        at = at[keep]
+        end = np.minimum(at + shingle - 1, last[keep])
+        raw = text.tobytes()
+        yield n, doc[at], np.array([h(raw[a:b], SEED) for a, b in zip(begin[at].tolist(), stop[end].tolist(), strict=True)], np.uint64)
+
+
+def _majority(n: int, owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    fp = np.zeros(n, np.uint64)
+    if len(owner):
+        head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        total = np.diff(np.append(head, len(owner)))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, head, axis=0, dtype=np.int32)
+        fp[owner[head]] = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return fp
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """A fingerprint for each text: bit set if it is set in over half the hashes of its shingles."""
+    out = [_majority(*x) for x in shingle_hashes(data, offsets, shingle)]
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    schema = T.StructType([field(docs, id_col, "doc_id"), T.StructField("fp", T.LongType())])
+def _sets(n: int, owner: np.ndarray, hashes: np.ndarray) -> Iterator[np.ndarray]:
+    cuts = np.searchsorted(owner, np.arange(n + 1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield np.unique(hashes[a:b])
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles."""
+    for x in shingle_hashes(data, offsets, shingle):
+        yield from _sets(*x)
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, sets: bool = False) -> DataFrame:
+    """doc_id and fp (a signed long) of every row, and with sets=True ``node``, the name of its set of shingles.
+
+    A null or empty text has fingerprint zero.  Null and repeated ids are kept; an empty table gives no rows.
+    """
+    schema = T.StructType([field(docs, id_col, "doc_id"), T.StructField("fp", T.LongType()), *([T.StructField("node", T.LongType())] if sets else [])])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
         for whole in it:
             for batch in slices(whole, 1):
-                fp = fingerprints(*column_bytes(batch.column(1)), shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(target.field(0).type), pa.array(fp.view(np.int64))], schema=target)
+                fp, node = [np.empty(0, np.uint64)], []
+                for x in shingle_hashes(*column_bytes(batch.column(1)), shingle):
+                    fp.append(_majority(*x))
+                    node += map(set_name, _sets(*x)) if sets else []
+                columns = [batch.column(0).cast(target.field(0).type), pa.array(np.concatenate(fp).view(np.int64)), *([pa.array(node, pa.int64())] if sets else [])]
+                yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -168,14 +210,14 @@ def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]
 
 def plan(n: int, moments: np.ndarray, sample: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """(mask, threshold) of each partition that is used."""
-    best = None
+    best, n = None, max(n, 1)
     for m in range(1, distance + 2):
         masks = [mask_of(g) for g in correlated_groups(n, moments, m)]
         costs = []
         for mask in masks:
             width = mask.bit_count()
             chance = agreement(sample, mask, distance)
-            costs.append([n * n / 2 * chance[t] + 50.0 * n * sum(comb(width, k) for k in range(t + 1)) for t in range(distance + 1)])
+            costs.append([n * n / 2 * chance[t] + ROW_COST * n * sum(comb(width, k) for k in range(t + 1)) for t in range(distance + 1)])
         cost, thresholds = allocate(costs, distance)
         if best is None or cost < best[0]:
             best = cost, [(mask, t) for mask, t in zip(masks, thresholds, strict=True) if t >= 0]
@@ -282,22 +324,29 @@ def near_pairs(fps: DataFrame, parts: list[tuple[int, int]], distance: int = DIS
         rows = written(_divide(rows.join(large, ["bits", "key"]), distance).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, most: int = MOST) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, most: int = MOST, least: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits) and component_id, the smallest id reachable by links.
 
+    Fingerprints within ``distance`` bits are linked.  With ``least``, of the texts that are connected so, those are linked
+    whose sets of shingles have a Jaccard similarity of ``least`` or more.
+
     Words are runs of bytes other than 0x20 and 0x09-0x0D, lower-cased A-Z.  A text of fewer words than a
-    shingle is one shingle; one without words, or a null, has fingerprint zero and is linked like any other.
-    A null id keeps its row; its component is the smallest id that is not null.  Rows with equal ids are
-    rows of their own.  Extra columns are not read.  An empty table gives no rows.
+    shingle is one shingle; one without words, or a null, has fingerprint zero and is linked like any other (with
+    ``least``, to others without words).  A null id keeps its row; its component is the smallest id that is not null.
+    Rows with equal ids are rows of their own.  Extra columns are not read.  An empty table gives no rows.
     """
-    table = written(fingerprint_table(docs, id_col, text_col, shingle))
+    table = written(fingerprint_table(docs, id_col, text_col, shingle, sets=least is not None))
     fps = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")))
     n, moments = bit_moments(fps)
     sample = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy().astype(np.int64).view(np.uint64)
     edges = near_pairs(fps, plan(n, moments, sample, distance), distance, most)
     roots = components(edges)
-    member = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    member = written(member)
-    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(ids, "root").select("fp", "component_id")
-    return table.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    member = written(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    if least is None:
+        ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = member.join(ids, "root").select("fp", "component_id")
+        out = table.join(named, "fp")
+    else:
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        out = confirm(table.join(member.select("fp", "root"), "fp"), texts, lambda *x: shingle_sets(*x, shingle), set_name, least)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

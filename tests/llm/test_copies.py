@@ -1,13 +1,24 @@
 import numpy as np
 import pytest
-from test_dedup import WORD
+from test_dedup import WORD, brute_fingerprint
 
 import corpus_pipeline as cp
-from seqtally.llm import copies
+from seqtally.llm.simhash import near_duplicates
 
 
-def brute_copies(rows, n=5, least=(4, 5)):
-    """component_id of each row: every two texts compared on their sets of shingles."""
+def brute_copies(rows, n=5, least=(4, 5), distance=12):
+    """component_id of each row: every two texts that SimHash connects, compared on their sets of shingles."""
+    fp = np.array([brute_fingerprint(t, n) for _, t in rows], np.uint64)
+    group = list(range(len(rows)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= distance).tolist():
+            group[top(i)] = top(j)
     sets = []
     for _, t in rows:
         w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
@@ -22,7 +33,7 @@ def brute_copies(rows, n=5, least=(4, 5)):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and least[1] * len(a & b) >= least[0] * len(a | b):
+            if top(i) == top(j) and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and least[1] * len(a & b) >= least[0] * len(a | b):
                 parent[find(i)] = find(j)
     out = {}
     for i, (d, _) in enumerate(rows):
@@ -30,6 +41,10 @@ def brute_copies(rows, n=5, least=(4, 5)):
     return sorted((str(d), str(min((x for x in ids if x is not None), default=None))) for ids in out.values() for d in ids)
 
 
+def near(docs):
+    return near_duplicates(docs, shingle=5, distance=12, least=0.8)
+
+
 def shown(df):
     return sorted((str(r["doc_id"]), str(r["component_id"])) for r in df.collect())
 
@@ -37,11 +52,10 @@ def shown(df):
 @pytest.mark.parametrize("name", ["edge", "documents", "clashing", "none"])
 def test_near_copies_against_brute_force(request, name):
     docs = request.getfixturevalue(name)
-    assert shown(copies.near_copies(docs)) == brute_copies([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert shown(near(docs)) == brute_copies([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("stars", [0, 1, 2])
-def test_near_copies_of_edited_texts(spark, stars):
+def test_near_copies_of_edited_texts(spark):
     """Copies with more and more words changed, among texts that share a long passage and nothing else."""
     rng, rows = np.random.default_rng(3), []
     passage = [f"p{i}" for i in range(60)]
@@ -54,7 +68,7 @@ def test_near_copies_of_edited_texts(spark, stars):
             rows.append((100 * g + k, " ".join(w)))
     want = brute_copies(rows)
     assert 6 < len({c for _, c in want}) < len(rows)
-    assert shown(copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), stars=stars)) == want
+    assert shown(near(spark.createDataFrame(rows, "doc_id long, text string"))) == want
 
 
 def test_near_dedup_goes_by_similarity(spark, sf):

@@ -1,6 +1,7 @@
 import pyarrow as pa
 import pytest
-from test_dedup import brute_groups, brute_kept
+from test_copies import brute_copies
+from test_dedup import brute_kept
 from test_tokens import check_packing
 
 import corpus_pipeline as cp
@@ -33,6 +34,17 @@ def test_stages_with_edge_cases(spark, sf, edge, none, k):
     assert stage(spark, none, sf).count() == 0
 
 
+@pytest.mark.parametrize("k", [0, 1, 2, 3])
+def test_stages_leave_columns_of_any_name_alone(spark, sf, clashing, k):
+    """Columns named as those that operators add come out as they went in."""
+    docs = clashing.selectExpr("*", "'mine' as kept_sha256", "'own' as masked_text", "9 as n_email", "3 as n_removed", "'b' as base_sha256")
+    out = cp.STAGES[k][1](spark, docs, sf)
+    assert out.columns == docs.columns
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = out.select(*others).collect()
+    assert rows and set(map(str, rows)) == {str(docs.select(*others).first())}
+
+
 def masked(text, model):
     """Spans cut from the end, so that those before keep their places; overlapping ones as one, of the first's kind."""
     _, (spans,) = pii.find(*column_bytes(pa.array([text])), model)
@@ -54,7 +66,7 @@ def test_run_against_brute_force(spark, sf, documents):
     n = len(rows)
     rows = [(d, t) for d, t in rows if model.score(1, *toxicity.features(*column_bytes(pa.array([t or ""]))))[0] < 0.3]
     assert len(rows) < n
-    n, least = len(rows), {d: component for d, _, component in brute_groups(rows)}
+    n, least = len(rows), dict(brute_copies(rows))
     rows = [(d, t) for d, t in rows if least[str(d)] == str(d)]
     assert len(rows) < n
     cut = brute_kept(rows)
