@@ -1,44 +1,54 @@
-"""The corpus pipeline: toxicity, near copies, repeated passages, personal data, packing."""
+"""The corpus pipeline: toxicity, near copies, repeated passages, personal data, packing.
+
+All stages but the last give the columns of their input; columns besides doc_id, text and n_chars pass through whatever
+their names are.  Empty tables stay empty, null texts stay null, repeated rows are rows of their own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqtally.llm.common import scratch, table
-from seqtally.llm.copies import near_copies
 from seqtally.llm.packing import pack
 from seqtally.llm.passages import remove_repeats
 from seqtally.llm.pii import find_personal_data
+from seqtally.llm.simhash import near_duplicates
 from seqtally.llm.toxicity import score, train
 
 
+#: Near copies: words of a shingle, bits in which fingerprints may differ, Jaccard similarity at least.
+SHINGLE, BITS, SIMILARITY = 5, 12, 0.8
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.3 or more go.  The model is fitted on the labelled rows of ``docs``."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).filter("predicted = 0").select(*docs.columns)
+    scored = score(_hidden(docs), model).filter("predicted = 0")
+    return scored.select(*_shown(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id stays.
+    """Of each group of near copies the document with the smallest id stays.
 
-    Documents with a null id, which can't be told apart, stay.
+    Near copies: SimHash fingerprints of five-word shingles connect them by steps of 12 bits or less, and their sets of shingles
+    have a Jaccard similarity of 0.8 or more.  Documents with a null id, which can't be told apart, stay.
     """
-    groups = near_copies(docs)
+    groups = near_duplicates(docs, shingle=SHINGLE, distance=BITS, least=SIMILARITY)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 13 words or more that an earlier document has are cut out; other texts keep their white space."""
-    out = remove_repeats(docs)
+    out = remove_repeats(_hidden(docs))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return _with_text(docs, out, text)
+    return out.select(*_shown(docs, text))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in angle brackets."""
-    return _with_text(docs, find_personal_data(docs, masked=True), F.col("masked_text"))
+    """Personal data is replaced by its kind in angle brackets; a null text stays null and an empty one empty."""
+    return find_personal_data(_hidden(docs), masked=True).select(*_shown(docs, F.col("masked_text")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +56,23 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-def _with_text(docs: DataFrame, out: DataFrame, text) -> DataFrame:
-    new = {"text": text}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(new).select(*docs.columns)
+def _names(docs: DataFrame) -> dict[str, str]:
+    return {c: c if c in ("doc_id", "text") else f"_column_{i}" for i, c in enumerate(docs.columns)}
+
+
+def _hidden(docs: DataFrame) -> DataFrame:
+    """docs with other columns under private names, so that none of them is taken for a column of an operator."""
+    return docs.select(*(F.col(f"`{c}`").alias(new) for c, new in _names(docs).items()))
+
+
+def _shown(docs: DataFrame, text: Column | None = None) -> list[Column]:
+    """The columns of docs out of a result of ``_hidden``, with a new text and its length if one is given."""
+    out = {c: F.col(new).alias(c) for c, new in _names(docs).items()}
+    if text is not None:
+        out["text"] = text.alias("text")
+        if "n_chars" in out:
+            out["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return list(out.values())
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("passages", passages), ("personal_data", personal_data), ("packing", packing)]
