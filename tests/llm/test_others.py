@@ -204,6 +204,78 @@ def test_viterbi_is_the_best_path():
         assert tuple(got[row, :n]) == best
 
 
+def decoded(text, m):
+    """All spans of a text by a plain Viterbi, word by word."""
+    labels, k = [], len(pii.LABELS)
+    found = [(w.start(), w.group()) for w in re.finditer("[^\\x20\\x09-\\x0D]+", text)]
+    tokens = ["", "", *(w for _, w in found), ""]
+    cued = [any(c in "0123456789@" for c in w) for _, w in found]
+    t = 0
+    while t < len(found):
+        end = t
+        while end < len(found) and cued[end] == cued[t]:
+            end += 1
+        if cued[t]:
+            best = None
+            for i in range(t, end):
+                row = [m.index[f] for f in pii.word_features(tokens[i], tokens[i + 1], tokens[i + 2], tokens[i + 3]) if f in m.index]
+                own = m.emit[row].sum(0)
+                step = [(m.move[0, y] + own[y], [y]) for y in range(k)] if best is None else [max(((z + m.move[p[-1], y] + own[y], [*p, y]) for z, p in best), key=lambda x: x[0]) for y in range(k)]
+                best = step
+            labels += max(((z + m.move[p[-1], 0], p) for z, p in best), key=lambda x: x[0])[1]
+        else:
+            labels += [0] * (end - t)
+        t = end
+    base = brute_spans(text)
+    out, t = list(base), 0
+    while t < len(found):
+        end = t + 1
+        while end < len(found) and labels[end] == labels[t] and cued[end] == cued[t]:
+            end += 1
+        if labels[t]:
+            first, last = found[t][1], found[end - 1][1]
+            a = found[t][0] + len(first) - len(first.lstrip("\"'`.,;:!?*#%&$|[]{}<>"))
+            b = found[end - 1][0] + len(last.rstrip("\"'`.,;:!?*#%&$|[]{}<>()"))
+            if a < b and not any(x < b and a < y for x, _, y in base):
+                out.append((a, pii.KINDS.index(pii.LABELS[labels[t]]), b))
+        t = end
+    return sorted(out)
+
+
+def test_spans_of_documents_against_a_plain_viterbi(spark, documents, edge):
+    model = pii.train()
+    texts = [r["text"] for df in (documents, edge) for r in df.collect() if r["text"] and len(r["text"]) < 20_000]
+    texts += ["call (030) 555-8642 or (030) 555-8643 soon, jo@a.example.com 10.0.0.1 x1", "k=1 " * 50, "password: swordfish", 'a token = "9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c" b']
+    rows = pii.find_personal_data(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    want = {t: pii.written_spans(decoded(t, model)) for t in texts}
+    assert all(r["spans"] == want[r["text"]] for r in rows)
+    assert sum("secret" in v for v in want.values()) and want["password: swordfish"] == ""
+
+
+def test_training_rows_are_in_no_table(spark):
+    words = {w.strip("\"'.,;:()") for line in pii.TRAINING for w in line.rpartition("|")[0].split() if sum(c.isdigit() for c in w) >= 6}
+    texts = "\n".join(r["text"] or "" for sf in ("sf0.001", "sf0.01", "sf0.1") for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("text").collect())
+    assert len(words) > 15 and not [w for w in words if w in texts]
+    assert not [line for line in pii.TRAINING if line.rpartition("|")[0] in texts]
+
+
+def test_time_grows_with_the_length_of_a_text():
+    import time
+
+    model, took = pii.train(), []
+    for n in (3000, 3000, 12_000):
+        data = np.frombuffer(("call (030) 555-8642 or jo7@mail.example.com at 10.0.0.1 now " * n).encode(), np.uint8)
+        began = time.process_time()
+        base, every = pii.find(data, np.array([0, len(data)]), model)
+        took.append(time.process_time() - began)
+        assert len(base[0]) == 2 * n and len(every[0]) == 3 * n
+    assert took[2] < 8 * took[1] + 1
+
+
+def test_what_follows_64_characters_counts():
+    assert pii.shape("a1" * 50 + "-") != pii.shape("a1" * 50 + "+")
+
+
 def test_personal_data_of_an_empty_table(none):
     assert pii.find_personal_data(none).count() == 0
 
