@@ -111,9 +111,9 @@ TRAINING = (
     "at 188.40.2.17, then|1:ip",
     "card 4539578763621486 was used|1:card",
     "paid with 4539 5787 6362 1486 twice|2:card 3:card 4:card 5:card",
-    "the Apache License, Version 2.0.|",
-    "GNU General Public License, version 3.|",
-    "Licensed under CC BY-NC 4.0.|",
+    "the Birchwood License, Version 2.0.|",
+    "Common Readers Free License, version 3.|",
+    "Offered under QD RS-TV 4.0.|",
     "in 1998 there were 1250 of them|",
     "on page 17 and 18 we see|",
     "the 7120034456108932 items were sorted|",

@@ -95,7 +95,7 @@ class _Rows:
     def __init__(self, n: int, row: np.ndarray, col: np.ndarray, size: int):
         heads = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
         order = np.lexsort((col, row))
-        self.shape, row, self.col = (n, size), row[order], col[order]
+        self.shape, row, self.col = (n, size), row[order], col[order].astype(np.int32)
         self.row_heads = heads(row)
         self.rows = row[self.row_heads]
         order = np.argsort(self.col, kind="stable")
@@ -124,9 +124,9 @@ def _parts(row: np.ndarray, col: np.ndarray, label: np.ndarray, size: int, seed:
     out = []
     for k in range(count):
         own = np.flatnonzero(part == k)
-        new = np.full(n, -1, np.int64)
+        new = np.full(n, -1, np.int32)
         new[own] = np.arange(len(own))
-        keep = new[row] >= 0
+        keep = part[row] == k
         out.append((_Rows(len(own), new[row[keep]], col[keep], size), label[own].astype(np.float32)))
     return out
 
@@ -165,7 +165,7 @@ def _descend(parts: list, size: int, bias: float, factors: int, passes: int, rat
     return float(p[0][0]), p[1], p[2]
 
 
-def _paired(parts: list, size: int, bias: float, w: np.ndarray, seed: int, columns: int = 32, rounds: int = 8) -> np.ndarray:
+def _paired(parts: list, size: int, bias: float, w: np.ndarray, seed: int, columns: int = 16, rounds: int = 8) -> np.ndarray:
     """Which features go in pairs with what additive weights leave over: a power iteration that keeps few of them.
 
     The matrix is sum(residual * x_i * x_j), off its diagonal.  Beginning with random columns, a row of the product is kept
@@ -205,15 +205,15 @@ def fit(rows: list[np.ndarray], label: np.ndarray, factors: int = FACTORS, noise
     nothing = FactorizationMachine(bias, index, np.zeros(1), np.zeros((1, factors)))
     if not n1 or n1 == n:
         return nothing
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    flat = np.concatenate(rows)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int32)
     count = np.bincount(flat, minlength=len(index))
     chosen = np.flatnonzero(count >= LEAST_ROWS)
     spread = base * (1 - base) / n
     for _ in range(3 if len(chosen) else 0):  # what a first round has not brought to zero yet, the next ones do
         index[:] = -1
         index[chosen] = np.arange(len(chosen))
-        col = index[flat].astype(np.int64)
+        col = index[flat]
         row, col, flat = row[col >= 0], col[col >= 0], flat[col >= 0]
         often = np.minimum(count[chosen], n - count[chosen] + 1)
         least = (noise * np.sqrt(often / n * spread)).astype(np.float32), noise * float(np.sqrt(spread))
@@ -231,7 +231,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, factors: int = FACTORS, noise
     if not len(chosen):
         return nothing
     index[chosen] = np.arange(len(chosen))
-    col = index[flat].astype(np.int64)
+    col = index[flat]
     parts = _parts(row[col >= 0], col[col >= 0], label, len(chosen), seed)
     bias, w, v = _descend(parts, len(chosen), bias, factors, REFIT * PARTS // len(parts), 0.03, seed, decay=(2e-4, 1e-3))
     return FactorizationMachine(bias, index, w.astype(np.float64), v.astype(np.float64))
@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     joined = source.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most most_rows rows
     rows = joined.mapInArrow(run, T.StructType([field(joined, "doc_id"), T.StructField("label", T.IntegerType()), T.StructField("features", T.BinaryType())])).toArrow()
     rows = rows.sort_by("doc_id")  # whatever order tasks end in, the sums are the same
-    return fit([np.frombuffer(x, "<i4").astype(np.int64) for x in rows.column("features").to_pylist()] or [np.empty(0, np.int64)], rows.column("label").to_numpy().astype(np.int64) if rows.num_rows else np.zeros(1, np.int64))
+    return fit([np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("features")] or [np.empty(0, np.int32)], rows.column("label").to_numpy().astype(np.int64) if rows.num_rows else np.zeros(1, np.int64))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
