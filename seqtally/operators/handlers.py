@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from seqtally.operators.lookup import lookup, lookup_segments
 from seqtally.operators.pool import BarcodePool, concatenated
-from seqtally.operators.resolve import best_match, match
-from seqtally.operators.scan import candidates
+from seqtally.operators.resolve import best_match, match, match_by_side
+from seqtally.operators.scan import candidates, hits_in_row
 from seqtally.plans.template import Template
 from seqtally.schema import OK, Duplicates, Strand
 
@@ -66,10 +66,15 @@ class SingleBarcode(Handler):
         _single_region(self.template, self.pool)
         self.pool.check(duplicates)
 
-    def hits(self, reads: DataFrame, seq: str = "seq") -> DataFrame:
-        found = lookup(candidates(reads, self.template, self.k, self.strand, seq), "v0", self.pool, self.k, self.duplicates, self.how)
+    def hits(self, reads: DataFrame, seq: str = "seq", keys: tuple[str, ...] = ("read_id",)) -> DataFrame:
+        found = lookup(candidates(reads, self.template, self.k, self.strand, seq, keys), "v0", self.pool, self.k, self.duplicates, self.how)
         found = found.filter(F.col("v0_status") == OK).withColumn("mismatches", F.col("constant_mismatches") + F.col("v0_distance"))
-        return found.filter(F.col("mismatches") <= self.k).select("read_id", F.col("v0_idx").alias("idx"), "position", "reverse", "mismatches", F.col("v0_distance").alias("variable_mismatches"))
+        return found.filter(F.col("mismatches") <= self.k).select(*keys, F.col("v0_idx").alias("idx"), "position", "reverse", "mismatches", F.col("v0_distance").alias("variable_mismatches"))
+
+    def side_hits(self, pairs: DataFrame, sides: dict[str, str]) -> DataFrame:
+        """Hits in several columns of a pair (side: column) by one scan, with the column ``side``."""
+        stacked = pairs.select("read_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("seq")) for s, c in sides.items()])).alias("_s")).select("read_id", "_s.*")
+        return self.hits(stacked, "seq", ("read_id", "side"))
 
     def matches(self, reads: DataFrame, seq: str = "seq") -> DataFrame:
         return match(self.hits(reads, seq), self.use_first, ["read_id"], self.columns, ["idx"])
@@ -91,9 +96,9 @@ class SingleBarcodePaired(Handler):
         self.pool, self.use_first = self.single.pool, use_first
 
     def matches(self, pairs: DataFrame) -> DataFrame:
-        one = self.single.matches(pairs, "seq1").select("read_id", F.col("idx").alias("i1"), F.col("mismatches").alias("m1"))
-        two = self.single.matches(pairs, "seq2").select("read_id", F.col("idx").alias("i2"), F.col("mismatches").alias("m2"))
-        both = one.join(two, "read_id", "full")
+        hits = self.single.side_hits(pairs, {"one": "seq1", "two": "seq2"})
+        both = match_by_side(hits, ["one", "two"], self.use_first, ["idx", "mismatches"], ["idx"])
+        both = both.select("read_id", F.col("one.idx").alias("i1"), F.col("one.mismatches").alias("m1"), F.col("two.idx").alias("i2"), F.col("two.mismatches").alias("m2"))
         if self.use_first:
             idx = F.coalesce("i1", "i2")
         else:
@@ -156,13 +161,11 @@ class CombinatorialBarcodesPaired(Handler):
 
     def outcomes(self, pairs: DataFrame) -> DataFrame:
         """(read_id, kind, idx1, idx2) of pairs with a barcode; kind is combination, barcode1_only or barcode2_only."""
-        sides = [(self.one, "seq1", "m1"), (self.two, "seq2", "m2")]
+        one, two = {"m1": "seq1"}, {"m2": "seq2"}
         if self.random:
-            sides += [(self.one, "seq2", "n1"), (self.two, "seq1", "n2")]
-        out = None
-        for design, seq, name in sides:
-            m = design.matches(pairs, seq).select("read_id", F.struct("idx", "mismatches").alias(name))
-            out = m if out is None else out.join(m, "read_id", "full")
+            one["n1"], two["n2"] = "seq2", "seq1"
+        hits = self.one.side_hits(pairs, one).unionByName(self.two.side_hits(pairs, two))
+        out = match_by_side(hits, [*one, *two], self.use_first, ["idx", "mismatches"], ["idx"])
         has = lambda c: F.col(c).isNotNull()
         idx = lambda c: F.col(f"{c}.idx")
         mm = lambda c: F.col(f"{c}.mismatches")
@@ -241,14 +244,18 @@ class DualBarcodesPaired(Handler):
 
     def _hits(self, pairs: DataFrame) -> DataFrame:
         """(read_id, swapped, position1, position2, idx, mismatches) of every pair of places with a valid barcode."""
-        both = pairs.select("read_id", "seq1", "seq2", F.lit(False).alias("swapped"))
-        if self.random:
-            both = both.unionByName(pairs.select("read_id", F.col("seq2").alias("seq1"), F.col("seq1").alias("seq2"), F.lit(True).alias("swapped")))
         keys = ("read_id", "swapped")
-        one = candidates(both, self.t1, self.k1, self.t1.strand, "seq1", keys).select(*keys, F.col("position").alias("position1"), F.col("v0").alias("a"), F.col("constant_mismatches").alias("c1"))
-        two = candidates(both, self.t2, self.k2, self.t2.strand, "seq2", keys).select(*keys, F.col("position").alias("position2"), F.col("v0").alias("b"), F.col("constant_mismatches").alias("c2"))
-        found = one.join(two, list(keys)).withColumn("left1", F.lit(self.k1) - F.col("c1")).withColumn("left2", F.lit(self.k2) - F.col("c2"))
-        found = lookup_segments(found, [("a", self.p1, "left1"), ("b", self.p2, "left2")], self.duplicates, [])
+        side = lambda swapped: F.struct(
+            F.lit(swapped).alias("swapped"),
+            hits_in_row("seq2" if swapped else "seq1", self.t1, self.k1, self.t1.strand is Strand.REVERSE).alias("one"),
+            hits_in_row("seq1" if swapped else "seq2", self.t2, self.k2, self.t2.strand is Strand.REVERSE).alias("two"),
+        )
+        sides = pairs.select("read_id", F.explode(F.array(*[side(s) for s in ((False, True) if self.random else (False,))])).alias("side")).select("read_id", "side.*")
+        one = sides.filter("size(one) > 0 and size(two) > 0").select(*keys, F.explode("one").alias("one"), "two")
+        both = one.select(*keys, "one", F.explode("two").alias("two"))
+        found = both.select(*keys, F.col("one.position").alias("position1"), F.col("one.v").alias("a"), F.col("one.mismatches").alias("c1"), F.col("two.position").alias("position2"), F.col("two.v").alias("b"), F.col("two.mismatches").alias("c2"))
+        found = found.withColumns({"left1": F.lit(self.k1) - F.col("c1"), "left2": F.lit(self.k2) - F.col("c2")})
+        found = lookup_segments(found, [("a", self.p1, "left1"), ("b", self.p2, "left2")], self.duplicates, self.k1)
         return found.filter(F.col("status") == OK).select(*keys, "position1", "position2", "idx", (F.col("c1") + F.col("c2") + F.col("distance")).alias("mismatches"))
 
     def matches(self, pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ last, or none (AMBIGUOUS).
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from seqtally.schema import AMBIGUOUS, OK, Duplicates
 
 #: Rows of a neighbourhood table at most; it is this bound that allows it to be broadcast.
 MOST_NEIGHBOURS = 500_000
-#: Barcodes that are compared one by one, inside a row.
+#: Barcodes that are compared one by one, inside a row, at most.
 MOST_BRUTE = 4096
 
 
@@ -28,7 +29,7 @@ def neighbourhood_size(expanded: int, length: int, cap: int) -> int:
 
 def strategy(pool: BarcodePool, cap: int) -> str:
     """exact, neighbours, brute or seeds."""
-    if pool.is_wide:
+    if pool.is_wide and len(pool) <= MOST_BRUTE:
         return "brute"
     if cap == 0:
         return "exact"
@@ -114,47 +115,73 @@ def lookup(df: DataFrame, v: str, pool: BarcodePool, cap: int, duplicates: Dupli
     return done(df.join(table, df[v] == table["key"]))
 
 
-def lookup_segments(df: DataFrame, segments: list[tuple[str, BarcodePool, str]], duplicates: Duplicates, by: list[str]) -> DataFrame:
-    """Nearest tuple over several segments, each with its own cap.
+def split_pool(pool: BarcodePool, lengths: list[int]) -> list[BarcodePool]:
+    """The pools of consecutive segments of a pool's sequences."""
+    if len(pool) and sum(lengths) != pool.length:
+        raise ValueError("variable sequences should have the same length as the sum of segment lengths")
+    ends = [sum(lengths[: i + 1]) for i in range(len(lengths))]
+    return [BarcodePool([s[e - n : e] for s in pool.sequences], n) for n, e in zip(lengths, ends, strict=True)]
+
+
+def _differing(v: Column, codes: Column, pool: BarcodePool) -> Column:
+    """Places at which v has none of the bases that ``codes``, a barcode of pool, stands for."""
+    plain = set("".join(pool.sequences).upper()) <= set("ACGT")
+    any_of = F.create_map(*[F.lit(x) for pair in IUPAC.items() for x in pair])
+    d = F.lit(0)
+    for at in range(1, pool.length + 1):
+        base, code = F.substring(v, at, 1), F.substring(codes, at, 1)
+        d = d + (base != code if plain else F.instr(F.element_at(any_of, code), base) == 0).cast("int")
+    return d
+
+
+def lookup_segments(df: DataFrame, segments: list[tuple[str, BarcodePool, str]], duplicates: Duplicates, most: int) -> DataFrame:
+    """df with distance, idx and status of the nearest tuple over several segments, each with a cap of its own.
 
     segments: (column of the string, pool, column of the cap) with pools of equal size, of which equal places form
-    a barcode.  Gives ``by``, segment columns, and distance, d0, d1, ..., idx, status for each distinct
-    (strings, caps); the caps decide which barcodes compete, so they are part of the key.
+    a barcode.  The caps of a row decide which barcodes compete; ``most`` bounds those of the first segment.  Rows
+    without a tuple within all caps are dropped.
+
+    Where the neighbourhood of the first pool is small it is broadcast, as one row for each string with all barcodes near it, and
+    a row is answered where it stands.  Larger pools go by seeds over the distinct strings.
     """
     spark = df.sparkSession
-    keys = [*[s for s, _, _ in segments], *dict.fromkeys(c for _, _, c in segments)]
-    seen = df.select(*keys).distinct()
-    most = seen.agg(F.max(segments[0][2])).first()[0]
-    if most is None:
-        most = 0
-    first, pool = segments[0][0], segments[0][1]
-    if pool.is_wide or any(p.is_wide for _, p, _ in segments):
-        raise ValueError("barcodes stand for too many sequences")
-    if neighbourhood_size(pool.expanded_size, pool.length, most) <= MOST_NEIGHBOURS:
-        table = F.broadcast(neighbours(spark, pool, most))
-        found = seen.join(table, seen[first] == table["key"]).drop("key").withColumnRenamed("distance", "d0")
-    else:
-        n, parts = pool.length, min(most + 1, pool.length)
-        cuts = [i * n // parts for i in range(parts + 1)]
-        seeds = lambda c: F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.substring(c, cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("seed")) for i in range(parts)]))
-        known = _expanded(spark, pool).select("idx", "key", seeds("key").alias("s")).select("idx", "key", "s.*")
-        found = seen.withColumn("s", seeds(first)).select(*keys, "s.*").join(known, ["part", "seed"]) if most < n else seen.filter(F.length(first) == n).crossJoin(known.select("idx", "key").distinct())
-        found = found.withColumn("d0", hamming(first, "key", n)).groupBy(*keys, "idx").agg(F.min("d0").alias("d0"))
-    found = found.filter(F.col("d0") <= F.col(segments[0][2]))
-    for i, (v, p, cap) in enumerate(segments[1:], 1):
-        codes = p.frame(spark).withColumnRenamed("seq", f"_s{i}")
-        bases = {k: b for k, b in IUPAC.items()}
-        any_of = F.create_map(*[x for k, b in bases.items() for x in (F.lit(k), F.lit(b))])
-        d = F.lit(0)
-        for at in range(1, p.length + 1):
-            code = F.substring(f"_s{i}", at, 1)
-            plain = F.substring(v, at, 1) != code
-            d = d + (plain if set("".join(p.sequences).upper()) <= set("ACGT") else F.expr("true") & (F.instr(F.element_at(any_of, code), F.substring(v, at, 1)) == 0)).cast("int")
-        found = found.join(F.broadcast(codes) if len(p) <= MOST_NEIGHBOURS else codes, "idx").withColumn(f"d{i}", d).filter(F.col(f"d{i}") <= F.col(cap))
-    parts = [f"d{i}" for i in range(len(segments))]
-    total = sum((F.col(c) for c in parts[1:]), F.col(parts[0]))
-    found = found.withColumn("distance", total)
-    near = _nearest(found, keys)
+    v0, pool, cap0 = segments[0]
+    whole = spark.createDataFrame([(i, *(x.upper() for x in t)) for i, t in enumerate(zip(*(p.sequences for _, p, _ in segments), strict=True))], ", ".join(["idx int", *(f"s{i} string" for i in range(len(segments)))]))
     idx, status = _chosen(duplicates)
-    near = near.select(*keys, "distance", idx.alias("idx"), status.alias("status"))
-    return df.join(near, keys)
+
+    def judged(found: Column) -> Column:
+        """struct(distance, first, last) of an array of (idx, d0, s1, s2, ...), null if no barcode is within the caps."""
+        rest = [lambda b, i=i, v=v, p=p: _differing(F.col(v), b[f"s{i}"], p) for i, (v, p, _) in enumerate(segments) if i]
+        near = F.transform(found, lambda b: F.struct(b["idx"].alias("idx"), b["d0"].alias("d0"), *(d(b).alias(f"d{i}") for i, d in enumerate(rest, 1))))
+        within = lambda b: reduce(Column.__and__, (b[f"d{i}"] <= F.col(c) for i, (_, _, c) in enumerate(segments)))
+        total = lambda b: F.struct(reduce(Column.__add__, (b[f"d{i}"] for i in range(len(segments)))).alias("distance"), b["idx"].alias("idx"))
+        last = lambda all_, lo: F.array_max(F.transform(F.filter(all_, lambda x: x["distance"] == lo["distance"]), lambda x: x["idx"]))
+        return let(F.transform(F.filter(near, within), total), lambda all_: let(F.array_min(all_), lambda lo: F.when(lo.isNotNull(), F.struct(lo["distance"].alias("distance"), lo["idx"].alias("first"), last(all_, lo).alias("last")))))
+
+    def done(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_near", judged(F.col("_found"))).filter("_near is not null").select(*df.columns, "_near.*").select(*df.columns, "distance", idx.alias("idx"), status.alias("status"))
+
+    if not len(pool):
+        return df.filter(F.lit(False)).withColumns({"distance": F.lit(0), "idx": F.lit(0), "status": F.lit(OK)})
+    others = [f"s{i}" for i in range(1, len(segments))]
+    if pool.is_wide and len(pool) <= MOST_BRUTE:
+        every = F.array(*[F.struct(F.lit(i).alias("idx"), *(F.lit(p.sequences[i].upper()).alias(f"s{k}") for k, (_, p, _) in enumerate(segments))) for i in range(len(pool))])
+        near = F.transform(every, lambda b: F.struct(b["idx"].alias("idx"), _differing(F.col(v0), b["s0"], pool).alias("d0"), *(b[c].alias(c) for c in others)))
+        return done(df.withColumn("_found", F.filter(near, lambda b: b["d0"] <= F.col(cap0))))
+    if neighbourhood_size(pool.expanded_size, pool.length, most) <= MOST_NEIGHBOURS:
+        near = neighbours(spark, pool, most).join(F.broadcast(whole), "idx")
+        table = near.groupBy("key").agg(F.collect_list(F.struct("idx", F.col("distance").alias("d0"), *others)).alias("_found"))
+        return done(df.join(F.broadcast(table), df[v0] == table["key"]).drop("key"))
+    # each distinct string of the first segment is looked up once, by parts of which one is equal
+    n, parts = pool.length, min(most + 1, pool.length)
+    cuts = [i * n // parts for i in range(parts + 1)]
+    seeds = lambda c: F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.substring(c, cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("seed")) for i in range(parts)]))
+    known = _expanded(spark, pool)
+    seen = df.select(F.col(v0).alias("v")).distinct()
+    if most < n:
+        pairs = seen.select("v", seeds("v").alias("s")).select("v", "s.*").join(known.select("idx", "key", seeds("key").alias("s")).select("idx", "key", "s.*"), ["part", "seed"])
+    else:  # every barcode is near every string
+        pairs = seen.filter(F.length("v") == n).crossJoin(known)
+    pairs = pairs.withColumn("d0", hamming("v", "key", n)).filter(F.col("d0") <= most).groupBy("v", "idx").agg(F.min("d0").alias("d0"))
+    table = pairs.join(whole.drop("s0"), "idx").groupBy("v").agg(F.collect_list(F.struct("idx", "d0", *others)).alias("_found"))
+    return done(df.join(table, df[v0] == table["v"]).drop("v"))

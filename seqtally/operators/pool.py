@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import product
 from math import prod
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqtally.functions.bases import IUPAC, reverse_complement_text
 from seqtally.schema import Duplicates
 
-#: Expanded sequences of a pool at most; wider ones are compared base by base instead.
-MOST_EXPANDED = 200_000
+#: A pool whose barcodes stand for over MOST_EACH sequences on average, and for over MOST_EXPANDED in all, is wide: its
+#: barcodes are compared base by base, not through a table of sequences.
+MOST_EXPANDED, MOST_EACH = 200_000, 256
+
+
+_MASKS = {k: sum(1 << "ACGT".index(b) for b in v) for k, v in IUPAC.items()}
 
 
 @dataclass(frozen=True)
@@ -61,28 +67,29 @@ class BarcodePool:
 
     @property
     def is_wide(self) -> bool:
-        return self.expanded_size > MOST_EXPANDED
+        return self.expanded_size > max(MOST_EXPANDED, MOST_EACH * len(self))
 
-    def expanded(self) -> list[tuple[int, str]]:
+    def expanded(self) -> Iterator[tuple[int, str]]:
         """(idx, sequence over ACGT) of every sequence that a barcode stands for."""
-        return [(i, "".join(p)) for i, s in enumerate(self.sequences) for p in product(*(IUPAC[c] for c in s.upper()))]
+        return ((i, "".join(p)) for i, s in enumerate(self.sequences) for p in product(*(IUPAC[c] for c in s.upper())))
 
     def check(self, duplicates: Duplicates) -> None:
         """Duplicates.ERROR fails when the pool is built, not when it is used."""
         if duplicates is not Duplicates.ERROR:
             return
-        if self.is_wide:
-            seqs = [s.upper() for s in self.sequences]
-            for j in range(len(seqs)):
-                for i in range(j):
-                    if all(set(IUPAC[a]) & set(IUPAC[b]) for a, b in zip(seqs[i], seqs[j], strict=True)):
-                        raise ValueError(f"duplicate sequences detected ({i + 1}, {j + 1}) when constructing the trie")
+        message = "duplicate sequences detected ({}, {}) when constructing the trie"
+        if self.is_wide:  # bits of the bases that each place allows; barcodes collide if they have one in common everywhere
+            masks = np.array([[_MASKS[c] for c in s.upper()] for s in self.sequences], np.uint8)
+            for j in range(1, len(masks)):
+                same = np.flatnonzero((masks[:j] & masks[j]).all(1))
+                if len(same):
+                    raise ValueError(message.format(int(same[0]) + 1, j + 1))
             return
         seen: dict[str, int] = {}
         for j, s in self.expanded():
             i = seen.setdefault(s, j)
             if i != j:
-                raise ValueError(f"duplicate sequences detected ({i + 1}, {j + 1}) when constructing the trie")
+                raise ValueError(message.format(i + 1, j + 1))
 
 
 def concatenated(pools: list[BarcodePool], message: str = "all entries of 'barcode_pools' should have the same length") -> BarcodePool:

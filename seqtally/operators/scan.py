@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqtally.functions.bases import canonical, reverse_complement
+from seqtally.functions.bases import canonical, let, reverse_complement
 from seqtally.plans.template import Template
 from seqtally.schema import Strand
 
@@ -74,3 +74,19 @@ def candidates(reads: DataFrame, template: Template, max_mismatches: int, strand
         v = forward if flags == (False,) else backward if flags == (True,) else F.when(F.col("reverse"), backward).otherwise(forward)
         regions.append((v if raw else canonical(v)).alias(f"v{i}"))
     return hits.select(*keys, "position", "reverse", "constant_mismatches", *regions)
+
+
+def hits_in_row(seq: str, template: Template, max_mismatches: int, reverse: bool) -> Column:
+    """An array of struct(position, v, mismatches): the hits of a template of one region, found inside the row.
+
+    They are those of ``candidates``, for one strand, without a row for each place.
+    """
+    n, (s, e) = len(template), template.regions[0]
+    places = F.when(F.length(seq) >= n, F.sequence(F.lit(0), F.length(seq) - n)).otherwise(F.array().cast("array<int>"))
+    upper = F.upper(seq)
+    window = lambda p: F.substr(upper, p + 1, F.lit(n))
+    quick = _fits(F.lit(""), template, reverse, max_mismatches) is not None
+    at = F.filter(places, lambda p: _fits(window(p), template, reverse, max_mismatches)) if quick else places
+    cut = lambda w: canonical(reverse_complement(F.substring(w, n - e + 1, e - s)) if reverse else F.substring(w, s + 1, e - s))
+    found = F.transform(at, lambda p: let(window(p), lambda w: F.struct(p.alias("position"), cut(w).alias("v"), constant_mismatches(w, template, reverse).alias("mismatches"))))
+    return F.filter(found, lambda h: h["mismatches"] <= max_mismatches)

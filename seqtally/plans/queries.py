@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -28,7 +27,6 @@ ORACLES: dict[str, str] = {}
 FIRST_BEST = ((True, "first"), (False, "best"))
 MATCH = "select read_id, idx, position, reverse, cast(mm as integer) as mismatches, cast(d as integer) as variable_mismatches from m"
 IUPAC_POOL = ["ARRACSSC", "GKKGTNNT", "ACGTNNNN", "TTTTWWWW", "ACGTRCGT"]
-NEAR = "V"
 
 
 def add(name: str, query: Query, sql: str) -> None:
@@ -36,7 +34,9 @@ def add(name: str, query: Query, sql: str) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="seqtally-")
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{base.rstrip('/')}/reads-{uuid.uuid4().hex}"
 
 
@@ -172,7 +172,7 @@ for _how in ("brute", "seeds", "neighbours"):
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = observed(spark, sf_dir).selectExpr("read_id", "substring(v0, 1, 5) as a", "substring(v0, 6, 3) as b", "cast(read_id % 3 as int) as cap1", "cast(read_id % 2 as int) as cap2")
     p = S.pool1()
-    out = lookup_segments(halves, [("a", BarcodePool([s[:5] for s in p]), "cap1"), ("b", BarcodePool([s[5:] for s in p]), "cap2")], Duplicates.NONE, [])
+    out = lookup_segments(halves, [("a", BarcodePool([s[:5] for s in p]), "cap1"), ("b", BarcodePool([s[5:] for s in p]), "cap2")], Duplicates.NONE, 2)
     return out.select("read_id", "distance", "idx", "status")
 
 
@@ -207,10 +207,6 @@ add("combo_se_3regions", lambda s, d: H.CombinatorialBarcodes(S.THREE, [S.pool1(
 add("match_best_ambiguous", lambda s, d: S.reads(s, d).select("read_id").join(H.SingleBarcode(S.ONE, S.pool1(), 2, False).matches(S.reads(s, d)).select("read_id"), "read_id", "left_anti"), O.query(O.single("m", "reads", "seq", S.ONE, "pool1", 2, False), "select read_id from reads where read_id not in (select read_id from m)"))
 
 
-def tuple_pool1() -> list[str]:
-    return S.pool1()
-
-
 _repeats = [S.pool2()[i % 12] for i in range(S.POOL1)]
 for _first, _word in FIRST_BEST:
     _ctes = O.dual_paired("m", _first, False, 1, 1, S.LEFT, S.RIGHT) + ["rest as (select * from pairs where read_id not in (select read_id from m))"]

@@ -19,7 +19,7 @@ def test_strategies_agree_up_to_caps_of_the_whole_length(spark, cap, duplicates)
 def test_segments_agree_at_a_cap_of_the_whole_length(spark, monkeypatch):
     df = spark.createDataFrame([(s, "AC", 3, 1) for s in STRINGS], "a string, b string, ca int, cb int")
     segments = [("a", POOL, "ca"), ("b", BarcodePool(["AC", "AG", "TT"]), "cb")]
-    rows = lambda: sorted(map(str, lk.lookup_segments(df, segments, Duplicates.FIRST, ["a", "b"]).select("a", "b", "distance", "idx", "status").collect()))
+    rows = lambda: sorted(map(str, lk.lookup_segments(df, segments, Duplicates.FIRST, 3).select("a", "b", "distance", "idx", "status").collect()))
     want = rows()
     monkeypatch.setattr(lk, "MOST_NEIGHBOURS", 3)
     assert rows() == want and len(want) == len(STRINGS)
