@@ -41,9 +41,9 @@ SEED = 42
 #: Fingerprints, those with the least hash, on which chances of agreement are estimated.
 SAMPLE = 4096
 #: Fingerprints of a bucket that are compared with each other in one task.
-MOST = 2048
-#: What a row of a bucket costs, in comparisons of two fingerprints.
-ROW_COST = 400.0
+MOST = 1 << 14
+#: What a row of a bucket costs to shuffle and gather, in comparisons of two fingerprints.
+ROW_COST = 2000.0
 #: Buckets whose members agree on so many bits are not divided; they hold at most 2 ** (BITS - DIVIDED) fingerprints.
 DIVIDED = 50
 
@@ -208,8 +208,8 @@ def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]
     return best[distance + 1]
 
 
-def plan(n: int, moments: np.ndarray, sample: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """(mask, threshold) of each partition that is used."""
+def plan(n: int, moments: np.ndarray, sample: np.ndarray, distance: int = DISTANCE, most: int = MOST) -> list[tuple[int, int]]:
+    """(mask, threshold) of each partition that is used.  Buckets of over ``most`` members are expected to be divided once."""
     best, n = None, max(n, 1)
     for m in range(1, distance + 2):
         masks = [mask_of(g) for g in correlated_groups(n, moments, m)]
@@ -217,7 +217,8 @@ def plan(n: int, moments: np.ndarray, sample: np.ndarray, distance: int = DISTAN
         for mask in masks:
             width = mask.bit_count()
             chance = agreement(sample, mask, distance)
-            costs.append([n * n / 2 * chance[t] + ROW_COST * n * sum(comb(width, k) for k in range(t + 1)) for t in range(distance + 1)])
+            again = distance + 1 if n * chance[0] > most else 1
+            costs.append([n * n / 2 * chance[t] + ROW_COST * again * n * sum(comb(width, k) for k in range(t + 1)) for t in range(distance + 1)])
         cost, thresholds = allocate(costs, distance)
         if best is None or cost < best[0]:
             best = cost, [(mask, t) for mask, t in zip(masks, thresholds, strict=True) if t >= 0]
@@ -339,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")))
     n, moments = bit_moments(fps)
     sample = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy().astype(np.int64).view(np.uint64)
-    edges = near_pairs(fps, plan(n, moments, sample, distance), distance, most)
+    edges = near_pairs(fps, plan(n, moments, sample, distance, most), distance, most)
     roots = components(edges)
     member = written(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     if least is None:

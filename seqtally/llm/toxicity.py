@@ -30,7 +30,7 @@ from seqtally.llm.kernels import column_bytes, runs, span_hashes, words
 HASH_BITS = 18
 FACTORS = 8
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their id.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 12_000
 #: Training rows that a feature stands in at least: fewer can't show a relation.
 LEAST_ROWS = 4
 #: Standard deviations of noise that a gradient must exceed.
