@@ -8,8 +8,10 @@ pools are made when a design is built; reads are checked when a plan runs.
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Iterator
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,27 @@ class Handler(ABC):
     def plan(self, reads: DataFrame) -> DataFrame: ...
 
 
+class BatchHandler(Handler):
+    """A design of one's own as a function over Arrow batches of reads; ``schema`` is that of the batches it gives.
+
+    A batch is a part of a partition, so what needs more than one read is aggregated afterwards (``plan(...).groupBy(...)``).
+    """
+
+    schema: str
+
+    @abstractmethod
+    def process(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]: ...
+
+    def plan(self, reads: DataFrame) -> DataFrame:
+        process = self.process
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from process(batch)
+
+        return reads.mapInArrow(run, self.schema)
+
+
 def _pool(p) -> BarcodePool:
     return p if isinstance(p, BarcodePool) else BarcodePool(p)
 

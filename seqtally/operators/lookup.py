@@ -39,6 +39,8 @@ def strategy(pool: BarcodePool, cap: int) -> str:
 
 
 def _expanded(spark: SparkSession, pool: BarcodePool) -> DataFrame:
+    if pool.letters <= set("ACGT"):
+        return pool.frame(spark).withColumnRenamed("seq", "key")
     return expand_iupac(pool.frame(spark)).select("idx", F.col("expanded").alias("key"))
 
 
@@ -125,7 +127,7 @@ def split_pool(pool: BarcodePool, lengths: list[int]) -> list[BarcodePool]:
 
 def _differing(v: Column, codes: Column, pool: BarcodePool) -> Column:
     """Places at which v has none of the bases that ``codes``, a barcode of pool, stands for."""
-    plain = set("".join(pool.sequences).upper()) <= set("ACGT")
+    plain = pool.letters <= set("ACGT")
     any_of = F.create_map(*[F.lit(x) for pair in IUPAC.items() for x in pair])
     d = F.lit(0)
     for at in range(1, pool.length + 1):

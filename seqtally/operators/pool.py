@@ -9,6 +9,7 @@ from itertools import product
 from math import prod
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +36,8 @@ class BarcodePool:
         object.__setattr__(self, "fixed_length", fixed_length)
         if fixed_length is None and len({len(s) for s in self.sequences}) > 1:
             raise ValueError("sequences for a given variable region should be of a constant length")
-        for s in self.sequences:
-            for c in s.upper():
-                if c not in IUPAC:
-                    raise ValueError(f"unknown base '{c}' detected when constructing the trie")
+        for c in sorted(self.letters - set(IUPAC)):
+            raise ValueError(f"unknown base '{c}' detected when constructing the trie")
 
     @staticmethod
     def from_frame(df: DataFrame, seq: str = "seq", order: str = "idx") -> BarcodePool:
@@ -56,13 +55,20 @@ class BarcodePool:
         return self.fixed_length if self.fixed_length is not None else len(self.sequences[0]) if self.sequences else 0
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(i, s.upper()) for i, s in enumerate(self.sequences)], "idx int, seq string")
+        columns = {"idx": pa.array(range(len(self)), pa.int32()), "seq": pa.array([s.upper() for s in self.sequences], pa.string())}
+        return spark.createDataFrame(pa.table(columns), "idx int, seq string")
 
     def reversed(self) -> BarcodePool:
         return BarcodePool(map(reverse_complement_text, self.sequences), self.fixed_length)
 
+    @cached_property
+    def letters(self) -> set[str]:
+        return set().union(*(s.upper() for s in self.sequences))
+
     @cached_property
     def expanded_size(self) -> int:
+        if self.letters <= set("ACGT"):
+            return len(self)
         return sum(prod(len(IUPAC[c]) for c in s.upper()) for s in self.sequences)
 
     @property
@@ -71,6 +77,8 @@ class BarcodePool:
 
     def expanded(self) -> Iterator[tuple[int, str]]:
         """(idx, sequence over ACGT) of every sequence that a barcode stands for."""
+        if self.letters <= set("ACGT"):
+            return ((i, s.upper()) for i, s in enumerate(self.sequences))
         return ((i, "".join(p)) for i, s in enumerate(self.sequences) for p in product(*(IUPAC[c] for c in s.upper())))
 
     def check(self, duplicates: Duplicates) -> None:

@@ -102,17 +102,17 @@ def dual(name: str, source: str, seq: str, text: str, pool: str, k: int, first:
 TUPLES = "tuples as (select a.idx, a.seq as s1, b.seq as s2, a.seq || b.seq as seq from pool1 a join pool2 b on b.idx = a.idx % 12)"
 
 
-def dual_paired(name: str, first: bool, random: bool, k1: int, k2: int, left: str, right: str, duplicates: str = "error") -> list[str]:
+def dual_paired(name: str, first: bool, random: bool, k1: int, k2: int, left: str, right: str, duplicates: str = "error", strands: tuple[str, str] = ("forward", "forward"), source: str = "pairs", tuples: str = "tuples") -> list[str]:
     """CTE ``name``: read_id, idx."""
     pick = {"first": "min(idx)", "last": "max(idx)"}.get(duplicates, "case when count(distinct idx) = 1 then min(idx) end")
     out, sides = [], [("o", "seq1", "seq2", 0), *([("w", "seq2", "seq1", 1)] if random else [])]
     for tag, a, b, _ in sides:
-        out += scan(f"{name}_{tag}1", "pairs", a, left, k1, "forward") + scan(f"{name}_{tag}2", "pairs", b, right, k2, "forward")
+        out += scan(f"{name}_{tag}1", source, a, left, k1, strands[0]) + scan(f"{name}_{tag}2", source, b, right, k2, strands[1])
     parts = " union all ".join(f"select x.read_id, {s} as side, x.position as p1, y.position as p2, x.cm as c1, y.cm as c2, x.v0 as a, y.v0 as b from {name}_{t}1 x join {name}_{t}2 y using (read_id)" for t, _, _, s in sides)
     keys = "read_id, side, p1, p2, c1, c2"
     out += [
         f"{name}_c as ({parts})",
-        f"{name}_d as (select {keys}, t.idx, cast(hamming(a, t.s1) as integer) as d1, cast(hamming(b, t.s2) as integer) as d2 from {name}_c cross join tuples t)",
+        f"{name}_d as (select {keys}, t.idx, cast(hamming(a, t.s1) as integer) as d1, cast(hamming(b, t.s2) as integer) as d2 from {name}_c cross join {tuples} t)",
         f"{name}_e as (select *, min(d1 + d2) over (partition by {keys}) as least from {name}_d where d1 <= {k1} - c1 and d2 <= {k2} - c2)",
         f"{name}_h as (select * from (select {keys}, c1 + c2 + least as mm, {pick} as idx from {name}_e where d1 + d2 = least group by {keys}, least) where idx is not null)",
     ]
@@ -130,12 +130,12 @@ def dual_paired(name: str, first: bool, random: bool, k1: int, k2: int, left: st
     return out
 
 
-def combo_paired(name: str, source: str, first: bool, random: bool, k1: int, k2: int, left: str, right: str, duplicates: str = "error") -> list[str]:
+def combo_paired(name: str, source: str, first: bool, random: bool, k1: int, k2: int, left: str, right: str, duplicates: str = "error", strands: tuple[str, str] = ("forward", "forward")) -> list[str]:
     """CTE ``name``: read_id, kind, idx1, idx2."""
-    out = single(f"{name}_m1", source, "seq1", left, "pool1", k1, first, duplicates=duplicates) + single(f"{name}_m2", source, "seq2", right, "pool2", k2, first, duplicates=duplicates)
+    out = single(f"{name}_m1", source, "seq1", left, "pool1", k1, first, strands[0], duplicates) + single(f"{name}_m2", source, "seq2", right, "pool2", k2, first, strands[1], duplicates)
     names = ["m1", "m2"]
     if random:
-        out += single(f"{name}_n1", source, "seq2", left, "pool1", k1, first, duplicates=duplicates) + single(f"{name}_n2", source, "seq1", right, "pool2", k2, first, duplicates=duplicates)
+        out += single(f"{name}_n1", source, "seq2", left, "pool1", k1, first, strands[0], duplicates) + single(f"{name}_n2", source, "seq1", right, "pool2", k2, first, strands[1], duplicates)
         names += ["n1", "n2"]
     columns = ", ".join(f"{x}.idx as {x}, {x}.mm as {x}m" for x in names)
     joins = " ".join(f"left join {name}_{x} {x} on {x}.read_id = r.read_id" for x in names)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from seqtally.plans import synth as S
 from seqtally.plans.template import Template
 from seqtally.schema import Duplicates, Strand
 from seqtally.sources.fastq import pair, read_fastq, read_fastq_strict, write_fastq
-from seqtally.streaming.counts import stream_counts
+from seqtally.streaming.counts import count_stream, counted, stream_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +76,19 @@ def paired_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair(one, two)
 
 
+def paired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files a side, by the parity of the read, written and read again: a read goes with the one at its place in the file of its place."""
+    base, sides = scratch(spark), []
+    for n in (1, 2):
+        for lane in (0, 1):
+            own = S.pairs(spark, sf_dir).filter(F.col("read_id") % 2 == lane).select(F.concat(F.lit(f"{n}."), "read_id").alias("name"), F.col(f"seq{n}").alias("seq"), "read_id")
+            write_fastq(own.coalesce(1).sortWithinPartitions("read_id"), f"{base}/{n}/{lane}")
+        # one folder for each file as Spark writes them, so their reads are numbered here by hand
+        sides.append(read_fastq(spark, f"{base}/{n}/0").unionByName(read_fastq(spark, f"{base}/{n}/1").withColumn("file_no", F.lit(1))))
+    return pair(*sides).select("name1", "seq1", "name2", "seq2")
+
+
+add("paired_fastq_files", paired_files, O.query([], "select '1.' || read_id as name1, seq1, '2.' || read_id as name2, seq2 from pairs"))
 add("paired_zip", paired_zip, O.query([], "select read_id, 'FOO' || read_id as name1, seq1, 'BAR' || read_id as name2, seq2 from pairs"))
 
 # --- bases -------------------------------------------------------------------------------------
@@ -219,6 +234,57 @@ for _first, _word in FIRST_BEST:
     add(f"dual_se_diag_{_word}", lambda s, d, f=_first: H.DualBarcodesDiagnostics(S.TWO, [S.pool1(), _repeats], max_mismatches=1, use_first=f).combinations(S.reads(s, d)), O.query(_ctes, "select idx1, idx2, count(*) as count from c group by all"))
 
 
+# --- pools of any size --------------------------------------------------------------------------
+
+_LARGE = [f"large_reads as ({S.LARGE_SQL})", f"large_pool as ({S.LARGE_POOL_SQL})"]
+# within one mismatch of a barcode: one of its halves is equal
+_near = lambda p, q: f"select read_id, position, p.idx, cm, cast(hamming(v0, p.seq) as integer) as d from h join large_pool p on substr(v0,{p},10) = substr(p.seq,{p},10){q}"
+_LARGE_MATCH = [
+    *_LARGE,
+    *O.scan("h", "large_reads", "seq", S.LARGE_TEMPLATE, 1, "forward"),
+    f"c as ({_near(1, '')} union {_near(11, '')})",
+    "t as (select read_id, idx, position, false as reverse, cm + d as mm from c where cm + d <= 1)",
+    *O.resolve("m", "t", False),
+]
+
+
+def exact_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = S.large_reads(spark, sf_dir).select("read_id", F.regexp_extract("seq", "ACGT([ACGTN]{20})CGGC", 1).alias("v0"))
+    out = lookup(seen, "v0", BarcodePool(S.large_pool()), 0, Duplicates.ERROR)
+    return out.select("read_id", F.col("v0_idx").alias("idx"), F.col("v0_status").alias("status"))
+
+
+add("lookup_exact_large", exact_large, O.query(_LARGE, "select read_id, p.idx, 'OK' as status from (select read_id, regexp_extract(seq, 'ACGT([ACGTN]{20})CGGC', 1) as v0 from large_reads) join large_pool p on p.seq = v0"))
+add("single_se_large_pool", lambda s, d: H.SingleBarcode(S.LARGE_TEMPLATE, S.large_pool(), 1, False).matches(S.large_reads(s, d)).select("read_id", "idx", "position", "mismatches"), O.query(_LARGE_MATCH, "select read_id, idx, position, cast(mm as integer) as mismatches from m"))
+
+# --- other strands, ties and counters of paired designs --------------------------------------------
+
+
+def turned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose first read lies on the other strand."""
+    return S.pairs(spark, sf_dir).withColumn("seq1", reverse_complement("seq1"))
+
+
+_TURNED = [f"turned_pairs as (select read_id, {O.turned('seq1')} as seq1, seq2 from pairs)"]
+_OTHER = ("reverse", "forward")
+for _first, _word in FIRST_BEST:
+    _ctes = O.dual_paired("m", _first, True, 1, 1, S.LEFT, S.RIGHT, strands=_OTHER, source="turned_pairs")
+    add(f"dual_pe_reverse_{_word}", lambda s, d, f=_first: H.DualBarcodesPaired(S.LEFT, dual_pools()[0], S.RIGHT, dual_pools()[1], 1, 1, f, Strand.REVERSE, random=True).counts(turned_pairs(s, d)), O.query([*_TURNED, *_ctes], O.dense("m", S.POOL1)))
+    _ctes = O.combo_paired("m", "turned_pairs", _first, True, 1, 1, S.LEFT, S.RIGHT, strands=_OTHER)
+    add(f"combo_pe_reverse_{_word}", lambda s, d, f=_first: H.CombinatorialBarcodesPaired(S.LEFT, S.pool1(), S.RIGHT, S.pool2(), 1, 1, f, Strand.REVERSE, random=True).combinations(turned_pairs(s, d)), O.query([*_TURNED, *_ctes], "select idx1, idx2, count(*) as count from m where kind in ('m', 'n') group by all"))
+
+# a pool and tuples in which places i and i + 12 are the same
+_TWICE = [f"twice as (select cast(i as integer) as idx, {S.bc1('(i % 12)')} as seq from range(24) t(i))", "tuples_twice as (select a.idx, a.seq as s1, b.seq as s2, a.seq || b.seq as seq from twice a join pool2 b on b.idx = a.idx % 12)"]
+for _dup in (Duplicates.LAST, Duplicates.NONE, Duplicates.FIRST):
+    _word, _pool = _dup.value, S.pool1()[:12] * 2
+    add(f"single_se_ties_{_word}", lambda s, d, x=_dup, p=_pool: H.SingleBarcode(S.ONE, p, 1, False, Strand.FORWARD, x).counts(S.reads(s, d)), O.query([*_TWICE, *O.single("m", "reads", "seq", S.ONE, "twice", 1, False, duplicates=_word)], O.dense("m", S.POOL1)))
+    _ctes = O.dual_paired("m", False, False, 1, 1, S.LEFT, S.RIGHT, _word, tuples="tuples_twice")
+    add(f"dual_pe_ties_{_word}", lambda s, d, x=_dup, p=_pool: H.DualBarcodesPaired(S.LEFT, p, S.RIGHT, S.pool2() * 2, 1, 1, False, duplicates=x).counts(S.pairs(s, d)), O.query([*_TWICE, *_ctes], O.dense("m", S.POOL1)))
+
+add("dual_pe_diag_counts", lambda s, d: H.DualBarcodesPairedDiagnostics(S.LEFT, S.pool1(), S.RIGHT, _repeats, max_mismatches1=1, max_mismatches2=1, use_first=False).counts(S.pairs(s, d)), O.query(O.dual_paired("m", False, False, 1, 1, S.LEFT, S.RIGHT), O.dense("m", S.POOL1)))
+add("dual_se_diag_counts", lambda s, d: H.DualBarcodesDiagnostics(S.TWO, [S.pool1(), _repeats], max_mismatches=1, use_first=False).counts(S.reads(s, d)), O.query(O.dual("m", "reads", "seq", S.TWO, "tuples", 1, False), O.dense("m", S.POOL1)))
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
@@ -233,3 +299,44 @@ def streaming_single_se(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("streaming_single_se", streaming_single_se, O.query(O.single("m", "reads", "seq", S.ONE, "pool1", 1, False), "select idx, count(*) as count from m group by idx"))
+
+
+def streamed(design: Callable[[], H.Handler], source: Query, schema: str) -> Query:
+    """Four files of reads, two in each micro-batch."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = scratch(spark)
+        source(spark, sf_dir).repartition(4).write.parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+        count_stream(stream, design(), f"{base}/out", f"{base}/state").awaitTermination()
+        return counted(spark, f"{base}/out")
+
+    return run
+
+
+_READS, _PAIRS = "read_id long, seq string", "read_id long, seq1 string, seq2 string"
+for _name, _design, _source, _schema, _same in (
+    ("single_dense", lambda: H.SingleBarcode(S.ONE, S.pool1(), 1, False), S.reads, _READS, "single_se_best"),
+    ("single_pe", lambda: H.SingleBarcodePaired(S.LEFT, S.pool1(), 1, False), S.pairs, _PAIRS, "single_pe_best"),
+    ("combo_se", lambda: H.CombinatorialBarcodes(S.TWO, [S.pool1(), S.pool2()], 2, False), S.reads, _READS, "combo_se_best"),
+    ("combo_pe", lambda: H.CombinatorialBarcodesPaired(S.LEFT, S.pool1(), S.RIGHT, S.pool2(), 1, 1, False), S.pairs, _PAIRS, "combo_pe_best"),
+    ("dual_se", lambda: H.DualBarcodes(S.TWO, dual_pools(), 2, False, Strand.BOTH), S.reads, _READS, "dual_se_best"),
+    ("dual_pe", lambda: H.DualBarcodesPaired(S.LEFT, dual_pools()[0], S.RIGHT, dual_pools()[1], 1, 1, False), S.pairs, _PAIRS, "dual_pe_best"),
+    ("dual_se_diag", lambda: H.DualBarcodesDiagnostics(S.TWO, [S.pool1(), _repeats], max_mismatches=1, use_first=False), S.reads, _READS, "dual_se_diag_best"),
+    ("dual_pe_diag", lambda: H.DualBarcodesPairedDiagnostics(S.LEFT, S.pool1(), S.RIGHT, _repeats, max_mismatches1=1, max_mismatches2=1, use_first=False), S.pairs, _PAIRS, "dual_pe_diag_best"),
+    ("random_se", lambda: H.RandomBarcode(S.ASYMMETRIC, 1, False, Strand.BOTH), S.asymmetric_reads, _READS, "random_se_best"),
+):
+    add(f"streaming_{_name}", streamed(_design, _source, _schema), ORACLES[_same])
+
+
+class BasesOfReads(H.BatchHandler):
+    """Reads by length, counted batch by batch: an example of a design over Arrow batches."""
+
+    schema = "length int, count long"
+
+    def process(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = pc.value_counts(pc.utf8_length(batch.column("seq")))
+        yield pa.RecordBatch.from_arrays([n.field("values").cast(pa.int32()), n.field("counts")], names=["length", "count"])
+
+
+add("batch_handler", lambda s, d: BasesOfReads().plan(S.reads(s, d)).groupBy("length").agg(F.sum("count").alias("count")), O.query([], "select cast(length(seq) as integer) as length, count(*) as count from reads group by 1"))

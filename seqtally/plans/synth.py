@@ -98,6 +98,22 @@ def asymmetric() -> str:
     return _turned(body, f"{k}%7=3")
 
 
+#: Barcodes of the large pool, and the template that holds them.
+LARGE, LARGE_TEMPLATE = 300_000, "ACGT--------------------CGGC"
+
+
+def large_pool() -> list[str]:
+    return [_py_dna(f"L{i}")[:20] for i in range(LARGE)]
+
+
+def large() -> str:
+    """A read with a barcode of the large pool, or of none of it, and a substitution in every fourth."""
+    code = _changed(f"substr({dna(f"'L'||({K}*17%400000)")},1,20)", f"{K}%4=1", f"{K}%20", f"substr('ACGTN',cast({K}%5+1 as int),1)")
+    return f"substr({dna(f"'p'||{K}")},1,cast({K}%9 as int)) || 'ACGT' || {code} || 'CGGC' || substr({dna(f"'s'||{K}")},1,6)"
+
+
+LARGE_SQL = f"select {K} as read_id, {large()} as seq from orders"
+LARGE_POOL_SQL = f"select cast(i as integer) as idx, substr({dna("'L'||i")},1,20) as seq from range({LARGE}) t(i)"
 READS_SQL = f"select {K} as read_id, {single()} as seq from orders"
 PAIRS_SQL = "select {0} as read_id, {1} as seq1, {2} as seq2 from orders".format(K, *turned_pair())
 ASYMMETRIC_SQL = f"select {K} as read_id, {asymmetric()} as seq from orders"
@@ -118,3 +134,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asymmetric_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_orders(spark, sf_dir, f"{asymmetric()} as seq")
+
+
+def large_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_orders(spark, sf_dir, f"{large()} as seq")

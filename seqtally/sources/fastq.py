@@ -7,23 +7,29 @@ is for files of four lines a record: plain files are split like any text.
 
 from __future__ import annotations
 
-import glob
-import gzip
-import os
+import io
 from collections.abc import Iterator
+from fnmatch import fnmatch
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 BUFFER = 1 << 16
+#: Records of a batch.
+BATCH = 8192
+#: Bits of a read's number within its file.
+RECORD_BITS = 40
 
 
 def parse(lines: Iterator[bytes], strip_cr: bool = False) -> Iterator[tuple[bytes, bytes]]:
     """(name, sequence) of each record; sequences and qualities may span lines.
 
-    Errors tell true line numbers.  A blank line inside a sequence is part of it as a line feed; one after
+    Errors tell true line numbers.  The line after a name is sequence even if it begins with ``+``.  A blank line inside a
+    sequence is part of it as a line feed, and the next line is sequence whatever it begins with; one after
     the last record is an error.
     """
     number = 0
@@ -52,15 +58,20 @@ def parse(lines: Iterator[bytes], strip_cr: bool = False) -> Iterator[tuple[byte
         words = header[1:].split(None, 1)
         name = words[0] if words and not header[1:2].isspace() else b""
         parts: list[bytes] = []
+        free = True  # whether a line may begin with + and still be sequence
         while True:
             line = take()
             if line is None:
                 raise early()
-            if line.startswith(b"+") and (parts or True):
+            if line.startswith(b"+") and not free:
                 break
             if not line.endswith(b"\n"):
                 raise early()
-            parts.append(body(line) or (b"\n" if parts else b""))
+            text = body(line)
+            if not text and not free:
+                parts.append(b"\n")
+            parts.append(text)
+            free = not text and not free
         if not line.endswith(b"\n"):
             raise early()
         seq = b"".join(parts)
@@ -81,19 +92,37 @@ def parse(lines: Iterator[bytes], strip_cr: bool = False) -> Iterator[tuple[byte
         yield name, seq
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """A local path, or the URI of any store that Arrow reads (file, hdfs, s3, gs, ...)."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def list_files(path: str) -> list[str]:
+    """The files of a folder, or those that a pattern in the last part of a path fits, or one file, in order; names that begin with _ or . don't count."""
+    fs, name = file_system(path)
+    prefix = path[: len(path) - len(name)] if path.endswith(name) else ""
+    folder, _, last = name.rstrip("/").rpartition("/")
+    if any(c in last for c in "*?["):
+        found = [i.path for i in fs.get_file_info(pafs.FileSelector(folder or ".")) if i.is_file and fnmatch(i.base_name, last)]
+    else:
+        info = fs.get_file_info(name.rstrip("/"))
+        found = [i.path for i in fs.get_file_info(pafs.FileSelector(info.path)) if i.is_file] if info.type == pafs.FileType.Directory else [info.path] if info.is_file else []
+    return [prefix + p for p in sorted(found) if not p.rpartition("/")[2].startswith(("_", "."))]
+
+
 def open_lines(path: str, buffer: int = BUFFER) -> Iterator[bytes]:
     """Lines of a plain or gzipped file, told apart by its first bytes."""
-    with open(path, "rb", buffering=buffer) as f:
+    fs, name = file_system(path)
+    with fs.open_input_file(name) as f:
         magic = f.read(2)
-    opener = gzip.open(path, "rb") if magic == b"\x1f\x8b" else open(path, "rb", buffering=buffer)
-    with opener as f:
-        yield from f
+    with fs.open_input_stream(name, compression="gzip" if magic == b"\x1f\x8b" else None, buffer_size=buffer) as f:
+        yield from io.BufferedReader(f, max(buffer, 1 << 16))
 
 
 class FastqPartition(InputPartition):
-    def __init__(self, path: str):
+    def __init__(self, path: str, number: int):
         super().__init__(path)
-        self.path = path
+        self.path, self.number = path, number
 
 
 class FastqReader(DataSourceReader):
@@ -102,21 +131,32 @@ class FastqReader(DataSourceReader):
         path = options.get("path")
         if not path:
             raise ValueError("a path is needed")
-        path = path.removeprefix("file://")
-        self.paths = sorted(p for p in (glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path)) if not os.path.basename(p).startswith(("_", ".")))
+        self.paths = list_files(path)
         if not self.paths:
             raise ValueError(f"no such file: {path}")
         self.buffer = int(options.get("buffer_size", BUFFER))
         self.strip_cr = str(options.get("strip_cr", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [FastqPartition(p) for p in self.paths]
+        return [FastqPartition(p, i) for i, p in enumerate(self.paths)]
+
+    def read(self, partition: FastqPartition) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes]] = []
+        first = 0
+
+        def batch() -> pa.RecordBatch:
+            n = len(held)
+            text = lambda k: pa.array([r[k].decode("latin-1") for r in held], pa.string())
+            make = {"file": lambda: pa.array([partition.path] * n), "file_no": lambda: pa.array([partition.number] * n, pa.int32()), "record_no": lambda: pa.array(range(first, first + n), pa.int64()), "name": lambda: text(0), "seq": lambda: text(1)}
+            return pa.RecordBatch.from_arrays([make[c]() for c in self.names], names=self.names)
 
-    def read(self, partition: FastqPartition):
-        make = {"file": lambda n, name, seq: partition.path, "record_no": lambda n, name, seq: n, "name": lambda n, name, seq: name.decode("latin-1"), "seq": lambda n, name, seq: seq.decode("latin-1")}
-        fields = [make[c] for c in self.names]
-        for n, (name, seq) in enumerate(parse(open_lines(partition.path, self.buffer), self.strip_cr)):
-            yield tuple(f(n, name, seq) for f in fields)
+        for record in parse(open_lines(partition.path, self.buffer), self.strip_cr):
+            held.append(record)
+            if len(held) == BATCH:
+                yield batch()
+                first, held = first + len(held), []
+        if held:
+            yield batch()
 
 
 class FastqSource(DataSource):
@@ -125,21 +165,21 @@ class FastqSource(DataSource):
         return "fastq"
 
     def schema(self) -> str:
-        return "file string, record_no long, name string, seq string"
+        return "file string, file_no int, record_no long, name string, seq string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return FastqReader(schema, self.options)
 
 
 def read_fastq(spark: SparkSession, path: str, names: bool = True, partitions: int | None = None, **options) -> DataFrame:
-    """file, record_no, name and seq; names=False leaves the name out of what is parsed into rows.
+    """file, file_no (its place among the files), record_no, name and seq; names=False leaves the name out of what is made into rows.
 
     A file is one task; ``partitions`` deals its reads out afterwards.
     """
     spark.dataSource.register(FastqSource)
     reader = spark.read.format("fastq").options(**{k: str(v) for k, v in options.items()})
     if not names:
-        reader = reader.schema("file string, record_no long, seq string")
+        reader = reader.schema("file string, file_no int, record_no long, seq string")
     df = reader.load(path)
     return df.repartition(partitions) if partitions else df
 
@@ -166,14 +206,27 @@ def read_fastq_strict(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.col("record_no").cast("long").alias("record_no"), F.regexp_extract("h", r"^@(\S*)", 1).alias("name"), seq.alias("seq"))
 
 
+def with_read_id(df: DataFrame) -> DataFrame:
+    """A number for each read that no other read of these files has; record_no itself in the first file."""
+    return df.withColumn("read_id", F.shiftleft(F.col("file_no").cast("long"), RECORD_BITS) + F.col("record_no"))
+
+
 def pair(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Pairs by place in their files, never by name: read_id, name1, seq1, name2, seq2."""
+    """Pairs by the places of files and of reads in them, never by name: read_id, name1, seq1, name2, seq2.
+
+    The first file of one side goes with the first of the other, and so on.  A read without a mate fails the job, so both sides
+    need as many files with as many reads.  Tables without file_no count as one file.
+    """
     names = [c for c in ("name", "seq") if c in one.columns and c in two.columns]
-    side = lambda df, n: df.select("record_no", *[F.col(c).alias(f"{c}{n}") for c in names])
-    both = side(one, 1).join(side(two, 2), "record_no", "full")
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        df = with_read_id(df) if "file_no" in df.columns else df.withColumn("read_id", F.col("record_no"))
+        return df.select("read_id", *[F.col(c).alias(f"{c}{n}") for c in names])
+
+    both = side(one, 1).join(side(two, 2), "read_id", "full")
     missing = F.col("seq1").isNull() | F.col("seq2").isNull()
     checked = F.when(missing, F.raise_error(F.lit("different number of reads in paired FASTQ files")).cast("string")).otherwise(F.col("seq1"))
-    return both.withColumn("seq1", checked).withColumnRenamed("record_no", "read_id")
+    return both.withColumn("seq1", checked)
 
 
 def write_fastq(df: DataFrame, path: str, per_line: int | None = None, gz: bool = False) -> None:

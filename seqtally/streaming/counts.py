@@ -1,15 +1,18 @@
 """Counts over streams of reads.
 
-A read's match is found inside its row, so the only aggregation of the stream is the count itself.
+``stream_counts``: a read's match is found inside its row, so the only aggregation of the stream is the count itself.
+``count_stream``: any design.  A read, or pair, lies whole in one micro-batch, so a design runs on each batch as it does on a
+table, and its counts add up.  A batch's counts are a folder of its own name, so a repeated batch replaces what it wrote.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from seqtally.functions.bases import canonical, let, reverse_complement
-from seqtally.operators.handlers import SingleBarcode
+from seqtally.operators.handlers import Handler, SingleBarcode
 from seqtally.operators.lookup import nearest_in_row
 from seqtally.operators.scan import constant_mismatches
 from seqtally.schema import Duplicates
@@ -47,3 +50,18 @@ def match_in_row(design: SingleBarcode, seq: str = "seq") -> Column:
 def stream_counts(reads: DataFrame, design: SingleBarcode, seq: str = "seq") -> DataFrame:
     """(idx, count) of barcodes seen so far; for output modes complete and update."""
     return reads.select(match_in_row(design, seq).alias("idx")).filter("idx is not null").groupBy("idx").agg(F.count("*").alias("count"))
+
+
+def count_stream(reads: DataFrame, design: Handler, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Starts a stream that writes the counts of each micro-batch below ``path``, a folder that all executors share."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        design.plan(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return reads.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def counted(spark: SparkSession, path: str) -> DataFrame:
+    """The sums over all batches so far; dense where the design's counts are."""
+    parts = spark.read.parquet(path).drop("batch")
+    return parts.groupBy(*(c for c in parts.columns if c != "count")).agg(F.sum("count").alias("count"))

@@ -38,6 +38,44 @@ def test_errors(text, message):
         records(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("@A\n+\n+\n!\n", [(b"A", b"+")]),
+        ("@A\n+AC\nG\n+x\n!!!\n!\n", [(b"A", b"+ACG")]),
+        ("@A\n\nAC\n+\n!!\n", [(b"A", b"AC")]),
+        ("@A\nAC\n\nGT\n+\n!!!!!\n", [(b"A", b"AC\nGT")]),
+        ("@A\nAC\n\n+T\n+\n!!!!!\n", [(b"A", b"AC\n+T")]),
+        ("@A\nAC\n\n\n+\n!!!\n", [(b"A", b"AC\n")]),
+    ],
+)
+def test_lines_of_a_sequence(text, want):
+    assert records(text) == want
+
+
+def test_pairs_of_several_files(spark, tmp_path):
+    for side, prefix in (("one", "F"), ("two", "B")):
+        (tmp_path / side).mkdir()
+        for lane, n in ((1, 3), (2, 5)):
+            (tmp_path / side / f"lane{lane}.fastq").write_text("".join(f"@{prefix}{lane}.{i}\nAC\n+\n!!\n" for i in range(n)))
+    read = lambda side: read_fastq(spark, f"file://{tmp_path}/{side}")
+    rows = pair(read("one"), read("two")).collect()
+    assert sorted((r["name1"], r["name2"]) for r in rows) == [(f"F{lane}.{i}", f"B{lane}.{i}") for lane, n in ((1, 3), (2, 5)) for i in range(n)]
+    assert len({r["read_id"] for r in rows}) == 8
+    (tmp_path / "two" / "lane2.fastq").unlink()
+    with pytest.raises(Exception, match="different number of reads"):
+        pair(read("one"), read("two")).collect()
+
+
+def test_patterns_and_hidden_files(spark, tmp_path):
+    for name in ("a.fastq", "b.fastq", "c.txt", "_x.fastq", ".y.fastq"):
+        (tmp_path / name).write_text(f"@{name}\nA\n+\n!\n")
+    assert sorted(r["name"] for r in read_fastq(spark, f"{tmp_path}/*.fastq").collect()) == ["a.fastq", "b.fastq"]
+    assert sorted((r["file_no"], r["name"]) for r in read_fastq(spark, f"file://{tmp_path}").collect()) == [(0, "a.fastq"), (1, "b.fastq"), (2, "c.txt")]
+    with pytest.raises(Exception, match="no such file"):
+        read_fastq(spark, f"{tmp_path}/*.none").collect()
+
+
 def test_carriage_returns():
     text = "@A\r\nAC\r\n+\r\n!!\r\n"
     assert records(text, strip_cr=True) == [(b"A", b"AC")]
