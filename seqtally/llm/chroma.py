@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, field, slices, written
+from seqtally.llm.common import arrow_schema, field, slices, spread_join, written
 from seqtally.llm.components import linked
 
 CLASSES = 12
@@ -281,4 +281,4 @@ def align(table: DataFrame, id_col: str, audio: Column, least_votes: int = LEAST
     placed = written(known.join(firsts, "root"))
     beside = aligned(placed.filter(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b")).select(F.col("a").alias("class"), "shift", "votes", "error")
     final = placed.join(beside, "class", "left").select("class_key", "class_id", "component_id", "shift", "votes", "error")
-    return prints.select("id", "n_values", F.crc32("vals").alias("values_crc32"), "class_key").join(final, "class_key").drop("class_key")
+    return prints.select("id", "n_values", F.crc32("vals").alias("values_crc32"), "class_key").transform(lambda rows: spread_join(rows, final, ["class_key"])).drop("class_key")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes of text that are worked on at once, at most; a longer text is a slice of its own.
@@ -51,6 +52,15 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], parts: int = 8, how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique: rows of left with one key are dealt out over several tasks.
+
+    right, which is small beside left where a key is hot, is repeated ``parts`` times.
+    """
+    dealt = left.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int"))
+    return dealt.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"], how).drop("_part")
+
+
 def field(df: DataFrame, name: str, new: str | None = None) -> T.StructField:
     return T.StructField(new or name, df.schema[name].dataType, True)
 

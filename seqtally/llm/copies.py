@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqtally.llm.common import slices, written
+from seqtally.llm.common import slices, spread_join, written
 from seqtally.llm.components import linked
 from seqtally.llm.kernels import column_bytes
 
@@ -119,4 +119,4 @@ def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Call
     united = nodes.join(links.withColumnRenamed("root", "top"), nodes["at"] == links["node"], "left").select(nodes["root"], nodes["node"], "id", F.coalesce("top", "at").alias("top"))
     united = written(united)
     ids = united.groupBy("top").agg(F.min("id").alias("component_id"))
-    return table.join(united.join(ids, "top").select("root", "node", "component_id"), ["root", "node"])
+    return spread_join(table, united.join(ids, "top").select("root", "node", "component_id"), ["root", "node"])

@@ -1,9 +1,10 @@
 """Near-duplicate vectors: a small-world graph for each shard, every shard queried, components united.
 
 Equal vectors are one entry with a count.  Entries are dealt to shards by a hash; a graph is built for
-each shard and written down.  Queries go to every shard in blocks: one task has one graph and one block.
+each shard and written to the shared folder.  Queries go to every shard in blocks: a task has one shard and one block,
+and reads the shard's graph once, so graphs are never shuffled.  Shards and blocks are bounded in bytes.
 A query whose beam is full of links is widened until it isn't.  In each task a sample of queries is held
-against brute force, and while too few of its links were found the beam of the whole block is
+against brute force, and while too few of their links were found the beam of the whole block is
 doubled, up to the size of the shard.  Similarities near the threshold are taken again in double
 precision.  A query gives, for each shard, the number of its links and one link to each component of
 the shard that it meets, not its pairs.
@@ -13,24 +14,27 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seqtally.llm.common import written
+from seqtally.llm.common import scratch, spread_join, written
 from seqtally.llm.components import components
 from seqtally.llm.hnsw import Graph, build
+from seqtally.llm.tokenfiles import file_system
 
 COSINE = 0.9
 SHARDS = 6
-#: Vectors of a shard at most; more vectors make more shards.
-SHARD_ROWS = 100_000
-BLOCK_ROWS = 4096
+#: Vectors of a shard and of a block at most, and bytes of their numbers; more vectors make more shards and blocks.
+SHARD_ROWS, BLOCK_ROWS, MOST_BYTES = 100_000, 16_384, 64 << 20
 BEAM = 32
 AUDIT_ROWS = 48
 AUDIT_RECALL = 0.99
 
 _INDEX = "shard long, dim long, node binary, weight binary, vectors binary, level binary, links array<binary>, entry long"
-_FOUND = "node long, n_links long, roots array<long>"
+_FOUND = "node long, n_links long, roots array<long>, recall double"
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -81,6 +85,15 @@ def _links(g: Graph, unit: np.ndarray, q: np.ndarray, least: float, beam: int) -
     return out
 
 
+def _load(path: str, shard: int) -> dict | None:
+    """The graph of a shard, or None if it has no vectors."""
+    fs, base = file_system(path)
+    place = f"{base}/shard={shard}"
+    if fs.get_file_info(place).type != pafs.FileType.Directory:
+        return None
+    return pq.read_table(place, filesystem=fs, partitioning=None).to_pylist()[0]
+
+
 def query_block(graph: dict, node: np.ndarray, vectors: np.ndarray, least: float = COSINE, beam: int = BEAM) -> tuple[list, list, list, float]:
     """(links of each query counted with weights, nodes of the shard's components it meets, edges that make these, recall of the last audit)."""
     own_node = np.frombuffer(graph["node"], np.int64)
@@ -93,8 +106,11 @@ def query_block(graph: dict, node: np.ndarray, vectors: np.ndarray, least: float
         found = _links(g, unit, q, least, beam)
         linked = np.flatnonzero([len(f) > 0 for f in found])
         audit = np.unique(np.concatenate([rng.integers(0, len(q), AUDIT_ROWS), rng.choice(linked, min(len(linked), AUDIT_ROWS), replace=False) if len(linked) else linked]))
-        exact = (q[audit] @ unit.T >= least).sum(1)
-        recall = sum(len(found[k]) for k in audit) / max(1, int(exact.sum()))
+        # each audited query counts alike, whatever its links are, and itself not at all
+        itself = own_node[None, :] == node[audit, None]
+        exact = ((q[audit] @ unit.T >= least) & ~itself).sum(1)
+        have = np.array([(own_node[found[k]] != node[k]).sum() for k in audit])
+        recall = float((have[exact > 0] / exact[exact > 0]).mean()) if (exact > 0).any() else 1.0
         if recall >= AUDIT_RECALL or beam >= len(unit):
             break
         beam = min(2 * beam, len(unit))
@@ -115,44 +131,51 @@ def query_block(graph: dict, node: np.ndarray, vectors: np.ndarray, least: float
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = COSINE, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """vec_id, n_links (other vectors with a cosine of at least ``least``), component_id and kept.
+    """vec_id, n_links (other vectors with a cosine of at least ``least``), component_id, kept and least_audited_recall.
 
     A vector that is null, empty, zero or holds a null or a value that isn't finite links with nothing.
     Vectors of different lengths don't link.  Repeated rows link with each other.  component_id is the smallest
     id reachable by links; a null id is kept and counts as no id.  Labels and other columns are not read.
-    An empty table gives no rows.
+    An empty table gives no rows.  least_audited_recall is the least recall of the tasks' audits, the same in all rows.
     """
-    source = table.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    spark = table.sparkSession
+    kind = "float" if isinstance(getattr(table.schema[vector_col].dataType, "elementType", None), T.FloatType) else "double"
+    source = table.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     fine = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False))
-    source = source.withColumn("vector", F.when(fine, F.transform("vector", lambda x: x + F.lit(0.0))))
-    source = written(source.withColumn("key", F.xxhash64("vector")))
-    entries = source.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
-    entries = written(entries.select("vector", "least_id", "weight", F.monotonically_increasing_id().alias("node")))
-    n = entries.count()
-    shards = max(shards, -(-n // shard_rows))
-    blocks = max(1, -(-n // block_rows))
+    source = source.withColumn("vector", F.when(fine, F.transform("vector", lambda x: x + F.lit(0.0).cast(kind))))  # no negative zeros
+    source = written(source.withColumns({"h": F.xxhash64("vector"), "k": F.xxhash64(F.lit(1), "vector")}))
+    entries = source.filter("vector is not null").groupBy("vector", "h", "k").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
+    entries = written(entries.withColumn("node", F.monotonically_increasing_id()))
+    n, longest = entries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    most = max(1, MOST_BYTES // (8 * longest))
+    shards = max(shards, -(-n // min(shard_rows, most)))
+    blocks = max(1, -(-n // min(block_rows, most)))
     dim = F.size("vector").cast("long")
     dealt = entries.select("node", "vector", "weight", (F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shards)) + dim * shards).alias("shard"), dim.alias("dim"), (F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)) + dim * blocks).alias("block"))
-    index = written(dealt.select("shard", "node", "vector", "weight").groupBy("shard").applyInPandas(_build, _INDEX))
-    # one task for each graph and block: graphs are repeated for the blocks, queries for the shards
-    graphs = index.withColumn("block", F.explode(F.sequence(F.col("dim") * blocks, F.col("dim") * blocks + blocks - 1)))
-    queries = dealt.select("node", "vector", "dim", "block").withColumn("shard", F.explode(F.sequence(F.col("dim") * shards, F.col("dim") * shards + shards - 1)))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"node": [], "n_links": [], "roots": []}, dtype=object)
-        node = right["node"].to_numpy(np.int64)
-        counts, roots, edges, _ = query_block(left.iloc[0].to_dict(), node, np.stack([np.asarray(v, np.float64) for v in right["vector"]]), least)
-        return pd.DataFrame({"node": [*node.tolist(), *(a for a, _ in edges)], "n_links": counts + [0] * len(edges), "roots": roots + [[b] for _, b in edges]})
-
-    key = ["shard", "block"]
-    found = written(graphs.groupBy(*key).cogroup(queries.select("node", "vector", *key).groupBy(*key)).applyInPandas(search, _FOUND).filter("size(roots) > 0"))
+    index = scratch(spark)
+    dealt.select("shard", "node", "vector", "weight").groupBy("shard").applyInPandas(_build, _INDEX).write.partitionBy("shard").parquet(index)
+    queries = dealt.select("node", "vector", "block", F.explode(F.sequence(F.col("dim") * shards, F.col("dim") * shards + shards - 1)).alias("shard"))
+
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        graph = _load(index, int(key[0]))
+        if graph is None:
+            return pd.DataFrame({"node": [], "n_links": [], "roots": [], "recall": []}, dtype=object)
+        node = pdf["node"].to_numpy(np.int64)
+        counts, roots, edges, recall = query_block(graph, node, np.stack([np.asarray(v, np.float64) for v in pdf["vector"]]), least)
+        out = [(a, c, r) for a, c, r in zip(node.tolist(), counts, roots, strict=True) if len(r)] + [(a, 0, [b]) for a, b in edges]
+        out.append((None, 0, []))  # the audit is reported even where nothing was found
+        return pd.DataFrame({"node": pd.array([a for a, _, _ in out], "Int64"), "n_links": [c for _, c, _ in out], "roots": [r for _, _, r in out], "recall": recall})
+
+    found = written(queries.groupBy("shard", "block").applyInPandas(search, _FOUND))
+    audited = found.agg(F.min("recall")).first()[0]
+    found = found.filter("node is not null")
     roots = components(found.select(F.col("node").alias("a"), F.explode("roots").alias("b")))
     linked = found.groupBy("node").agg(F.sum("n_links").alias("links"))
-    named = entries.join(linked, "node", "left").join(roots, "node", "left").select("vector", "least_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    named = entries.join(linked, "node", "left").join(roots, "node", "left").select("h", "k", "least_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     named = written(named)
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    whole = named.join(ids, "root").select(F.xxhash64("vector").alias("key"), "vector", "n_links", "component_id")
-    joined = source.alias("s").join(whole.alias("w"), (F.col("s.key") == F.col("w.key")) & (F.col("s.vector") == F.col("w.vector")), "left")
-    component = F.coalesce(F.col("w.component_id"), F.col("s.vec_id"))
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    whole = named.join(ids, "root").select("h", "k", "n_links", F.col("component_id").alias("c"))
+    keyed = source.select("vec_id", F.when(F.col("vector").isNotNull(), F.col("h")).alias("h"), "k")
+    joined = spread_join(keyed, whole, ["h", "k"], how="left")
+    component = F.coalesce("c", "vec_id")
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(audited).cast("double").alias("least_audited_recall"))

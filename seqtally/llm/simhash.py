@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, field, slices, written
+from seqtally.llm.common import arrow_schema, field, slices, spread_join, written
 from seqtally.llm.components import components
 from seqtally.llm.copies import confirm
 from seqtally.llm.kernels import column_bytes, gather, runs, words
@@ -346,8 +346,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if least is None:
         ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
         named = member.join(ids, "root").select("fp", "component_id")
-        out = table.join(named, "fp")
+        out = spread_join(table, named, ["fp"])
     else:
         texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        out = confirm(table.join(member.select("fp", "root"), "fp"), texts, lambda *x: shingle_sets(*x, shingle), set_name, least)
+        out = confirm(written(spread_join(table, member.select("fp", "root"), ["fp"])), texts, lambda *x: shingle_sets(*x, shingle), set_name, least)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
