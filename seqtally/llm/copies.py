@@ -2,7 +2,8 @@
 
 Two sets of a Jaccard similarity of ``least`` or more share one of the first n - ceil(least * n) + 1 of their n members, in
 whatever order these are (prefix filter); frequent ones come last here.  Texts of a group that share one are compared on
-their whole sets, until each two are either united or rejected.  Texts with equal sets are one node.
+their whole sets, until each two are either united or rejected.  A group whose sets take GROUP_BYTES at most is compared in
+one task, a larger one by joins on shingles.  Texts with equal sets are one node.
 Sets hold 64-bit hashes, so a collision could change a similarity by one shingle.
 """
 
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from seqtally.llm.common import slices, spread_join, written
 from seqtally.llm.components import linked
 from seqtally.llm.kernels import column_bytes
 
+#: Bytes of the sets of a group that is compared in one task.
+GROUP_BYTES = 16 << 20
 #: Shingles counted at once; counts of less than LOCAL among them are not passed on, nor are more than FREQUENT shingles kept.
 COUNTED, LOCAL, FREQUENT = 1 << 20, 4, 1 << 18
 
@@ -35,8 +39,7 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least:
     return hashes[np.lexsort((hashes, count))[:most]]
 
 
-def similar(a: bytes, b: bytes, least: Fraction) -> bool:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
     if min(len(x), len(y)) * least.denominator < max(len(x), len(y)) * least.numerator:
         return False
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -70,6 +73,45 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], count[order]
 
 
+def cluster(sets: list[np.ndarray], least: Fraction) -> np.ndarray:
+    """For each set the place of the first one of those it is connected with."""
+    every, counts = np.unique(np.concatenate(sets), return_counts=True)
+    parent, tested = list(range(len(sets))), set()
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def test(i: int, j: int) -> None:
+        if (i, j) not in tested:
+            tested.add((i, j))
+            if similar(sets[i], sets[j], least):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+
+    heads = [prefix(x, every, counts, least) for x in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+    key = np.concatenate(heads)
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)).tolist() if len(key) else [0]
+    lists = [owner[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
+    for own in lists:  # first with one of them, which unites most; then whatever is still apart
+        for j in own[1:]:
+            if find(j) != find(own[0]):
+                test(own[0], j)
+    for own in lists:
+        roots = [find(i) for i in own]
+        if len(set(roots)) > 1:
+            for x, i in enumerate(own):
+                for j in own[x + 1 :]:
+                    if find(i) != find(j):
+                        test(i, j)
+    return np.array([find(i) for i in range(len(sets))])
+
+
 def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Callable, least: float) -> DataFrame:
     """The rows of ``table`` (doc_id, root, node and others) with component_id, the smallest id linked to in their group.
 
@@ -90,7 +132,28 @@ def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Call
     chosen = wanted.select(F.col("id").alias("_id")).distinct()
     read = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["_id"]), "left_semi").select("text").mapInArrow(whole, "node long, hashes binary")
     sets = written(read.join(wanted.select("node", "at", "root"), "node").dropDuplicates(["at"]).select("at", "root", "hashes"))
-    shared = texts.sparkSession.sparkContext.broadcast(_frequent(sets))
+    sizes = sets.groupBy("root").agg(F.sum(F.length("hashes")).alias("bytes"))
+    large = written(sizes.filter(F.col("bytes") > GROUP_BYTES).select("root"))
+    none = large.isEmpty()
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["at"].to_numpy()
+        return pd.DataFrame({"node": at, "top": at[cluster([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], part)]})
+
+    small = sets if none else sets.join(large, "root", "left_anti")
+    links = small.groupBy("root").applyInPandas(together, "node long, top long")
+    if not none:
+        links = links.unionByName(_joined(sets.join(large, "root", "left_semi"), part).withColumnRenamed("root", "top"))
+    united = nodes.join(links, nodes["at"] == links["node"], "left").select(nodes["root"], nodes["node"], "id", F.coalesce("top", "at").alias("top"))
+    united = written(united)
+    ids = united.groupBy("top").agg(F.min("id").alias("component_id"))
+    return spread_join(table, united.join(ids, "top").select("root", "node", "component_id"), ["root", "node"])
+
+
+def _joined(sets: DataFrame, part: Fraction) -> DataFrame:
+    """(node, root) of the sets of large groups, by joins on the shingles of their prefixes."""
+    sets = written(sets.withColumn("size", F.length("hashes")))
+    shared = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
 
     def prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
@@ -101,22 +164,20 @@ def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Call
                 key = np.concatenate(heads).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(1).to_numpy(), size)), pa.array(key), pa.array(np.repeat(batch.column(0).to_numpy(), size))], names=["root", "shingle", "node"])
 
-    heads = sets.mapInArrow(prefixes, "root long, shingle long, node long").select(F.xxhash64("root", "shingle").alias("key"), "node")
-    heads = written(heads)
+    heads = written(sets.select("at", "root", "hashes").mapInArrow(prefixes, "root long, shingle long, node long").select(F.xxhash64("root", "shingle").alias("key"), "node"))
     meeting = heads.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
     members = written(heads.join(meeting, "key").select("key", "node"))
 
     def verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            keep = [similar(x.as_buffer(), y.as_buffer(), part) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), part) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def compare(pairs: DataFrame) -> DataFrame:
+        size = lambda c, v: sets.select(F.col("at").alias(c), F.col("size").alias(v))
         side = lambda c, v: sets.select(F.col("at").alias(c), F.col("hashes").alias(v))
-        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+        # sets of too different sizes can't be similar enough, whatever is in them
+        fit = pairs.join(size("a", "n"), "a").join(size("b", "m"), "b").filter(F.least("n", "m") * part.denominator >= F.greatest("n", "m") * part.numerator).select("a", "b")
+        return fit.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
 
-    _, links = linked(members, compare)
-    united = nodes.join(links.withColumnRenamed("root", "top"), nodes["at"] == links["node"], "left").select(nodes["root"], nodes["node"], "id", F.coalesce("top", "at").alias("top"))
-    united = written(united)
-    ids = united.groupBy("top").agg(F.min("id").alias("component_id"))
-    return spread_join(table, united.join(ids, "top").select("root", "node", "component_id"), ["root", "node"])
+    return linked(members, compare)[1]

@@ -3,6 +3,7 @@ import pytest
 from test_dedup import WORD, brute_fingerprint
 
 import corpus_pipeline as cp
+from seqtally.llm import copies
 from seqtally.llm.simhash import near_duplicates
 
 
@@ -55,8 +56,10 @@ def test_near_copies_against_brute_force(request, name):
     assert shown(near(docs)) == brute_copies([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_near_copies_of_edited_texts(spark):
+@pytest.mark.parametrize("group_bytes", [copies.GROUP_BYTES, 2000])
+def test_near_copies_of_edited_texts(spark, monkeypatch, group_bytes):
     """Copies with more and more words changed, among texts that share a long passage and nothing else."""
+    monkeypatch.setattr(copies, "GROUP_BYTES", group_bytes)
     rng, rows = np.random.default_rng(3), []
     passage = [f"p{i}" for i in range(60)]
     for g in range(6):
