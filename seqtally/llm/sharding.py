@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from seqtally.llm.common import written
 
 SHARDS = 24
-#: Ranges for each shard.
-PER_SHARD = 32
+#: Ranges for each shard at least, and rows of a range about which there are more.
+PER_SHARD, RANGE_ROWS = 32, 4_000_000
 #: Sampled keys for each range.
 OVERSAMPLE = 16
 #: Times its part of the bytes from which a range is overfull.
@@ -90,10 +90,10 @@ def shard_by_size(df: DataFrame, key: str, size: Column, shards: int = SHARDS, p
     once, so give it slim columns.
     """
     df = df.drop("shard", "slot")
-    ranges = shards * per_shard
     rows = written(df.select("*", F.col(key).alias("_key"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), F.monotonically_increasing_id().alias("_row")))
     n, total = rows.agg(F.count("*"), F.sum("_size")).first()
     total = total or 0
+    ranges = shards * max(per_shard, -(-n // (shards * RANGE_ROWS)))
     # heavy: fewer than ``ranges`` records can be larger than a range
     limit = max(1, ceil(total / ranges))
     heavy = [(r[0], r[1]) for r in rows.filter(F.col("_size") > limit).select("_row", "_size").collect()]

@@ -44,6 +44,13 @@ def test_one_key_with_most_rows_is_divided(spark):
     assert max(sizes) - min(sizes) <= 20
 
 
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 20)
+    df = spark.range(3000).select(F.col("id").alias("key"), (F.col("id") % 7 + 1).alias("size"))
+    sizes = check_shards(df, sharding.shard_by_size(df, "key", F.col("size"), 8, 4).collect(), 8)
+    assert max(sizes) - min(sizes) <= 14
+
+
 def test_no_shards_of_an_empty_table(none):
     assert sharding.shard_documents(none).count() == 0
 
