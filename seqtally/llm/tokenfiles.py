@@ -128,6 +128,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     it has a row for each file.  A null text is empty; rows with equal ids stand together; null ids
     come first.  Each attempt of a task writes a file of its own name, and the manifest holds those of the
     attempts that counted, so a repeated task does no harm; what a lost attempt left is never read.
+    Other columns are not read.  An empty table gives files without documents.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark)
@@ -165,7 +166,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
 
 
 def read_tokens(spark, manifest: list[dict], id_type: T.DataType = T.LongType()) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids of every document in the files."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids of every document in the files; no rows if there is none."""
     files = spark.createDataFrame([(m["path"], m["start"]) for m in manifest if m["documents"]], "path string, base long").repartition(max(1, len(manifest)))
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
