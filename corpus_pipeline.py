@@ -22,7 +22,7 @@ SHINGLE, BITS, SIMILARITY = 5, 12, 0.8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.3 or more go.  The model is fitted on the labelled rows of ``docs``."""
+    """Documents with a score of 0.3 or more go.  The model is fitted on the labelled rows of ``docs``; empty and null texts score its bias."""
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score(_hidden(docs), model).filter("predicted = 0")
     return scored.select(*_shown(docs))
@@ -40,7 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 13 words or more that an earlier document has are cut out; other texts keep their white space."""
+    """Passages of 13 words or more that an earlier document has are cut out; other texts, null and empty ones too, stay as they are.
+
+    Of documents with equal ids none counts as earlier, and a null id is later than any other.
+    """
     out = remove_repeats(_hidden(docs))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return out.select(*_shown(docs, text))
@@ -52,7 +55,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 ids."""
+    """Pieces of documents in sequences of 2048 ids; a null or empty text is its end id alone, repeated rows are packed each."""
     return pack(docs)
 
 
