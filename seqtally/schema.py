@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from enum import Enum
 
-from pyspark.sql import types as T
-
 
 class Strand(Enum):
     FORWARD = "forward"
@@ -26,6 +24,4 @@ class Duplicates(Enum):
     ERROR = "error"
 
 
-OK, UNMATCHED, AMBIGUOUS = "OK", "UNMATCHED", "AMBIGUOUS"
-
-READ = T.StructType([T.StructField("file", T.StringType()), T.StructField("record_no", T.LongType()), T.StructField("name", T.StringType()), T.StructField("seq", T.StringType())])
+OK, AMBIGUOUS = "OK", "AMBIGUOUS"
