@@ -162,7 +162,7 @@ def fingerprint(raw: bytes, scale: Scale = SCALE) -> np.ndarray:
 
 def landmarks(values: np.ndarray) -> np.ndarray:
     v = values.astype(np.uint64)
-    return v[:-1] << np.uint64(32) | v[1:]
+    return np.empty(0, np.uint64) if len(v) < 2 else v[:-1] << np.uint64(32) | v[1:]
 
 
 def offsets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,11 +234,12 @@ def fingerprints(table: DataFrame, id_col: str, audio: Column, scale: Scale = SC
 
 
 def _landmarks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct landmarks of each class."""
+    """The distinct landmarks of each class, and the number of places of each."""
     for batch in it:
-        marks = [np.unique(landmarks(np.frombuffer(raw.as_buffer(), "<u4"))) if len(raw.as_buffer()) > 4 else np.empty(0, np.uint64) for raw in batch.column(1)]
+        marks = [np.unique(landmarks(np.frombuffer(raw.as_buffer(), "<u4")), return_counts=True) for raw in batch.column(1)]
         if marks:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(m) for m in marks]))], names=["key", "node"])
+            key, times = np.concatenate([m for m, _ in marks]), np.concatenate([n for _, n in marks])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(m) for m, _ in marks])), pa.array(times.astype(np.int64))], names=["key", "node", "times"])
 
 
 _ALIGNED = "a long, b long, shift long, votes long, error double"
@@ -264,7 +265,7 @@ def align(table: DataFrame, id_col: str, audio: Column, least_votes: int = LEAST
     alone = F.coalesce(F.concat(F.lit("samples "), "samples"), F.col("row").cast("string"))
     prints = written(prints.withColumn("class_key", F.when(F.col("n_values") > 0, F.sha2("vals", 256)).otherwise(alone)).drop("row", "samples"))
     classes = written(prints.groupBy("class_key").agg(F.min("id").alias("class_id"), F.any_value("vals").alias("vals")).withColumn("class", F.monotonically_increasing_id()))
-    marks = written(classes.select("class", "vals").mapInArrow(_landmarks, "key long, node long"))
+    marks = written(classes.select("class", "vals").mapInArrow(_landmarks, "key long, node long, times long"))
     several = marks.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
     shared = written(marks.join(several, "key"))
     side = lambda c, v: classes.select(F.col("class").alias(c), F.col("vals").alias(v))
@@ -273,7 +274,7 @@ def align(table: DataFrame, id_col: str, audio: Column, least_votes: int = LEAST
     def compare(pairs: DataFrame) -> DataFrame:
         return aligned(pairs).filter((F.col("votes") >= least_votes) & (F.col("error") <= most_error)).select("a", "b")
 
-    _, roots = linked(shared, compare)
+    _, roots = linked(shared, compare, least=least_votes)  # fewer places can't give as many votes
     known = written(classes.select("class_key", "class", "class_id").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node"))
     # the smallest id that isn't null, and the class that has it
     firsts = known.groupBy("root").agg(F.min(F.when(F.col("class_id").isNotNull(), F.struct("class_id", "class"))).alias("first"), F.min("class").alias("any"))

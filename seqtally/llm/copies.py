@@ -166,7 +166,7 @@ def _joined(sets: DataFrame, part: Fraction) -> DataFrame:
 
     heads = written(sets.select("at", "root", "hashes").mapInArrow(prefixes, "root long, shingle long, node long").select(F.xxhash64("root", "shingle").alias("key"), "node"))
     meeting = heads.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    members = written(heads.join(meeting, "key").select("key", "node"))
+    members = written(heads.join(meeting, "key").select("key", "node", F.lit(1).alias("times")))
 
     def verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
