@@ -24,6 +24,8 @@ from seqtally.llm.kernels import column_bytes
 
 #: Bytes of the sets of a group that is compared in one task.
 GROUP_BYTES = 16 << 20
+#: Sets whose documents' ids are broadcast, at most (four numbers each).
+MOST_BROADCAST = 1 << 21
 #: Shingles counted at once; counts of less than LOCAL among them are not passed on, nor are more than FREQUENT shingles kept.
 COUNTED, LOCAL, FREQUENT = 1 << 20, 4, 1 << 18
 
@@ -127,16 +129,20 @@ def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Call
         for batch in it:
             for piece in slices(batch, 0):
                 found = list(sets_of(*column_bytes(piece.column(0))))
-                yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "hashes"])
-
-    chosen = wanted.select(F.col("id").alias("_id")).distinct()
-    read = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["_id"]), "left_semi").select("text").mapInArrow(whole, "node long, hashes binary")
-    sets = written(read.join(wanted.select("node", "at", "root"), "node").dropDuplicates(["at"]).select("at", "root", "hashes"))
+                own = pa.array([name_of(x) == n for x, n in zip(found, piece.column(1).to_pylist(), strict=True)], pa.bool_())  # ids may repeat
+                yield pa.RecordBatch.from_arrays([piece.column(2), piece.column(3), pa.array([x.tobytes() for x in found], pa.binary())], names=["at", "root", "hashes"]).filter(own)
+
+    chosen = wanted.select(F.col("id").alias("_id"), "node", "at", "root")
+    if chosen.count() <= MOST_BROADCAST:  # otherwise texts are shuffled by their ids
+        chosen = F.broadcast(chosen)
+    read = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["_id"])).select("text", "node", "at", "root")
+    sets = written(read.mapInArrow(whole, "at long, root long, hashes binary"))
     sizes = sets.groupBy("root").agg(F.sum(F.length("hashes")).alias("bytes"))
     large = written(sizes.filter(F.col("bytes") > GROUP_BYTES).select("root"))
     none = large.isEmpty()
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("at").sort_values("at")
         at = pdf["at"].to_numpy()
         return pd.DataFrame({"node": at, "top": at[cluster([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], part)]})
 
@@ -152,7 +158,7 @@ def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Call
 
 def _joined(sets: DataFrame, part: Fraction) -> DataFrame:
     """(node, root) of the sets of large groups, by joins on the shingles of their prefixes."""
-    sets = written(sets.withColumn("size", F.length("hashes")))
+    sets = written(sets.dropDuplicates(["at"]).withColumn("size", F.length("hashes")))
     shared = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
 
     def prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

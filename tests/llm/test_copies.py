@@ -60,6 +60,7 @@ def test_near_copies_against_brute_force(request, name):
 def test_near_copies_of_edited_texts(spark, monkeypatch, group_bytes):
     """Copies with more and more words changed, among texts that share a long passage and nothing else."""
     monkeypatch.setattr(copies, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(copies, "MOST_BROADCAST", 0 if group_bytes == 2000 else copies.MOST_BROADCAST)
     rng, rows = np.random.default_rng(3), []
     passage = [f"p{i}" for i in range(60)]
     for g in range(6):
