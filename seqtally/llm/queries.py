@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqtally.llm.bpe import encode_decode
 from seqtally.llm.chroma import align
 from seqtally.llm.common import table
+from seqtally.llm.decontamination import decontaminate
 from seqtally.llm.digests import crc_of_ids
 from seqtally.llm.neighbours import near_vectors
 from seqtally.llm.packing import pack
@@ -65,8 +66,16 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op4_toxicity, op5_chroma, op6_personal_data, op7_token_files, op8_bpe, op9_simhash, op10_vectors)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op4_toxicity, op5_chroma, op6_personal_data, op7_token_files, op8_bpe, op9_simhash, op10_vectors, op13_decontamination)}
 
 
 #: op3: every window of 13 words, the smallest document that has it, and the words under windows of a smaller one.
@@ -83,6 +92,20 @@ select docs.doc_id, coalesce(n, 0) as n_words, coalesce(r, 0) as n_removed, sha2
 """
 
 
+#: op13: every window of ten words of items (or all words of shorter ones), where it stands in documents, and the words under it.
+OP13_SQL = r"""
+with docs as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+wins as (select distinct item_id, k, array_to_string(list_slice(w, i, i + k - 1), ' ') as g from (select item_id, w, least(len(w), 10) as k, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from items where len(w) > 0)),
+spots as (select r, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') as g from (select r, w, k, unnest(range(1, len(w) - k + 2)) as i from docs, (select distinct k from wins) where len(w) >= k)),
+found as (select r, i, item_id, wins.k from spots join wins using (k, g)),
+hit as (select r, count(distinct p) as n from (select r, unnest(range(i, i + k)) as p from found) group by r),
+named as (select r, count(*) as n, string_agg(item, ',' order by item) as ids from (select distinct r, item_id::varchar as item from found where item_id is not null) group by r)
+select docs.doc_id, len(w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(named.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+from docs left join hit using (r) left join named using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries need tokenizers, trained models, XXH64 or graph searches; tests hold them against brute force."""
-    return {"op3_passages": OP3_SQL}
+    return {"op3_passages": OP3_SQL, "op13_decontamination": OP13_SQL}
