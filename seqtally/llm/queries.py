@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqtally.llm.bpe import encode_decode
 from seqtally.llm.chroma import align
+from seqtally.llm.collocations import collocations
 from seqtally.llm.common import table
 from seqtally.llm.decontamination import decontaminate
 from seqtally.llm.digests import crc_of_ids
@@ -66,6 +67,10 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -75,7 +80,7 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op4_toxicity, op5_chroma, op6_personal_data, op7_token_files, op8_bpe, op9_simhash, op10_vectors, op13_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op4_toxicity, op5_chroma, op6_personal_data, op7_token_files, op8_bpe, op9_simhash, op10_vectors, op11_collocations, op13_decontamination)}
 
 
 #: op3: every window of 13 words, the smallest document that has it, and the words under windows of a smaller one.
@@ -92,6 +97,24 @@ select docs.doc_id, coalesce(n, 0) as n_words, coalesce(r, 0) as n_removed, sha2
 """
 
 
+#: op11: all phrases of up to five words that stand within pieces, counted; the least score of the cuts of the frequent ones.
+OP11_SQL = r"""
+with docs as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+pieces as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as p from docs)),
+grams as (select lang, list_slice(w, i, i + k - 1) as g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from pieces, (select unnest(range(1, 6)) as k) where len(w) >= k)),
+f as (select lang, g, count(*) as f from grams group by lang, g),
+totals as (select lang, sum(f)::bigint as n from f where len(g) = 1 group by lang),
+cand as (select lang, g, f as a from f where len(g) > 1 and f >= 100),
+inner_ as (select lang, list_slice(g, i, i + k - 1) as g, max(a) as most from (select lang, g, a, k, unnest(range(1, len(g) - k + 2)) as i from cand, (select unnest(range(2, 5)) as k) where k < len(g)) group by all),
+kept as (select cand.* from cand left join inner_ using (lang, g) where most is null or 100 * most < 100 * a),
+cuts as (select lang, g, a, unnest(range(1, len(g))) as k from kept),
+scored as (select cuts.*, x.f as l, y.f as r, n, (1000::hugeint * a * n // (x.f::hugeint * y.f))::bigint as score
+ from cuts join f x on x.lang = cuts.lang and x.g = list_slice(cuts.g, 1, k) join f y on y.lang = cuts.lang and y.g = list_slice(cuts.g, k + 1, len(cuts.g)) join totals on totals.lang = cuts.lang),
+lowest as (select * from scored qualify row_number() over (partition by lang, g order by score, k) = 1),
+ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank, array_to_string(g, ' ') as phrase, a, l, r, n, score from lowest)
+select * from ranked where rank <= 2000
+"""
+
 #: op13: every window of ten words of items (or all words of shorter ones), where it stands in documents, and the words under it.
 OP13_SQL = r"""
 with docs as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -108,4 +131,4 @@ from docs left join hit using (r) left join named using (r)
 
 def oracle_sql() -> dict[str, str]:
     """The other queries need tokenizers, trained models, XXH64 or graph searches; tests hold them against brute force."""
-    return {"op3_passages": OP3_SQL, "op13_decontamination": OP13_SQL}
+    return {"op3_passages": OP3_SQL, "op11_collocations": OP11_SQL, "op13_decontamination": OP13_SQL}
