@@ -21,6 +21,7 @@ from seqtally.llm.sharding import shard_documents
 from seqtally.llm.simhash import near_duplicates
 from seqtally.llm.tokenfiles import read_tokens, write_tokens
 from seqtally.llm.toxicity import held_out, score, train
+from seqtally.llm.tries import conversations, prefix_trie, with_shared_openings
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_openings(conversations(table(spark, sf_dir, "conversations"))))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -80,7 +85,7 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op4_toxicity, op5_chroma, op6_personal_data, op7_token_files, op8_bpe, op9_simhash, op10_vectors, op11_collocations, op13_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_passages, op4_toxicity, op5_chroma, op6_personal_data, op7_token_files, op8_bpe, op9_simhash, op10_vectors, op11_collocations, op12_prefix_trie, op13_decontamination)}
 
 
 #: op3: every window of 13 words, the smallest document that has it, and the words under windows of a smaller one.
@@ -115,6 +120,21 @@ ranked as (select lang, row_number() over (partition by lang order by score desc
 select * from ranked where rank <= 2000
 """
 
+#: op12: rebuilt conversations, all their prefixes, and sums over the prefixes below each.  crc32 is eight shifts a byte.
+OP12_SQL = r"""
+with own as (select conv_id as c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as w from conversations where conv_id is not null group by conv_id),
+crc as (select c, w, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(c::varchar, ''), lambda x: [ord(x)::bigint, -1, -1, -1, -1, -1, -1, -1]))),
+ lambda a, v: case when (case when v >= 0 then xor(a, v) else a end) % 2 = 1 then xor((case when v >= 0 then xor(a, v) else a end) // 2, 3988292384) else (case when v >= 0 then xor(a, v) else a end) // 2 end), 4294967295) % 6 as h from own),
+built as (select crc.c, list_concat(list_slice(coalesce(own.w, []), 1, h), list_slice(crc.w, h + 1, len(crc.w))) as w from crc left join own on own.c = crc.c - crc.c % 100),
+pre as (select c, w, d, list_slice(w, 1, d) as p from (select c, w, unnest(range(0, len(w) + 1)) as d from built)),
+node as (select d, p, min(c) as c, count(*) as n, coalesce(string_agg(c::varchar, ',' order by c) filter (len(w) = d), '') as ends, case when d > 0 then length(p[d].t) else 0 end as chars from pre group by d, p),
+kids as (select d - 1 as d, list_slice(p, 1, d - 1) as p, count(*) as k from node where d > 0 group by all),
+one as (select node.*, coalesce(k, 0) as k from node left join kids using (d, p)),
+below as (select a as d, list_slice(p, 1, a) as p, sum((n - 1) * chars) as saved, count(*) filter (k = 0) as leaves from (select *, unnest(range(0, d + 1)) as a from one) group by all)
+select one.c as conv_id, one.d as depth, up.c as parent_conv_id, one.n as n_convs, one.k as n_children, leaves as n_leaves, saved::bigint as saved_tokens, sha256(one.ends) as ends_sha256, case when one.d = 0 then '' else substring(sha256(strlen(one.p[one.d].r)::varchar || ':' || one.p[one.d].r || one.p[one.d].t), 1, 32) end as turn_digest
+from one join below on below.d = one.d and below.p = one.p left join node up on up.d = one.d - 1 and up.p = list_slice(one.p, 1, one.d - 1)
+"""
+
 #: op13: every window of ten words of items (or all words of shorter ones), where it stands in documents, and the words under it.
 OP13_SQL = r"""
 with docs as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -131,4 +151,4 @@ from docs left join hit using (r) left join named using (r)
 
 def oracle_sql() -> dict[str, str]:
     """The other queries need tokenizers, trained models, XXH64 or graph searches; tests hold them against brute force."""
-    return {"op3_passages": OP3_SQL, "op11_collocations": OP11_SQL, "op13_decontamination": OP13_SQL}
+    return {"op3_passages": OP3_SQL, "op11_collocations": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_decontamination": OP13_SQL}
