@@ -1,162 +1,130 @@
-"""FASTQ files as DataFrames.
-
-``format("fastq")`` is a Python data source: one task for each file, since a record can span lines and
-``@`` may begin a line of qualities, so that no place in a file is safe to split at.  read_fastq_strict
-is for files of four lines a record: plain files are split like any text.
+"""FASTQ files as DataFrames: whole, in byte ranges, in pairs, or as streams.
+
+``format("fastq")`` is a Python data source.  Without an index a file is one task, since a record can span lines and
+``@`` may begin a line of qualities, so that no place in a file is safe to split at.  ``index_fastq`` makes an index: each byte range of a plain or
+block-gzipped file is read once from where its first record seems to begin, which tells where its last one ends; a guess
+counts only if the range before ends there, and ranges with a wrong one are read again from the right place.  Sums over ranges
+number the records.  With the index every range is a task, and no text is shuffled.  ``format("fastq_pairs")`` reads both files of a pair
+in step.
 """
 
 from __future__ import annotations
 
-import io
+import uuid
 from collections.abc import Iterator
-from fnmatch import fnmatch
 
 import pyarrow as pa
-from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-BUFFER = 1 << 16
-#: Records of a batch.
-BATCH = 8192
+from seqtally.sources.records import Records, file_infos, file_system, likely_start, open_range, parse
+
+__all__ = ["index_fastq", "pair", "parse", "read_fastq", "read_fastq_pairs", "read_fastq_ranges", "read_fastq_strict", "stream_fastq", "with_read_id", "write_fastq"]
+
 #: Bits of a read's number within its file.
 RECORD_BITS = 40
+#: Bytes of a range.
+SPLIT = 64 << 20
+UNEQUAL = "different number of reads in paired FASTQ files"
 
 
-def parse(lines: Iterator[bytes], strip_cr: bool = False) -> Iterator[tuple[bytes, bytes]]:
-    """(name, sequence) of each record; sequences and qualities may span lines.
+def list_files(path: str) -> list[str]:
+    """The files that a path stands for, in order."""
+    return [p for p, _, _ in file_infos(path)]
 
-    Errors tell true line numbers.  The line after a name is sequence even if it begins with ``+``.  A blank line inside a
-    sequence is part of it as a line feed, and the next line is sequence whatever it begins with; one after
-    the last record is an error.
-    """
-    number = 0
-
-    def take() -> bytes | None:
-        nonlocal number
-        line = next(lines, None)
-        if line is None:
-            return None
-        number += 1
-        return line
-
-    def early() -> ValueError:
-        return ValueError(f"premature end of the file at line {number + 1}")
-
-    def body(line: bytes) -> bytes:
-        line = line[:-1] if line.endswith(b"\n") else line
-        return line[:-1] if strip_cr and line.endswith(b"\r") else line
-
-    while (header := take()) is not None:
-        start = number
-        if not header.startswith(b"@"):
-            raise ValueError(f"read name should start with '@' (starting line {start})")
-        if not header.endswith(b"\n"):
-            raise early()
-        words = header[1:].split(None, 1)
-        name = words[0] if words and not header[1:2].isspace() else b""
-        parts: list[bytes] = []
-        free = True  # whether a line may begin with + and still be sequence
-        while True:
-            line = take()
-            if line is None:
-                raise early()
-            if line.startswith(b"+") and not free:
-                break
-            if not line.endswith(b"\n"):
-                raise early()
-            text = body(line)
-            if not text and not free:
-                parts.append(b"\n")
-            parts.append(text)
-            free = not text and not free
-        if not line.endswith(b"\n"):
-            raise early()
-        seq = b"".join(parts)
-        length = 0
-        while True:
-            line = take()
-            if line is None:
-                if length == len(seq) and not seq:
-                    break
-                if length < len(seq):
-                    raise early() if not length else ValueError(f"non-equal lengths for quality and sequence strings (starting line {start})")
-                break
-            length += len(body(line))
-            if length >= len(seq):
-                break
-        if length != len(seq):
-            raise ValueError(f"non-equal lengths for quality and sequence strings (starting line {start})")
-        yield name, seq
-
-
-def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """A local path, or the URI of any store that Arrow reads (file, hdfs, s3, gs, ...)."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
+class Piece(InputPartition):
+    """Records of one file: those that begin in a range of it from byte ``start`` of the range's text on; ``record`` and ``line`` are the numbers of the first one."""
 
-def list_files(path: str) -> list[str]:
-    """The files of a folder, or those that a pattern in the last part of a path fits, or one file, in order; names that begin with _ or . don't count."""
-    fs, name = file_system(path)
-    prefix = path[: len(path) - len(name)] if path.endswith(name) else ""
-    folder, _, last = name.rstrip("/").rpartition("/")
-    if any(c in last for c in "*?["):
-        found = [i.path for i in fs.get_file_info(pafs.FileSelector(folder or ".")) if i.is_file and fnmatch(i.base_name, last)]
-    else:
-        info = fs.get_file_info(name.rstrip("/"))
-        found = [i.path for i in fs.get_file_info(pafs.FileSelector(info.path)) if i.is_file] if info.type == pafs.FileType.Directory else [info.path] if info.is_file else []
-    return [prefix + p for p in sorted(found) if not p.rpartition("/")[2].startswith(("_", "."))]
-
-
-def open_lines(path: str, buffer: int = BUFFER) -> Iterator[bytes]:
-    """Lines of a plain or gzipped file, told apart by its first bytes."""
-    fs, name = file_system(path)
-    with fs.open_input_file(name) as f:
-        magic = f.read(2)
-    with fs.open_input_stream(name, compression="gzip" if magic == b"\x1f\x8b" else None, buffer_size=buffer) as f:
-        yield from io.BufferedReader(f, max(buffer, 1 << 16))
-
-
-class FastqPartition(InputPartition):
-    def __init__(self, path: str, number: int):
+    def __init__(self, path: str, file_no: int, begin: int = 0, end: int | None = None, start: int = 0, n: int | None = None, record: int = 0, line: int = 0):
         super().__init__(path)
-        self.path, self.number = path, number
+        self.path, self.file_no, self.begin, self.end, self.start, self.n, self.record, self.line = path, file_no, begin, end, start, n, record, line
+
+    def records(self, strip_cr: bool, on: bool = False, texts: bool = True) -> Records:
+        """``on``: past the end of the range, to that of the file."""
+        data, rest = open_range(self.path, self.begin, self.end)
+        if data is None:
+            return Records(rest, strip_cr, None, self.line, texts)
+
+        def blocks() -> Iterator[bytes]:
+            yield data[self.start :]
+            yield from rest
+
+        return Records(blocks(), strip_cr, None if on else max(0, len(data) - self.start), self.line, texts)
+
+
+def _pieces(options: dict, path: str, index: str) -> list[Piece]:
+    """The pieces of an index, or the files of a path."""
+    if options.get(index):
+        fs, name = file_system(options[index])
+        rows = pq.read_table(name, filesystem=fs).sort_by([("file_no", "ascending"), ("begin", "ascending")]).to_pylist()
+        return [Piece(**r) for r in rows]
+    if not options.get(path):
+        raise ValueError("a path is needed")
+    found = [Piece(p, i) for i, p in enumerate(list_files(options[path]))]
+    if not found:
+        raise ValueError(f"no such file: {options[path]}")
+    return found
+
+
+def _strip_cr(options: dict) -> bool:
+    return str(options.get("strip_cr", "false")).lower() == "true"
+
+
+def _rows(piece: Piece, names: list[str], strip_cr: bool) -> Iterator[pa.RecordBatch]:
+    first = piece.record
+    for name, seq in piece.records(strip_cr):
+        n = len(seq)
+        make = {"file": lambda: pa.array([piece.path] * n), "file_no": lambda: pa.array([piece.file_no] * n, pa.int32()), "record_no": lambda: pa.array(range(first, first + n), pa.int64()), "name": lambda: name, "seq": lambda: seq}  # noqa: B023  used at once
+        yield pa.RecordBatch.from_arrays([make[c]() for c in names], names=names)
+        first += n
 
 
 class FastqReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
-        self.names = schema.fieldNames()
-        path = options.get("path")
-        if not path:
-            raise ValueError("a path is needed")
-        self.paths = list_files(path)
-        if not self.paths:
-            raise ValueError(f"no such file: {path}")
-        self.buffer = int(options.get("buffer_size", BUFFER))
-        self.strip_cr = str(options.get("strip_cr", "false")).lower() == "true"
+        self.names, self.strip_cr = schema.fieldNames(), _strip_cr(options)
+        self.pieces = _pieces(options, "path", "index")
 
     def partitions(self) -> list[InputPartition]:
-        return [FastqPartition(p, i) for i, p in enumerate(self.paths)]
+        return self.pieces
+
+    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        return _rows(partition, self.names, self.strip_cr)
+
+
+class FastqStreamReader(DataSourceStreamReader):
+    """Files of a folder as they come: an offset is the time and name of the last file read, and the number of files up to it.
+
+    Files appear whole (written elsewhere and moved), with a time of change not before that of files already read, and stay while the stream runs.
+    """
+
+    def __init__(self, schema: StructType, options: dict):
+        self.names, self.strip_cr, self.path = schema.fieldNames(), _strip_cr(options), options.get("path")
+        if not self.path:
+            raise ValueError("a path is needed")
+
+    def _files(self) -> list[tuple[int, str]]:
+        return sorted((t, p) for p, _, t in file_infos(self.path))
+
+    def initialOffset(self) -> dict:  # noqa: N802  names of the interface
+        return {"time": -1, "file": "", "files": 0}
 
-    def read(self, partition: FastqPartition) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes]] = []
-        first = 0
+    def latestOffset(self) -> dict:  # noqa: N802
+        files = self._files()
+        return {"time": files[-1][0], "file": files[-1][1], "files": len(files)} if files else self.initialOffset()
 
-        def batch() -> pa.RecordBatch:
-            n = len(held)
-            text = lambda k: pa.array([r[k].decode("latin-1") for r in held], pa.string())
-            make = {"file": lambda: pa.array([partition.path] * n), "file_no": lambda: pa.array([partition.number] * n, pa.int32()), "record_no": lambda: pa.array(range(first, first + n), pa.int64()), "name": lambda: text(0), "seq": lambda: text(1)}
-            return pa.RecordBatch.from_arrays([make[c]() for c in self.names], names=self.names)
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        lo, hi = (start["time"], start["file"]), (end["time"], end["file"])
+        return [Piece(p, start["files"] + i) for i, (_, p) in enumerate(f for f in self._files() if lo < f <= hi)]
 
-        for record in parse(open_lines(partition.path, self.buffer), self.strip_cr):
-            held.append(record)
-            if len(held) == BATCH:
-                yield batch()
-                first, held = first + len(held), []
-        if held:
-            yield batch()
+    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        return _rows(partition, self.names, self.strip_cr)
+
+    def commit(self, end: dict) -> None:
+        """Files stay where they are."""
 
 
 class FastqSource(DataSource):
@@ -170,11 +138,93 @@ class FastqSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return FastqReader(schema, self.options)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return FastqStreamReader(schema, self.options)
+
+
+class PairedPiece(InputPartition):
+    """Records of a piece of one file, and those at the same places of the other file, ``skip`` records into a piece of it."""
+
+    def __init__(self, one: Piece, two: Piece, skip: int, last: bool):
+        super().__init__((one.path, two.path))
+        self.one, self.two, self.skip, self.last = one, two, skip, last
+
+
+class FastqPairsReader(DataSourceReader):
+    def __init__(self, schema: StructType, options: dict):
+        self.names, self.strip_cr = schema.fieldNames(), _strip_cr(options)
+        sides = [_pieces(options, f"path{k}", f"index{k}") for k in (1, 2)]
+        files = [{n: [p for p in side if p.file_no == n] for n in sorted({p.file_no for p in side})} for side in sides]
+        if len(files[0]) != len(files[1]):
+            raise ValueError(f"different number of paired FASTQ files ({len(files[0])} and {len(files[1])})")
+        self.pieces = [p for n, m in zip(*files, strict=True) for p in self._matched(files[0][n], files[1][m])]
+
+    @staticmethod
+    def _matched(one: list[Piece], two: list[Piece]) -> Iterator[PairedPiece]:
+        k = 0
+        for i, piece in enumerate(one):
+            while k + 1 < len(two) and two[k + 1].record <= piece.record:
+                k += 1
+            yield PairedPiece(piece, two[k], piece.record - two[k].record, i + 1 == len(one))
+
+    def partitions(self) -> list[InputPartition]:
+        return self.pieces
+
+    def read(self, partition: PairedPiece) -> Iterator[pa.RecordBatch]:
+        one, two = partition.one, partition.two
+        mates, held, skip = iter(two.records(self.strip_cr, on=True)), None, partition.skip
+        first = (one.file_no << RECORD_BITS) + one.record
+
+        def mate() -> tuple[pa.Array, pa.Array] | None:
+            nonlocal held, skip
+            while held is None or not len(held[0]):
+                held = next(mates, None)
+                if held is None:
+                    return None
+                step = min(skip, len(held[0]))
+                held, skip = tuple(x.slice(step) for x in held), skip - step
+            return held
+
+        def unequal(at: int, shorter: Piece) -> ValueError:
+            return ValueError(f"{UNEQUAL}: {shorter.path} ends before read {at + 1} of its mate")
+
+        at = one.record
+        for name, seq in one.records(self.strip_cr):
+            done = 0
+            while done < len(seq):
+                if mate() is None:
+                    raise unequal(at, two)
+                n = min(len(seq) - done, len(held[0]))
+                make = {
+                    "read_id": lambda: pa.array(range(first, first + n), pa.int64()),  # noqa: B023  used at once
+                    "name1": lambda: name.slice(done, n),  # noqa: B023
+                    "seq1": lambda: seq.slice(done, n),  # noqa: B023
+                    "name2": lambda: held[0].slice(0, n),  # noqa: B023
+                    "seq2": lambda: held[1].slice(0, n),  # noqa: B023
+                }
+                yield pa.RecordBatch.from_arrays([make[c]() for c in self.names], names=self.names)
+                held = tuple(x.slice(n) for x in held)
+                done, first, at = done + n, first + n, at + n
+        if partition.last and mate() is not None:
+            raise unequal(at, one)
+
+
+class FastqPairsSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "fastq_pairs"
+
+    def schema(self) -> str:
+        return "read_id long, name1 string, seq1 string, name2 string, seq2 string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return FastqPairsReader(schema, self.options)
+
 
 def read_fastq(spark: SparkSession, path: str, names: bool = True, partitions: int | None = None, **options) -> DataFrame:
     """file, file_no (its place among the files), record_no, name and seq; names=False leaves the name out of what is made into rows.
 
-    A file is one task; ``partitions`` deals its reads out afterwards.
+    A file is one task, unless ``index`` names an index of the files; ``partitions`` deals its reads out afterwards.
     """
     spark.dataSource.register(FastqSource)
     reader = spark.read.format("fastq").options(**{k: str(v) for k, v in options.items()})
@@ -184,26 +234,109 @@ def read_fastq(spark: SparkSession, path: str, names: bool = True, partitions: i
     return df.repartition(partitions) if partitions else df
 
 
-def read_fastq_strict(spark: SparkSession, path: str) -> DataFrame:
-    """Files of exactly four lines a record, read as text in whatever pieces Spark cuts it into.
+def stream_fastq(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The columns of read_fastq as a stream of the files that come to a folder."""
+    spark.dataSource.register(FastqSource)
+    return spark.readStream.format("fastq").options(**{k: str(v) for k, v in options.items()}).load(path)
+
+
+def _scratch(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{base.rstrip('/')}/fastq-{uuid.uuid4().hex}"
 
-    Line numbers come from a count of lines in each piece and sums over pieces, so no file has to be one task.
+
+def index_fastq(spark: SparkSession, path: str, split: int = SPLIT, strip_cr: bool = False, to: str | None = None) -> str:
+    """Writes the index of a path's files and returns where: one row for each range of ``split`` bytes in which a record begins.
+
+    Files are read once, in ranges; a range whose first record was looked for in the wrong place once more.  What can't be parsed is no
+    error here, but to who reads that range.  The driver holds a row of numbers for each range.
+    """
+    infos = file_infos(path)
+    if not infos:
+        raise ValueError(f"no such file: {path}")
+    ranges = [(n, p, at, min(at + split, size) if at + split < size else None) for n, (p, size, _) in enumerate(infos) for at in range(0, max(size, 1), split)]
+
+    def scanned(wanted: list[tuple]) -> list:
+        """Of each (file_no, path, begin, end, start): (place in wanted, start, bytes of text, bytes past them, records, lines)."""
+
+        def scan(row: tuple[int, tuple]) -> tuple:
+            k, (n, file, begin, end, start) = row
+            data, rest = open_range(file, begin, end)
+            if data is not None and start is None:
+                start = 0 if not begin else likely_start(data, rest, strip_cr)
+                if start is None:
+                    return k, None, len(data), 0, 0, 0
+            records = Piece(file, n, begin, end, start or 0).records(strip_cr, texts=False)
+            try:
+                for _ in records:
+                    pass
+            except ValueError:
+                return k, start or 0, len(data or b""), None, 0, 0
+            return k, start or 0, len(data or b""), max(0, records.at - len(data or b"") + (start or 0)) if data is not None else 0, records.n, records.line
+
+        tasks = max(1, len(wanted))
+        return sorted(spark.sparkContext.parallelize(list(enumerate(wanted)), tasks).map(scan).collect(), key=lambda r: r[0])
+
+    found = scanned([(*r, None) for r in ranges])
+    while True:
+        wrong, carry, record, line, rows, dead = [], 0, 0, 0, [], False
+        for k, ((n, file, begin, end), (_, start, size, past, count, lines)) in enumerate(zip(ranges, found, strict=True)):
+            if not begin:
+                carry, record, line, dead = 0, 0, 0, False
+            if dead:
+                continue
+            if carry >= size and begin:  # one record goes on over the whole range
+                carry -= size
+                continue
+            if start != carry:
+                wrong.append(k)
+                if start is None or past is None:
+                    dead = True
+                    found[k] = (k, carry, size, None, 0, 0)
+                    continue
+                found[k] = (k, carry, size, past, count, lines)  # what it says about the ranges after it is tried first
+                carry = past
+                continue
+            rows.append((file, n, begin, end, start, count, record, line))
+            if past is None:
+                dead = True  # nothing after what can't be parsed is read
+                continue
+            carry, record, line = past, record + count, line + lines
+        if not wrong:
+            break
+        for k, again in zip(wrong, scanned([(*ranges[k], found[k][1]) for k in wrong]), strict=True):
+            found[k] = (k, *again[1:])
+    to = to or _scratch(spark)
+    schema = "path string, file_no int, begin long, end long, start long, n long, record long, line long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(to)
+    return to
+
+
+def read_fastq_ranges(spark: SparkSession, path: str, split: int = SPLIT, index: str | None = None, names: bool = True, **options) -> DataFrame:
+    """read_fastq with a task for each range of ``split`` bytes; the index is made first, unless it is given."""
+    index = index or index_fastq(spark, path, split, _strip_cr(options))
+    return read_fastq(spark, path, names, index=index, **options)
+
+
+def read_fastq_strict(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """file, file_no, record_no, name and seq of files of four lines a record, which are cut without a look at single lines."""
+    return read_fastq_ranges(spark, path, split)
+
+
+def read_fastq_pairs(spark: SparkSession, path1: str, path2: str, split: int | None = None, names: bool = True, **options) -> DataFrame:
+    """Pairs by the places of files and of reads in them, never by name: read_id, name1, seq1, name2, seq2.
+
+    The first file of one side goes with the first of the other, and so on; both files of a pair are read in one task, or with ``split`` a range of the
+    first with the reads at its places in the second.  A read without a mate fails the task that comes to it.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    sizes = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = lines.join(before.select("file", "_block", "_first", "_before"), ["file", "_block"]).withColumn("_line", F.col("_before") + F.col("_id") - F.col("_first"))
-    kind = F.col("_line") % 4
-    pick = lambda k: F.max(F.when(kind == k, F.col("value")))
-    rows = at.groupBy("file", F.floor(F.col("_line") / 4).alias("record_no")).agg(pick(0).alias("h"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("q"))
-    start = F.col("record_no") * 4 + 1
-    bad = (
-        F.when(~F.col("h").startswith("@"), F.concat(F.lit("read name should start with '@' (starting line "), start, F.lit(")")))
-        .when(F.col("q").isNull() | ~F.coalesce(F.col("plus").startswith("+"), F.lit(False)), F.concat(F.lit("premature end of the file at line "), start + 3))
-        .when(F.length("q") != F.length("seq"), F.concat(F.lit("non-equal lengths for quality and sequence strings (starting line "), start, F.lit(")")))
-    )
-    seq = F.when(bad.isNotNull(), F.raise_error(bad).cast("string")).otherwise(F.col("seq"))
-    return rows.select("file", F.col("record_no").cast("long").alias("record_no"), F.regexp_extract("h", r"^@(\S*)", 1).alias("name"), seq.alias("seq"))
+    spark.dataSource.register(FastqPairsSource)
+    options = {k: str(v) for k, v in options.items()} | {"path1": path1, "path2": path2}
+    if split:
+        options |= {f"index{k}": index_fastq(spark, p, split, _strip_cr(options)) for k, p in ((1, path1), (2, path2))}
+    reader = spark.read.format("fastq_pairs").options(**options)
+    return (reader if names else reader.schema("read_id long, seq1 string, seq2 string")).load()
 
 
 def with_read_id(df: DataFrame) -> DataFrame:
@@ -212,20 +345,22 @@ def with_read_id(df: DataFrame) -> DataFrame:
 
 
 def pair(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Pairs by the places of files and of reads in them, never by name: read_id, name1, seq1, name2, seq2.
+    """Pairs of two tables by the places of files and of reads in them, never by name: read_id, name1, seq1, name2, seq2.
 
-    The first file of one side goes with the first of the other, and so on.  A read without a mate fails the job, so both sides
-    need as many files with as many reads.  Tables without file_no count as one file.
+    A read without a mate fails the job, so both sides need as many files with as many reads.  Tables without file and file_no
+    count as one file.  This is a join of both sides; files are better read by ``read_fastq_pairs``, which needs none.
     """
     names = [c for c in ("name", "seq") if c in one.columns and c in two.columns]
 
     def side(df: DataFrame, n: int) -> DataFrame:
+        if "file" in df.columns and "file_no" not in df.columns:
+            raise ValueError("reads of several files need file_no, the place of their file")
         df = with_read_id(df) if "file_no" in df.columns else df.withColumn("read_id", F.col("record_no"))
         return df.select("read_id", *[F.col(c).alias(f"{c}{n}") for c in names])
 
     both = side(one, 1).join(side(two, 2), "read_id", "full")
     missing = F.col("seq1").isNull() | F.col("seq2").isNull()
-    checked = F.when(missing, F.raise_error(F.lit("different number of reads in paired FASTQ files")).cast("string")).otherwise(F.col("seq1"))
+    checked = F.when(missing, F.raise_error(F.lit(UNEQUAL)).cast("string")).otherwise(F.col("seq1"))
     return both.withColumn("seq1", checked)
 
 
