@@ -278,7 +278,7 @@ class DualBarcodesPaired(Handler):
         both = one.select(*keys, "one", F.explode("two").alias("two"))
         found = both.select(*keys, F.col("one.position").alias("position1"), F.col("one.v").alias("a"), F.col("one.mismatches").alias("c1"), F.col("two.position").alias("position2"), F.col("two.v").alias("b"), F.col("two.mismatches").alias("c2"))
         found = found.withColumns({"left1": F.lit(self.k1) - F.col("c1"), "left2": F.lit(self.k2) - F.col("c2")})
-        found = lookup_segments(found, [("a", self.p1, "left1"), ("b", self.p2, "left2")], self.duplicates, self.k1)
+        found = lookup_segments(found, [("a", self.p1, "left1"), ("b", self.p2, "left2")], self.duplicates, [self.k1, self.k2])
         return found.filter(F.col("status") == OK).select(*keys, "position1", "position2", "idx", (F.col("c1") + F.col("c2") + F.col("distance")).alias("mismatches"))
 
     def matches(self, pairs: DataFrame) -> DataFrame:

@@ -7,9 +7,13 @@ last, or none (AMBIGUOUS).
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 from math import comb
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,8 @@ from seqtally.schema import AMBIGUOUS, OK, Duplicates
 MOST_NEIGHBOURS = 500_000
 #: Barcodes that are compared one by one, inside a row, at most.
 MOST_BRUTE = 4096
+#: Tuples from which the frequencies of keys are estimated.
+MOST_ESTIMATED = 20_000
 
 
 def neighbourhood_size(expanded: int, length: int, cap: int) -> int:
@@ -136,25 +142,74 @@ def _differing(v: Column, codes: Column, pool: BarcodePool) -> Column:
     return d
 
 
-def lookup_segments(df: DataFrame, segments: list[tuple[str, BarcodePool, str]], duplicates: Duplicates, most: int) -> DataFrame:
+@dataclass(frozen=True)
+class _Keys:
+    """What a key of tuples is made of: whole strings of the segments ``near`` (within their caps), and one of cap + 1 parts of each of ``parts``."""
+
+    near: tuple[int, ...]
+    parts: tuple[int, ...]
+
+    def combinations(self, most: list[int]) -> list[dict[int, int]]:
+        """For each kind of key the place of the part of each segment in ``parts``."""
+        return [dict(zip(self.parts, c, strict=True)) for c in product(*(range(most[i] + 1) for i in self.parts))]
+
+
+def _part(length: int, cap: int, k: int) -> tuple[int, int]:
+    """(begin, size) of the k-th of cap + 1 parts."""
+    cut = lambda j: j * length // (cap + 1)
+    return cut(k), cut(k + 1) - cut(k)
+
+
+def choose_keys(pools: list[BarcodePool], most: list[int], entries: int | None = MOST_NEIGHBOURS) -> _Keys | None:
+    """The keys by which fewest tuples are compared with an observed one, by the frequencies of keys in the pools themselves.
+
+    Any two tuples within the caps have such a key in common: a string within its cap is in the neighbourhood, and of cap + 1 parts one is
+    equal.  ``entries`` bounds the rows of the tuples' keys; None allows parts alone, of which there are few.
+    """
+    n = len(pools[0])
+    step = max(1, n // MOST_ESTIMATED)
+    tuples = [tuple(p.sequences[i].upper() for p in pools) for i in range(0, n, step)]
+    best: tuple[float, _Keys] | None = None
+    for modes in product(("", "near", "parts"), repeat=len(pools)):
+        keys = _Keys(*(tuple(i for i, m in enumerate(modes) if m == mode) for mode in ("near", "parts")))
+        if not any(modes) or any(most[i] + 1 > pools[i].length for i in keys.parts) or entries is None and keys.near:
+            continue
+        size = float(n)
+        for i in (*keys.near, *keys.parts):
+            wide = pools[i].expanded_size / n
+            size *= wide * (neighbourhood_size(1, pools[i].length, most[i]) if i in keys.near else most[i] + 1)
+        if entries is not None and size > entries:
+            continue
+        compared, kinds = 0.0, keys.combinations(most)
+        for kind in kinds:
+            cuts = [(i, 0, pools[i].length) for i in keys.near] + [(i, *_part(pools[i].length, most[i], k)) for i, k in kind.items()]
+            seen = Counter(tuple(t[i][a : a + m] for i, a, m in cuts) for t in tuples)
+            compared += sum(f * f for f in seen.values()) / len(tuples) * step
+        cost = 4 * compared + len(kinds)
+        if best is None or cost < best[0]:
+            best = (cost, keys)
+    return best and best[1]
+
+
+def lookup_segments(df: DataFrame, segments: list[tuple[str, BarcodePool, str]], duplicates: Duplicates, most: list[int] | int, entries: int = MOST_NEIGHBOURS) -> DataFrame:
     """df with distance, idx and status of the nearest tuple over several segments, each with a cap of its own.
 
     segments: (column of the string, pool, column of the cap) with pools of equal size, of which equal places form
-    a barcode.  The caps of a row decide which barcodes compete; ``most`` bounds those of the first segment.  Rows
+    a barcode.  The caps of a row decide which barcodes compete; ``most`` bounds those of each segment, or of the first alone.  Rows
     without a tuple within all caps are dropped.
 
-    Where the neighbourhood of the first pool is small it is broadcast, as one row for each string with all barcodes near it, and
-    a row is answered where it stands.  Larger pools go by seeds over the distinct strings.
+    Tuples are found by keys made of several segments, chosen so that few tuples share one.  Where the tuples' keys are ``entries`` at most
+    they are broadcast, and a row is answered where it stands; otherwise each distinct observed tuple is looked up once.
     """
     spark = df.sparkSession
-    v0, pool, cap0 = segments[0]
-    whole = spark.createDataFrame([(i, *(x.upper() for x in t)) for i, t in enumerate(zip(*(p.sequences for _, p, _ in segments), strict=True))], ", ".join(["idx int", *(f"s{i} string" for i in range(len(segments)))]))
+    pools, columns = [p for _, p, _ in segments], [v for v, _, _ in segments]
+    most = [most, *(p.length for p in pools[1:])] if isinstance(most, int) else most
     idx, status = _chosen(duplicates)
+    names = [f"s{i}" for i in range(len(segments))]
 
     def judged(found: Column) -> Column:
-        """struct(distance, first, last) of an array of (idx, d0, s1, s2, ...), null if no barcode is within the caps."""
-        rest = [lambda b, i=i, v=v, p=p: _differing(F.col(v), b[f"s{i}"], p) for i, (v, p, _) in enumerate(segments) if i]
-        near = F.transform(found, lambda b: F.struct(b["idx"].alias("idx"), b["d0"].alias("d0"), *(d(b).alias(f"d{i}") for i, d in enumerate(rest, 1))))
+        """struct(distance, first, last) of an array of (idx, s0, s1, ...), null if no barcode is within the caps; repeats do no harm."""
+        near = F.transform(found, lambda b: F.struct(b["idx"].alias("idx"), *(_differing(F.col(v), b[f"s{i}"], p).alias(f"d{i}") for i, (v, p, _) in enumerate(segments))))
         within = lambda b: reduce(Column.__and__, (b[f"d{i}"] <= F.col(c) for i, (_, _, c) in enumerate(segments)))
         total = lambda b: F.struct(reduce(Column.__add__, (b[f"d{i}"] for i in range(len(segments)))).alias("distance"), b["idx"].alias("idx"))
         last = lambda all_, lo: F.array_max(F.transform(F.filter(all_, lambda x: x["distance"] == lo["distance"]), lambda x: x["idx"]))
@@ -163,27 +218,46 @@ def lookup_segments(df: DataFrame, segments: list[tuple[str, BarcodePool, str]],
     def done(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_near", judged(F.col("_found"))).filter("_near is not null").select(*df.columns, "_near.*").select(*df.columns, "distance", idx.alias("idx"), status.alias("status"))
 
-    if not len(pool):
+    if not len(pools[0]):
         return df.filter(F.lit(False)).withColumns({"distance": F.lit(0), "idx": F.lit(0), "status": F.lit(OK)})
-    others = [f"s{i}" for i in range(1, len(segments))]
-    if pool.is_wide and len(pool) <= MOST_BRUTE:
-        every = F.array(*[F.struct(F.lit(i).alias("idx"), *(F.lit(p.sequences[i].upper()).alias(f"s{k}") for k, (_, p, _) in enumerate(segments))) for i in range(len(pool))])
-        near = F.transform(every, lambda b: F.struct(b["idx"].alias("idx"), _differing(F.col(v0), b["s0"], pool).alias("d0"), *(b[c].alias(c) for c in others)))
-        return done(df.withColumn("_found", F.filter(near, lambda b: b["d0"] <= F.col(cap0))))
-    if neighbourhood_size(pool.expanded_size, pool.length, most) <= MOST_NEIGHBOURS:
-        near = neighbours(spark, pool, most).join(F.broadcast(whole), "idx")
-        table = near.groupBy("key").agg(F.collect_list(F.struct("idx", F.col("distance").alias("d0"), *others)).alias("_found"))
-        return done(df.join(F.broadcast(table), df[v0] == table["key"]).drop("key"))
-    # each distinct string of the first segment is looked up once, by parts of which one is equal
-    n, parts = pool.length, min(most + 1, pool.length)
-    cuts = [i * n // parts for i in range(parts + 1)]
-    seeds = lambda c: F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.substring(c, cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("seed")) for i in range(parts)]))
-    known = _expanded(spark, pool)
-    seen = df.select(F.col(v0).alias("v")).distinct()
-    if most < n:
-        pairs = seen.select("v", seeds("v").alias("s")).select("v", "s.*").join(known.select("idx", "key", seeds("key").alias("s")).select("idx", "key", "s.*"), ["part", "seed"])
-    else:  # every barcode is near every string
-        pairs = seen.filter(F.length("v") == n).crossJoin(known)
-    pairs = pairs.withColumn("d0", hamming("v", "key", n)).filter(F.col("d0") <= most).groupBy("v", "idx").agg(F.min("d0").alias("d0"))
-    table = pairs.join(whole.drop("s0"), "idx").groupBy("v").agg(F.collect_list(F.struct("idx", "d0", *others)).alias("_found"))
-    return done(df.join(table, df[v0] == table["v"]).drop("v"))
+    if any(p.is_wide for p in pools) and len(pools[0]) <= MOST_BRUTE:
+        every = F.array(*[F.struct(F.lit(i).alias("idx"), *(F.lit(p.sequences[i].upper()).alias(c) for c, p in zip(names, pools, strict=True))) for i in range(len(pools[0]))])
+        return done(df.withColumn("_found", every))
+    rows = {"idx": pa.array(range(len(pools[0])), pa.int32())} | {c: pa.array([x.upper() for x in p.sequences], pa.string()) for c, p in zip(names, pools, strict=True)}
+    whole = spark.createDataFrame(pa.table(rows), ", ".join(["idx int", *(f"{c} string" for c in names)]))
+    keys = choose_keys(pools, most, entries)
+    if keys is not None:
+        out, found = df, []
+        for k, kind in enumerate(keys.combinations(most)):
+            table, on = whole, []
+            for i in keys.near:
+                table = table.join(neighbours(spark, pools[i], most[i]).select("idx", F.col("key").alias(f"_k{i}")), "idx")
+                on.append((f"_k{i}", F.col(columns[i])))
+            for i, j in kind.items():
+                a, m = _part(pools[i].length, most[i], j)
+                table = table.join(_expanded(spark, pools[i]).select("idx", F.substring("key", a + 1, m).alias(f"_k{i}")).distinct(), "idx")
+                on.append((f"_k{i}", F.substring(columns[i], a + 1, m)))
+            own = [c for c, _ in on]
+            table = table.groupBy(*own).agg(F.collect_list(F.struct("idx", *names)).alias(f"_f{k}"))
+            out = out.join(F.broadcast(table), reduce(Column.__and__, (x == table[c] for c, x in on)), "left").drop(*own)
+            found.append(f"_f{k}")
+        none = F.slice(F.coalesce(*found), 1, 0)
+        every = F.col(found[0]) if len(found) == 1 else F.concat(*(F.coalesce(F.col(c), none) for c in found))
+        return done(out.filter(reduce(Column.__or__, (F.col(c).isNotNull() for c in found))).withColumn("_found", every).drop(*found))
+    # each distinct observed tuple is looked up once, by parts of which one kind of key is equal
+    keys = choose_keys(pools, most, None)
+    seen = df.select(*columns).distinct()
+    sized = reduce(Column.__and__, (F.length(v) == p.length for v, p in zip(columns, pools, strict=True)))
+    if keys is None:  # caps of whole lengths: every tuple is near every string
+        pairs = seen.filter(sized).crossJoin(whole)
+    else:
+        cuts = [[(i, *_part(pools[i].length, most[i], j)) for i, j in kind.items()] for kind in keys.combinations(most)]
+        key = lambda of: F.explode(F.array(*[F.concat(F.lit(f"{n}:"), *(F.substring(of(i), a + 1, m) for i, a, m in cut)) for n, cut in enumerate(cuts)]))
+        known = whole
+        for i in keys.parts:
+            known = known.join(_expanded(spark, pools[i]).select("idx", F.col("key").alias(f"_e{i}")), "idx")
+        known = known.select("idx", *names, key(lambda i: f"_e{i}").alias("_key")).distinct()
+        pairs = seen.select(*columns, key(lambda i: columns[i]).alias("_key")).join(known, "_key").drop("_key").distinct()
+    near = reduce(Column.__and__, (_differing(F.col(v), F.col(c), p) <= m for v, c, p, m in zip(columns, names, pools, most, strict=True)))
+    table = pairs.filter(near).groupBy(*columns).agg(F.collect_list(F.struct("idx", *names)).alias("_found"))
+    return done(df.join(table, columns))

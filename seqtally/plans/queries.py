@@ -19,7 +19,7 @@ from seqtally.plans import oracle as O
 from seqtally.plans import synth as S
 from seqtally.plans.template import Template
 from seqtally.schema import Duplicates, Strand
-from seqtally.sources.fastq import pair, read_fastq, read_fastq_strict, write_fastq
+from seqtally.sources.fastq import pair, read_fastq, read_fastq_pairs, read_fastq_ranges, read_fastq_strict, stream_fastq, write_fastq
 from seqtally.streaming.counts import count_stream, counted, stream_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,19 +76,43 @@ def paired_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair(one, two)
 
 
-def paired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two files a side, by the parity of the read, written and read again: a read goes with the one at its place in the file of its place."""
-    base, sides = scratch(spark), []
-    for n in (1, 2):
-        for lane in (0, 1):
-            own = S.pairs(spark, sf_dir).filter(F.col("read_id") % 2 == lane).select(F.concat(F.lit(f"{n}."), "read_id").alias("name"), F.col(f"seq{n}").alias("seq"), "read_id")
-            write_fastq(own.coalesce(1).sortWithinPartitions("read_id"), f"{base}/{n}/{lane}")
-        # one folder for each file as Spark writes them, so their reads are numbered here by hand
-        sides.append(read_fastq(spark, f"{base}/{n}/0").unionByName(read_fastq(spark, f"{base}/{n}/1").withColumn("file_no", F.lit(1))))
-    return pair(*sides).select("name1", "seq1", "name2", "seq2")
+def paired_files(per_line: int | None, gz: bool, split: int | None) -> Query:
+    """Four files a side, written and read again: a read goes with the one at its place in the file of its place."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = scratch(spark)
+        for n in (1, 2):
+            own = S.pairs(spark, sf_dir).select(F.concat(F.lit(f"{n}."), "read_id").alias("name"), F.col(f"seq{n}").alias("seq"), "read_id")
+            write_fastq(own.repartition(4, "read_id").sortWithinPartitions("read_id"), f"{base}/{n}", per_line, gz)
+        return read_fastq_pairs(spark, f"{base}/1", f"{base}/2", split).select("name1", "seq1", "name2", "seq2")
+
+    return run
+
+
+def ranges(per_line: int | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch(spark)
+        write_fastq(named(spark, sf_dir), path, per_line)
+        return read_fastq_ranges(spark, path, 1 << 16).select("name", "seq")
 
-add("paired_fastq_files", paired_files, O.query([], "select '1.' || read_id as name1, seq1, '2.' || read_id as name2, seq2 from pairs"))
+    return run
+
+
+def streamed_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTQ files of a folder as a stream, counted by one aggregation."""
+    base, name = scratch(spark), f"fastq_{uuid.uuid4().hex}"
+    write_fastq(named(spark, sf_dir), f"{base}/in")
+    counts = stream_counts(stream_fastq(spark, f"{base}/in"), H.SingleBarcode(S.ONE, S.pool1(), 1, False))
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+PAIRS_SQL = O.query([], "select '1.' || read_id as name1, seq1, '2.' || read_id as name2, seq2 from pairs")
+add("paired_fastq_files", paired_files(17, True, None), PAIRS_SQL)
+add("paired_fastq_strict", paired_files(None, False, 1 << 16), PAIRS_SQL)
+add("reads_fastq_ranges", ranges(None), NAMED_SQL)
+add("reads_fastq_ranges_multiline", ranges(17), NAMED_SQL)
+add("streaming_fastq", streamed_fastq, O.query(O.single("m", "reads", "seq", S.ONE, "pool1", 1, False), "select idx, count(*) as count from m group by idx"))
 add("paired_zip", paired_zip, O.query([], "select read_id, 'FOO' || read_id as name1, seq1, 'BAR' || read_id as name2, seq2 from pairs"))
 
 # --- bases -------------------------------------------------------------------------------------
@@ -187,7 +211,7 @@ for _how in ("brute", "seeds", "neighbours"):
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = observed(spark, sf_dir).selectExpr("read_id", "substring(v0, 1, 5) as a", "substring(v0, 6, 3) as b", "cast(read_id % 3 as int) as cap1", "cast(read_id % 2 as int) as cap2")
     p = S.pool1()
-    out = lookup_segments(halves, [("a", BarcodePool([s[:5] for s in p]), "cap1"), ("b", BarcodePool([s[5:] for s in p]), "cap2")], Duplicates.NONE, 2)
+    out = lookup_segments(halves, [("a", BarcodePool([s[:5] for s in p]), "cap1"), ("b", BarcodePool([s[5:] for s in p]), "cap2")], Duplicates.NONE, [2, 1])
     return out.select("read_id", "distance", "idx", "status")
 
 
@@ -281,6 +305,13 @@ for _dup in (Duplicates.LAST, Duplicates.NONE, Duplicates.FIRST):
     _ctes = O.dual_paired("m", False, False, 1, 1, S.LEFT, S.RIGHT, _word, tuples="tuples_twice")
     add(f"dual_pe_ties_{_word}", lambda s, d, x=_dup, p=_pool: H.DualBarcodesPaired(S.LEFT, p, S.RIGHT, S.pool2() * 2, 1, 1, False, duplicates=x).counts(S.pairs(s, d)), O.query([*_TWICE, *_ctes], O.dense("m", S.POOL1)))
 
+# two first barcodes for all tuples
+_SHARED = [f"shared as (select cast(i as integer) as idx, {S.bc1('(i // 12)')} as s1, {S.bc2('(i % 12)')} as s2 from range(24) t(i))"]
+for _first, _word in FIRST_BEST:
+    _ctes = O.dual_paired("m", _first, True, 1, 1, S.LEFT, S.RIGHT, tuples="shared")
+    _word = "shared_barcodes" if not _first else "shared_barcodes_first"
+    add(f"dual_pe_{_word}", lambda s, d, f=_first: H.DualBarcodesPaired(S.LEFT, [S.pool1()[i // 12] for i in range(24)], S.RIGHT, S.pool2() * 2, 1, 1, f, random=True).counts(S.pairs(s, d)), O.query([*_SHARED, *_ctes], O.dense("m", S.POOL1)))
+
 add("dual_pe_diag_counts", lambda s, d: H.DualBarcodesPairedDiagnostics(S.LEFT, S.pool1(), S.RIGHT, _repeats, max_mismatches1=1, max_mismatches2=1, use_first=False).counts(S.pairs(s, d)), O.query(O.dual_paired("m", False, False, 1, 1, S.LEFT, S.RIGHT), O.dense("m", S.POOL1)))
 add("dual_se_diag_counts", lambda s, d: H.DualBarcodesDiagnostics(S.TWO, [S.pool1(), _repeats], max_mismatches=1, use_first=False).counts(S.reads(s, d)), O.query(O.dual("m", "reads", "seq", S.TWO, "tuples", 1, False), O.dense("m", S.POOL1)))
 
