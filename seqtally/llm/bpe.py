@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqtally.llm.common import arrow_schema, field, slices
-from seqtally.llm.kernels import PieceCache, column_bytes, gather, pretokens, runs
+from seqtally.llm.kernels import _L, _N, _O, _S, _WHITE, PieceCache, column_bytes, gather, pretokens, runs
 
 
 def default_ranks() -> str:
@@ -150,10 +150,40 @@ def _loaded(path: str) -> tuple[Bpe, PieceCache]:
     return bpe, PieceCache(bpe.encode_all)
 
 
+class LibraryClasses:
+    """Letter, number or other: the classes that the tiktoken library gives to code points, by how it cuts them.
+
+    Its Unicode version may be newer than Python's.  Before ``'s`` an apostrophe stays with what is neither a letter nor a number, and
+    an ``x`` stays with a letter alone; two small vocabularies of its own show which.
+    """
+
+    def __init__(self, pattern: str):
+        import tiktoken
+
+        single = {bytes([i]): i for i in range(256)}
+        after = {bytes([i]) + b"x": 256 + i for i in range(256) if i != 0x27}
+        self.library = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks=single | after | {b"'s": 256 + 0x27}, special_tokens={})
+        self.known = np.full(0x110000, 255, np.uint8)
+        self.known[_WHITE] = _S
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        for c in points[self.known[points] == 255].tolist():
+            apart = self.library.encode_ordinary(chr(c) + "'s")[-1] == 256 + 0x27
+            self.known[c] = (_L if self.library.encode_ordinary(chr(c) + "x")[-1] >= 256 else _N) if apart else _O
+        return self.known[points]
+
+
+@lru_cache(maxsize=1)
+def _library_classes() -> LibraryClasses:
+    import public_tokenizers
+
+    return LibraryClasses(public_tokenizers.PATTERN)
+
+
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, and ids (little-endian unsigned 32-bit) with the decoded bytes, or the digests of both.
 
-    A null text is empty and has no ids.  Each row is on its own: repeated rows, null ids and extra
+    Texts are cut into pre-tokens as the tiktoken library cuts them, by its classes of code points.  A null text is empty and has no ids.  Each row is on its own: repeated rows, null ids and extra
     columns change nothing.  An empty table gives no rows.
     """
     path = ranks or default_ranks()
@@ -171,7 +201,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for i, j in runs(offsets):
                     lo = offsets[i]
                     d, o = data[lo : offsets[j]], offsets[i : j + 1] - lo
-                    starts, ends, doc, _ = pretokens(d, o)
+                    starts, ends, doc, _ = pretokens(d, o, _library_classes())
                     flat, size = cache.lookup(d, starts, ends)
                     per_doc = np.bincount(doc, weights=size, minlength=j - i).astype(np.int64)
                     cut = np.append(0, np.cumsum(per_doc))

@@ -9,7 +9,7 @@ bytes at a time (XXH3 for longer words) into 128 bits and stands for the word it
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -172,11 +172,13 @@ _WHITE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000,
 def _classes() -> np.ndarray:
     out = np.full(0x110000, _O, np.uint8)
     for c in range(0x110000):
-        k = unicodedata.category(chr(c))[0]
-        if k == "L":
+        k = unicodedata.category(chr(c))
+        if k[0] == "L":
             out[c] = _L
-        elif k == "N":
+        elif k[0] == "N":
             out[c] = _N
+        elif k == "Cn":
+            out[c] = _UNSURE
     out[_WHITE] = _S
     return out
 
@@ -191,13 +193,13 @@ def _low_classes() -> np.ndarray:
     return out
 
 
-def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pretokens(data: np.ndarray, offsets: np.ndarray, classes: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Splits documents as the byte-level BPE pattern does: starts, ends, document of each, unsure documents.
 
     The pattern's alternatives come down to runs of one class (letter, number, white space, other):
     a space before a run joins it, white space before a run keeps its last character apart, and an
     apostrophe alone takes the letters of a contraction.  Unsure documents hold code points at which
-    libraries with other Unicode versions may differ.
+    libraries with other Unicode versions may differ; ``classes`` tells the classes of such code points, and then no document is unsure.
     """
     n_docs = len(offsets) - 1
     if not len(data):
@@ -217,7 +219,11 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     is_first[doc_first] = True
     unsure = np.zeros(n_docs, bool)
     odd = (cls == _UNSURE) | (cp >= 0x3000) | ((cp >= 0x1C) & (cp <= 0x1F))
-    if odd.any():
+    if odd.any() and classes is not None:
+        which, where = np.unique(cp[odd], return_inverse=True)
+        cls = cls.copy()
+        cls[odd] = classes(which)[where]
+    elif odd.any():
         unsure[np.searchsorted(offsets, at[odd], "right") - 1] = True
         cls = np.where(cls == _UNSURE, np.uint8(_O), cls)
     cut = np.ones(n + 1, bool)

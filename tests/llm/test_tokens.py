@@ -201,3 +201,58 @@ def test_queries(spark, sf, documents):
     assert check_packing(documents, q["op2_packing"](spark, sf).collect()) < 0.01
     check_files(documents, q["op7_token_files"](spark, sf).collect())
     check_bpe(documents, q["op8_bpe"](spark, sf).collect())
+
+
+def _library():
+    import public_tokenizers
+    import tiktoken
+
+    from seqtally.llm.bpe import default_ranks, load_ranks
+
+    return tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(default_ranks()), special_tokens={})
+
+
+def test_code_points_newer_than_pythons_are_cut_as_the_library_cuts(spark):
+    """Unassigned and new code points, alone in a run and beside others, each before contractions, letters, digits and blanks."""
+    import random
+    import unicodedata
+
+    import numpy as np
+
+    from seqtally.llm.bpe import encode_decode
+
+    rng = random.Random(4)
+    new = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    points = [0x1C89, 0xA7CB, 0x10D40, 0x1C8A, 0x2FFF, 0x1F, 0x1C, 0x85, 0x3000, *rng.sample(new, 1500), *rng.sample(range(0x80, 0x30000), 500)]
+    points = [c for c in points if not 0xD800 <= c < 0xE000]
+    texts = [chr(c) + tail for c in points for tail in ("'s",)] + [f"a{chr(c)}1 {chr(c)}'ll{chr(c)}x {chr(c)}{chr(rng.choice(points))}'re  \n{chr(c)}" for c in points]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    lib = _library()
+    for r in encode_decode(df).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == lib.encode_ordinary(texts[r.doc_id]), ascii(texts[r.doc_id])
+        assert bytes(r.decoded).decode() == texts[r.doc_id]
+
+
+def test_classes_of_assigned_code_points_are_the_librarys():
+    import numpy as np
+
+    from seqtally.llm import kernels as K
+    from seqtally.llm.bpe import _library_classes
+
+    mine = K._classes()
+    points = np.array([c for c in range(0x80, 0x110000) if mine[c] != K._UNSURE and not 0xD800 <= c < 0xE000 and not 0xE000 <= c < 0xF900 and c < 0xF0000])
+    assert (_library_classes()(points) == mine[points]).all()
+
+
+def test_a_new_code_point_beside_texts_of_other_scripts(spark):
+    """Documents of one run: one with a code point that Python doesn't know, another with high ones."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from seqtally.llm.tokens import default_vocabulary, encode_column
+    import pyarrow as pa
+
+    texts = ["Ᲊ's", "中文 text", "\U00010d40's x"]
+    ids, offsets = encode_column(pa.array(texts), default_vocabulary(), 1)
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [ids[offsets[i] : offsets[i + 1] - 1].tolist() for i in range(3)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
