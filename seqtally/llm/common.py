@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows and bytes of text that are worked on at once, at most; a longer text is a slice of its own.
 SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
+#: Rows of one key that meet in a task of spread_join.
+HOT_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +54,19 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], parts: int = 8, how: str = "inner") -> DataFrame:
-    """left joined with right, whose keys are unique: rows of left with one key are dealt out over several tasks.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """left, a written table, joined with right, whose keys are unique.
 
-    right, which is small beside left where a key is hot, is repeated ``parts`` times.
+    Rows of a key that left has more than ``hot`` times are dealt out in shares of ``hot``, and its row of right is repeated for each
+    share; such keys are few (a broadcast row for each ``hot`` rows of left at most), and other keys are joined as they are.
     """
-    dealt = left.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int"))
-    return dealt.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"], how).drop("_part")
+    heavy = written(left.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(*keys, F.ceil(F.col("_n") / hot).cast("int").alias("_n")))
+    if heavy.isEmpty():
+        return left.join(right, keys, how)
+    shares = lambda df: df.join(F.broadcast(heavy), keys, "left")
+    dealt = shares(left).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    repeated = shares(right).withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    return dealt.join(repeated, [*keys, "_part"], how).drop("_part")
 
 
 def field(df: DataFrame, name: str, new: str | None = None) -> T.StructField:

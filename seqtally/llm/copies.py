@@ -1,10 +1,9 @@
-"""The exact check of candidate groups: which texts of a group have sets of shingles that are similar enough.
+"""Exact links among all texts: those whose sets of shingles are similar enough.
 
 Two sets of a Jaccard similarity of ``least`` or more share one of the first n - ceil(least * n) + 1 of their n members, in
-whatever order these are (prefix filter); frequent ones come last here.  Texts of a group that share one are compared on
-their whole sets, until each two are either united or rejected.  A group whose sets take GROUP_BYTES at most is compared in
-one task, a larger one by joins on shingles.  Texts with equal sets are one node.
-Sets hold 64-bit hashes, so a collision could change a similarity by one shingle.
+whatever order these are (prefix filter); frequent ones come last here.  Every two sets that share one are either united or were compared
+whole and rejected.  Groups found by other means, as by SimHash, only say which sets to compare first.  Texts with equal sets are one node,
+by 128 bits of a digest; nodes are numbered.  Sets hold 64-bit hashes, so a collision could change a similarity by one shingle.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +20,6 @@ from seqtally.llm.common import slices, spread_join, written
 from seqtally.llm.components import linked
 from seqtally.llm.kernels import column_bytes
 
-#: Bytes of the sets of a group that is compared in one task.
-GROUP_BYTES = 16 << 20
 #: Sets whose documents' ids are broadcast, at most (four numbers each).
 MOST_BROADCAST = 1 << 21
 #: Shingles counted at once; counts of less than LOCAL among them are not passed on, nor are more than FREQUENT shingles kept.
@@ -75,104 +71,47 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], count[order]
 
 
-def cluster(sets: list[np.ndarray], least: Fraction) -> np.ndarray:
-    """For each set the place of the first one of those it is connected with."""
-    every, counts = np.unique(np.concatenate(sets), return_counts=True)
-    parent, tested = list(range(len(sets))), set()
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def test(i: int, j: int) -> None:
-        if (i, j) not in tested:
-            tested.add((i, j))
-            if similar(sets[i], sets[j], least):
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-
-    heads = [prefix(x, every, counts, least) for x in sets]
-    owner = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
-    key = np.concatenate(heads)
-    order = np.argsort(key, kind="stable")
-    key, owner = key[order], owner[order]
-    cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)).tolist() if len(key) else [0]
-    lists = [owner[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
-    for own in lists:  # first with one of them, which unites most; then whatever is still apart
-        for j in own[1:]:
-            if find(j) != find(own[0]):
-                test(own[0], j)
-    for own in lists:
-        roots = [find(i) for i in own]
-        if len(set(roots)) > 1:
-            for x, i in enumerate(own):
-                for j in own[x + 1 :]:
-                    if find(i) != find(j):
-                        test(i, j)
-    return np.array([find(i) for i in range(len(sets))])
-
-
 def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Callable, least: float) -> DataFrame:
-    """The rows of ``table`` (doc_id, root, node and others) with component_id, the smallest id linked to in their group.
+    """The rows of ``table`` (doc_id, root, node and others) with component_id, the smallest id that links lead to.
 
-    ``root`` is the group of candidates and ``node`` the name of the row's set of shingles.  ``texts`` (doc_id, text) are read
-    again only for one document of each set in groups that hold several sets.
+    ``root`` is the group of likely copies and ``node`` the name of the row's set of shingles.  ``texts`` (doc_id, text) are read again for
+    one document of each set.
     """
     part = Fraction(str(least))
-    nodes = written(table.groupBy("root", "node").agg(F.min("doc_id").alias("id"), F.xxhash64("root", "node").alias("at")))
-    several = nodes.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
-    wanted = written(nodes.join(several, "root"))
+    nodes = written(table.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("root").alias("root")).withColumn("at", F.monotonically_increasing_id()))
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for piece in slices(batch, 0):
                 found = list(sets_of(*column_bytes(piece.column(0))))
                 own = pa.array([name_of(x) == n for x, n in zip(found, piece.column(1).to_pylist(), strict=True)], pa.bool_())  # ids may repeat
-                yield pa.RecordBatch.from_arrays([piece.column(2), piece.column(3), pa.array([x.tobytes() for x in found], pa.binary())], names=["at", "root", "hashes"]).filter(own)
-
-    chosen = wanted.select(F.col("id").alias("_id"), "node", "at", "root")
-    if chosen.count() <= MOST_BROADCAST:  # otherwise texts are shuffled by their ids
-        chosen = F.broadcast(chosen)
-    read = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["_id"])).select("text", "node", "at", "root")
-    sets = written(read.mapInArrow(whole, "at long, root long, hashes binary"))
-    sizes = sets.groupBy("root").agg(F.sum(F.length("hashes")).alias("bytes"))
-    large = written(sizes.filter(F.col("bytes") > GROUP_BYTES).select("root"))
-    none = large.isEmpty()
-
-    def together(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("at").sort_values("at")
-        at = pdf["at"].to_numpy()
-        return pd.DataFrame({"node": at, "top": at[cluster([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], part)]})
-
-    small = sets if none else sets.join(large, "root", "left_anti")
-    links = small.groupBy("root").applyInPandas(together, "node long, top long")
-    if not none:
-        links = links.unionByName(_joined(sets.join(large, "root", "left_semi"), part).withColumnRenamed("root", "top"))
-    united = nodes.join(links, nodes["at"] == links["node"], "left").select(nodes["root"], nodes["node"], "id", F.coalesce("top", "at").alias("top"))
-    united = written(united)
-    ids = united.groupBy("top").agg(F.min("id").alias("component_id"))
-    return spread_join(table, united.join(ids, "top").select("root", "node", "component_id"), ["root", "node"])
+                yield pa.RecordBatch.from_arrays([piece.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["at", "hashes"]).filter(own)
 
+    def read(wanted: DataFrame) -> DataFrame:
+        """(at, hashes) of some nodes."""
+        chosen = wanted.select(F.col("id").alias("_id"), "node", "at")
+        if chosen.count() <= MOST_BROADCAST:  # otherwise texts are shuffled by their ids
+            chosen = F.broadcast(chosen)
+        return texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["_id"])).select("text", "node", "at").mapInArrow(whole, "at long, hashes binary")
 
-def _joined(sets: DataFrame, part: Fraction) -> DataFrame:
-    """(node, root) of the sets of large groups, by joins on the shingles of their prefixes."""
-    sets = written(sets.dropDuplicates(["at"]).withColumn("size", F.length("hashes")))
-    shared = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
+    every = read(nodes)
+    shared = table.sparkSession.sparkContext.broadcast(_frequent(every))
 
     def prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
         for batch in it:
-            heads = [prefix(np.frombuffer(x.as_buffer(), np.uint64), frequent, counts, part) for x in batch.column(2)]
+            heads = [prefix(np.frombuffer(x.as_buffer(), np.uint64), frequent, counts, part) for x in batch.column(1)]
             size = [len(h) for h in heads]
             if sum(size):
-                key = np.concatenate(heads).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(1).to_numpy(), size)), pa.array(key), pa.array(np.repeat(batch.column(0).to_numpy(), size))], names=["root", "shingle", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size))], names=["key", "node"])
 
-    heads = written(sets.select("at", "root", "hashes").mapInArrow(prefixes, "root long, shingle long, node long").select(F.xxhash64("root", "shingle").alias("key"), "node"))
+    heads = written(every.mapInArrow(prefixes, "key long, node long"))
     meeting = heads.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
     members = written(heads.join(meeting, "key").select("key", "node", F.lit(1).alias("times")))
+    several = nodes.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    hints = written(nodes.join(several, "root").select(F.xxhash64("root").alias("key"), F.col("at").alias("node"), F.lit(1).alias("times")))
+    wanted = members.select("node").unionByName(hints.select("node")).distinct().withColumnRenamed("node", "at")
+    sets = written(read(written(nodes.join(wanted, "at"))).dropDuplicates(["at"]).withColumn("size", F.length("hashes")))
 
     def verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -186,4 +125,7 @@ def _joined(sets: DataFrame, part: Fraction) -> DataFrame:
         fit = pairs.join(size("a", "n"), "a").join(size("b", "m"), "b").filter(F.least("n", "m") * part.denominator >= F.greatest("n", "m") * part.numerator).select("a", "b")
         return fit.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
 
-    return linked(members, compare)[1]
+    roots = linked(members, compare, hints=hints)[1].withColumnRenamed("node", "at").withColumnRenamed("root", "top")
+    united = written(nodes.join(roots, "at", "left").select("node", "id", F.coalesce("top", "at").alias("top")))
+    ids = united.groupBy("top").agg(F.min("id").alias("component_id"))
+    return spread_join(table, united.join(ids, "top").select("node", "component_id"), ["node"])

@@ -7,8 +7,8 @@ seems.  The thresholds t_i, -1 for a partition that is not used, come from dynam
 the number of candidates and probes that they are expected to cost.  Each distinct fingerprint is
 indexed under its own bits of a partition and probes all values within t_i; what meets is verified.
 
-With ``least``, the groups found are candidates: texts of a group whose sets of shingles have that Jaccard
-similarity are linked, exactly, and no others are (see copies.py).
+With ``least``, texts whose sets of shingles have that Jaccard similarity are linked, exactly, and no others are: the
+groups found are compared first, and a prefix filter over all sets finds what fingerprints lose (see copies.py).
 
 Equal fingerprints are one node.  A bucket gives the edges of a spanning forest, not its pairs.
 Buckets of more than ``most`` fingerprints are divided: what differs in ``distance`` bits outside the
@@ -106,9 +106,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterato
         yield from _sets(*x)
 
 
-def set_name(hashes: np.ndarray) -> int:
-    """64 bits that stand for a set."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_name(hashes: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, sets: bool = False) -> DataFrame:
@@ -116,7 +116,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A null or empty text has fingerprint zero.  Null and repeated ids are kept; an empty table gives no rows.
     """
-    schema = T.StructType([field(docs, id_col, "doc_id"), T.StructField("fp", T.LongType()), *([T.StructField("node", T.LongType())] if sets else [])])
+    schema = T.StructType([field(docs, id_col, "doc_id"), T.StructField("fp", T.LongType()), *([T.StructField("node", T.BinaryType())] if sets else [])])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
@@ -126,7 +126,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 for x in shingle_hashes(*column_bytes(batch.column(1)), shingle):
                     fp.append(_majority(*x))
                     node += map(set_name, _sets(*x)) if sets else []
-                columns = [batch.column(0).cast(target.field(0).type), pa.array(np.concatenate(fp).view(np.int64)), *([pa.array(node, pa.int64())] if sets else [])]
+                columns = [batch.column(0).cast(target.field(0).type), pa.array(np.concatenate(fp).view(np.int64)), *([pa.array(node, pa.binary())] if sets else [])]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
@@ -328,8 +328,8 @@ def near_pairs(fps: DataFrame, parts: list[tuple[int, int]], distance: int = DIS
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, most: int = MOST, least: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits) and component_id, the smallest id reachable by links.
 
-    Fingerprints within ``distance`` bits are linked.  With ``least``, of the texts that are connected so, those are linked
-    whose sets of shingles have a Jaccard similarity of ``least`` or more.
+    Fingerprints within ``distance`` bits are linked.  With ``least``, all texts are linked whose sets of shingles have
+    a Jaccard similarity of ``least`` or more, and no others; fingerprints then only say what to compare first.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, lower-cased A-Z.  A text of fewer words than a
     shingle is one shingle; one without words, or a null, has fingerprint zero and is linked like any other (with

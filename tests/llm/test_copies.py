@@ -1,25 +1,14 @@
 import numpy as np
 import pytest
-from test_dedup import WORD, brute_fingerprint
+from test_dedup import WORD
 
 import corpus_pipeline as cp
 from seqtally.llm import copies
 from seqtally.llm.simhash import near_duplicates
 
 
-def brute_copies(rows, n=5, least=(4, 5), distance=12):
-    """component_id of each row: every two texts that SimHash connects, compared on their sets of shingles."""
-    fp = np.array([brute_fingerprint(t, n) for _, t in rows], np.uint64)
-    group = list(range(len(rows)))
-
-    def top(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= distance).tolist():
-            group[top(i)] = top(j)
+def brute_copies(rows, n=5, least=(4, 5)):
+    """component_id of each row: every two texts compared on their sets of shingles."""
     sets = []
     for _, t in rows:
         w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
@@ -34,7 +23,7 @@ def brute_copies(rows, n=5, least=(4, 5), distance=12):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if top(i) == top(j) and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and least[1] * len(a & b) >= least[0] * len(a | b):
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and least[1] * len(a & b) >= least[0] * len(a | b):
                 parent[find(i)] = find(j)
     out = {}
     for i, (d, _) in enumerate(rows):
@@ -43,7 +32,7 @@ def brute_copies(rows, n=5, least=(4, 5), distance=12):
 
 
 def near(docs):
-    return near_duplicates(docs, shingle=5, distance=12, least=0.8)
+    return near_duplicates(docs, shingle=cp.SHINGLE, distance=cp.BITS, least=cp.SIMILARITY)
 
 
 def shown(df):
@@ -56,11 +45,10 @@ def test_near_copies_against_brute_force(request, name):
     assert shown(near(docs)) == brute_copies([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("group_bytes", [copies.GROUP_BYTES, 2000])
-def test_near_copies_of_edited_texts(spark, monkeypatch, group_bytes):
+@pytest.mark.parametrize("most", [copies.MOST_BROADCAST, 0])
+def test_near_copies_of_edited_texts(spark, monkeypatch, most):
     """Copies with more and more words changed, among texts that share a long passage and nothing else."""
-    monkeypatch.setattr(copies, "GROUP_BYTES", group_bytes)
-    monkeypatch.setattr(copies, "MOST_BROADCAST", 0 if group_bytes == 2000 else copies.MOST_BROADCAST)
+    monkeypatch.setattr(copies, "MOST_BROADCAST", most)
     rng, rows = np.random.default_rng(3), []
     passage = [f"p{i}" for i in range(60)]
     for g in range(6):
@@ -81,3 +69,19 @@ def test_near_dedup_goes_by_similarity(spark, sf):
     texts = {1: w, 2: [*w[:30], "other", *w[31:]], 3: w[:30], 4: [*w[:10], "x", *w[11:30], "y", *w[31:50], "z", *w[51:]]}
     docs = spark.createDataFrame([(d, " ".join(t), "en", "s", 1) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in cp.near_dedup(spark, docs, sf).collect()} == {1, 3, 4}
+
+
+def test_pairs_at_the_similarity_itself(spark):
+    """Short and long texts whose similarity is 0.8, just above and just below, with no fingerprints near each other."""
+    rows = []
+    for g, n in enumerate([*range(5, 60), 200, 1000]):
+        base = [f"g{g}w{i}" for i in range(n)]
+        rows += [(1000 * g + k, " ".join(base[: n - k] + [f"e{g}k{k}x{i}" for i in range(k)])) for k in (0, *range(1, 5), n // 9, n // 10, n // 11) if k < n]
+    want = brute_copies(rows)
+    assert shown(near(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert len({c for _, c in want}) < len({t for _, t in rows})
+
+
+def test_many_short_texts_with_one_common_shingle(spark):
+    rows = [(i, f"please see the note below item{i % 900} of list{i % 700}") for i in range(1500)] + [(5000 + i, "please see the note below") for i in range(50)]
+    assert shown(near(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_copies(rows)
