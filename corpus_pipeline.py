@@ -17,8 +17,8 @@ from seqtally.llm.simhash import near_duplicates
 from seqtally.llm.toxicity import score, train
 
 
-#: Near copies: words of a shingle, bits in which fingerprints may differ, Jaccard similarity at least.
-SHINGLE, BITS, SIMILARITY = 5, 12, 0.8
+#: Near copies: words of a shingle, bits in which fingerprints of those compared first may differ, Jaccard similarity at least.
+SHINGLE, BITS, SIMILARITY = 5, 3, 0.8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays.
 
-    Near copies: SimHash fingerprints of five-word shingles connect them by steps of 12 bits or less, and their sets of shingles
-    have a Jaccard similarity of 0.8 or more.  Documents with a null id, which can't be told apart, stay.
+    Near copies are connected by texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: all such, exactly.
+    SimHash fingerprints unite most of them, and a prefix filter over all sets finds the others.  Texts of fewer words are one shingle; those
+    without words, null ones too, are copies of each other.  Documents with a null id, which can't be told apart, stay.
     """
     groups = near_duplicates(docs, shingle=SHINGLE, distance=BITS, least=SIMILARITY)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
