@@ -7,9 +7,11 @@ pools are made when a design is built; reads are checked when a plan runs.
 
 from __future__ import annotations
 
+import pickle
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from dataclasses import replace
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,7 @@ from seqtally.operators.resolve import best_match, match, match_by_side
 from seqtally.operators.scan import candidates, hits_in_row
 from seqtally.plans.template import Template
 from seqtally.schema import OK, Duplicates, Strand
+from seqtally.scratch import written
 
 
 class Handler(ABC):
@@ -51,6 +54,78 @@ class BatchHandler(Handler):
         return reads.mapInArrow(run, self.schema)
 
 
+class StateHandler(Handler):
+    """A design of one's own with a state: one for each partition of reads (or pairs), folded read by read and merged in order.
+
+    A partition's place is that of its first read, by (file_no, record_no) or read_id, as FASTQ sources give them: a file or a range
+    of one is a partition.  States are pickled; they are merged FAN at a time, in order, until one is left, so that no task holds all of
+    them.  Without any reads the result is that of a new state.
+    """
+
+    #: Columns of the rows that ``finish`` gives.
+    schema: str
+    #: Whether batches have names (name, or name1 and name2) beside sequences.
+    names = False
+    #: States that are merged in one task, about.
+    FAN = 32
+
+    @abstractmethod
+    def initialize(self) -> Any:
+        """A new state."""
+
+    @abstractmethod
+    def process(self, state: Any, batch: pa.RecordBatch) -> Any:
+        """The state after a batch of reads, which come in their order."""
+
+    @abstractmethod
+    def reduce(self, earlier: Any, later: Any) -> Any:
+        """The state after the reads of both."""
+
+    @abstractmethod
+    def finish(self, state: Any) -> pa.Table | pa.RecordBatch: ...
+
+    def plan(self, reads: DataFrame) -> DataFrame:
+        spark = reads.sparkSession
+        wanted = [c for c in (["name", "name1", "name2"] if self.names else []) + ["seq", "seq1", "seq2"] if c in reads.columns]
+        order = ["file_no", "record_no"] if "file_no" in reads.columns else ["read_id"]
+
+        def row(key: tuple, state: Any) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[-1]], pa.int64()), pa.array([pickle.dumps(state)], pa.binary())], names=["file", "read", "state"])
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, state = None, None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if key is None:
+                    key, state = tuple(batch.column(c)[0].as_py() for c in order), self.initialize()
+                state = self.process(state, batch.select(wanted))
+            if key is not None:
+                yield row(key, state)
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, state = None, None
+            for batch in batches:
+                for r in batch.to_pylist():
+                    other = pickle.loads(r["state"])
+                    key, state = (key, self.reduce(state, other)) if key is not None else ((r["file"], r["read"]), other)
+            if key is not None:
+                yield row(key, state)
+
+        def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            states = [pickle.loads(x) for batch in batches for x in batch.column("state").to_pylist()]
+            out = self.finish(states[0] if states else self.initialize())
+            yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+
+        table = written(reads.select(*order, *wanted).mapInArrow(fold, "file long, read long, state binary"), "states")
+        while (n := table.count()) > 1:
+            ranges = table.repartitionByRange(max(1, n // self.FAN), "file", "read").sortWithinPartitions("file", "read")
+            table = written(ranges.mapInArrow(merge, table.schema), "states")
+        if not n:
+            return spark.range(0, 1, 1, 1).select(F.lit(b"").alias("state")).mapInArrow(lambda it: (b for _ in [list(it)] for b in end(iter(()))), self.schema)
+        return table.select("state").mapInArrow(end, self.schema)
+
+
 def _pool(p) -> BarcodePool:
     return p if isinstance(p, BarcodePool) else BarcodePool(p)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from seqtally.plans import oracle as O
 from seqtally.plans import synth as S
 from seqtally.plans.template import Template
 from seqtally.schema import Duplicates, Strand
+from seqtally.scratch import scratch
 from seqtally.sources.fastq import pair, read_fastq, read_fastq_pairs, read_fastq_ranges, read_fastq_strict, stream_fastq, write_fastq
 from seqtally.streaming.counts import count_stream, counted, stream_counts
 
@@ -35,13 +37,6 @@ def add(name: str, query: Query, sql: str) -> None:
     QUERIES[name], ORACLES[name] = query, sql
 
 
-def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return f"{base.rstrip('/')}/reads-{uuid.uuid4().hex}"
-
-
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
@@ -371,3 +366,63 @@ class BasesOfReads(H.BatchHandler):
 
 
 add("batch_handler", lambda s, d: BasesOfReads().plan(S.reads(s, d)).groupBy("length").agg(F.sum("count").alias("count")), O.query([], "select cast(length(seq) as integer) as length, count(*) as count from reads group by 1"))
+
+
+class FirstOfLength(H.StateHandler):
+    """The first read of each length, by the order of files and of reads in them, and how many there are."""
+
+    schema, names = "length int, name string, count long", True
+
+    def initialize(self) -> dict[int, tuple[str, int]]:
+        return {}
+
+    def process(self, state: dict, batch: pa.RecordBatch) -> dict:
+        rows = pa.table({"length": pc.utf8_length(batch.column("seq")), "name": batch.column("name")}).group_by("length", use_threads=False).aggregate([("name", "first"), ("name", "count")])
+        return self.reduce(state, {n: (name, k) for n, name, k in zip(*(rows.column(c).to_pylist() for c in ("length", "name_first", "name_count")), strict=True)})
+
+    def reduce(self, earlier: dict, later: dict) -> dict:
+        return earlier | {n: (earlier[n][0], earlier[n][1] + k) if n in earlier else (name, k) for n, (name, k) in later.items()}
+
+    def finish(self, state: dict) -> pa.Table:
+        return pa.table({"length": pa.array(state, pa.int32()), "name": pa.array([v[0] for v in state.values()], pa.string()), "count": pa.array([v[1] for v in state.values()], pa.int64())})
+
+
+class BasesOfPairs(H.StateHandler):
+    """The number of each letter on either side of pairs, whatever its case."""
+
+    schema = "base string, count1 long, count2 long"
+
+    def initialize(self) -> np.ndarray:
+        return np.zeros((2, 256), np.int64)
+
+    def process(self, state: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        for k, c in enumerate(("seq1", "seq2")):
+            text = "".join(pc.utf8_upper(batch.column(c)).to_pylist())
+            state[k] += np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+        return state
+
+    def reduce(self, earlier: np.ndarray, later: np.ndarray) -> np.ndarray:
+        return earlier + later
+
+    def finish(self, state: np.ndarray) -> pa.Table:
+        seen = np.flatnonzero(state.sum(0))
+        return pa.table({"base": [chr(c) for c in seen], "count1": state[0, seen], "count2": state[1, seen]})
+
+
+def first_of_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    own = S.reads(spark, sf_dir).select("read_id", F.concat(F.lit("R"), "read_id").alias("name"), "seq")
+    write_fastq(own.repartitionByRange(4, "read_id").sortWithinPartitions("read_id"), path)
+    return FirstOfLength().plan(read_fastq_ranges(spark, path, 1 << 18))
+
+
+def bases_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch(spark)
+    for n in (1, 2):
+        own = S.pairs(spark, sf_dir).select(F.col("read_id").cast("string").alias("name"), F.col(f"seq{n}").alias("seq"), "read_id")
+        write_fastq(own.repartition(4, "read_id").sortWithinPartitions("read_id"), f"{base}/{n}")
+    return BasesOfPairs().plan(read_fastq_pairs(spark, f"{base}/1", f"{base}/2", names=False))
+
+
+add("handler_state_in_order", first_of_length, O.query([], "select cast(length(seq) as integer) as length, 'R' || min(read_id) as name, count(*) as count from reads group by 1"))
+add("handler_state_pairs", bases_of_pairs, O.query([], "select base, count(*) filter (side = 1) as count1, count(*) filter (side = 2) as count2 from (select 1 as side, unnest(string_split(upper(seq1), '')) as base from pairs union all select 2, unnest(string_split(upper(seq2), '')) from pairs) group by base"))

@@ -10,7 +10,6 @@ in step.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from seqtally.scratch import scratch
 from seqtally.sources.records import Records, file_infos, file_system, likely_start, open_range, parse
 
 __all__ = ["index_fastq", "pair", "parse", "read_fastq", "read_fastq_pairs", "read_fastq_ranges", "read_fastq_strict", "stream_fastq", "with_read_id", "write_fastq"]
@@ -240,13 +240,6 @@ def stream_fastq(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.readStream.format("fastq").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return f"{base.rstrip('/')}/fastq-{uuid.uuid4().hex}"
-
-
 def index_fastq(spark: SparkSession, path: str, split: int = SPLIT, strip_cr: bool = False, to: str | None = None) -> str:
     """Writes the index of a path's files and returns where: one row for each range of ``split`` bytes in which a record begins.
 
@@ -308,7 +301,7 @@ def index_fastq(spark: SparkSession, path: str, split: int = SPLIT, strip_cr: bo
             break
         for k, again in zip(wrong, scanned([(*ranges[k], found[k][1]) for k in wrong]), strict=True):
             found[k] = (k, *again[1:])
-    to = to or _scratch(spark)
+    to = to or scratch(spark, "fastq")
     schema = "path string, file_no int, begin long, end long, start long, n long, record long, line long"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(to)
     return to
