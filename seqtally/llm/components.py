@@ -47,18 +47,22 @@ def linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], stars:
     Two nodes share a key as often as the one does that has it fewer times; pairs that share less than ``least`` in all are not
     compared.  ``compare`` takes distinct pairs (a, b) and gives those accepted, with columns of its own.  A star compares the nodes
     of each key with one of them, which unites a large group at a cost of its size.  Then every two nodes that
-    share enough and are not united yet are compared, so any two are either in one component or were rejected.  ``hints`` are keys of the same
-    kind that stars go by as well, and nothing else does.
+    share enough and are not united yet are compared, so any two are either in one component or were rejected.  ``hints`` are rows of the same
+    kind by which one star goes before, so that less is left apart.
     Rejected pairs are compared one by one: many nodes that share keys and are not alike cost the square of their number.
     """
     rows, accepted, roots = members.select("key", "node", "times"), None, None
-    for k in range(stars + 1):
-        some = rows if hints is None or k == stars else rows.unionByName(hints.select("key", "node", "times"))
+    steps = [(rows, k) for k in range(stars + 1)]
+    if hints is not None:
+        steps = [(hints.select("key", "node", "times"), 0), *steps]
+    for some, k in steps:
         now = some.withColumn("root", F.col("node")) if roots is None else some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
         now = written(now.join(apart, "key").select("key", "node", "times", "root"))
         if now.isEmpty():
-            break
+            if some is rows:
+                break
+            continue
         if k < stars:
             order = F.struct("node") if not k else F.struct(F.xxhash64("root", F.lit(k)).alias("h"), "node")
             heads = now.groupBy("key").agg(F.min_by(F.struct("node", "root", "times"), order).alias("head"))

@@ -44,28 +44,29 @@ def similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
     return both * least.denominator >= (len(x) + len(y) - both) * least.numerator
 
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of the shingles of a task's sets (at, hashes) that are frequent in it."""
+    held, n = [], 0
+
+    def flush() -> pa.RecordBatch:
+        key, count = np.unique(np.concatenate(held), return_counts=True)
+        keep = count >= LOCAL
+        return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(count[keep])], names=["key", "n"])
+
+    for batch in it:
+        for x in batch.column(1):
+            held.append(np.frombuffer(x.as_buffer(), np.uint64))
+            n += len(held[-1])
+            if n >= COUNTED:
+                yield flush()
+                held, n = [], 0
+    if held:
+        yield flush()
+
+
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts: an order for prefixes, of which any is right."""
-
-    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            key, count = np.unique(np.concatenate(held), return_counts=True)
-            keep = count >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(count[keep])], names=["key", "n"])
-
-        for batch in it:
-            for x in batch.column(0):
-                held.append(np.frombuffer(x.as_buffer(), np.uint64))
-                n += len(held[-1])
-                if n >= COUNTED:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
-
-    top = sets.select("hashes").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
+    top = counts.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
     key, count = top["key"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
     order = np.argsort(key)
     return key[order], count[order]
@@ -87,15 +88,14 @@ def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Call
                 own = pa.array([name_of(x) == n for x, n in zip(found, piece.column(1).to_pylist(), strict=True)], pa.bool_())  # ids may repeat
                 yield pa.RecordBatch.from_arrays([piece.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["at", "hashes"]).filter(own)
 
-    def read(wanted: DataFrame) -> DataFrame:
-        """(at, hashes) of some nodes."""
+    def read(wanted: DataFrame, last: Callable, schema: str) -> DataFrame:
+        """What ``last`` makes of (at, hashes) of some nodes."""
         chosen = wanted.select(F.col("id").alias("_id"), "node", "at")
         if chosen.count() <= MOST_BROADCAST:  # otherwise texts are shuffled by their ids
             chosen = F.broadcast(chosen)
-        return texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["_id"])).select("text", "node", "at").mapInArrow(whole, "at long, hashes binary")
+        return texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["_id"])).select("text", "node", "at").mapInArrow(lambda it: last(whole(it)), schema)
 
-    every = read(nodes)
-    shared = table.sparkSession.sparkContext.broadcast(_frequent(every))
+    shared = table.sparkSession.sparkContext.broadcast(_frequent(read(nodes, _counted, "key long, n long")))
 
     def prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
@@ -105,13 +105,13 @@ def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Call
             if sum(size):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size))], names=["key", "node"])
 
-    heads = written(every.mapInArrow(prefixes, "key long, node long"))
+    heads = written(read(nodes, prefixes, "key long, node long"))
     meeting = heads.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
     members = written(heads.join(meeting, "key").select("key", "node", F.lit(1).alias("times")))
     several = nodes.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
     hints = written(nodes.join(several, "root").select(F.xxhash64("root").alias("key"), F.col("at").alias("node"), F.lit(1).alias("times")))
     wanted = members.select("node").unionByName(hints.select("node")).distinct().withColumnRenamed("node", "at")
-    sets = written(read(written(nodes.join(wanted, "at"))).dropDuplicates(["at"]).withColumn("size", F.length("hashes")))
+    sets = written(read(written(nodes.join(wanted, "at")), iter, "at long, hashes binary").dropDuplicates(["at"]).withColumn("size", F.length("hashes")))
 
     def verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
