@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from seqtally.functions.bases import canonical, complement, hamming, is_standard_base, packed_bases, reverse_complement
 from seqtally.operators import handlers as H
 from seqtally.operators.lookup import lookup, lookup_segments
+from seqtally.operators.outcomes import counts_of, folded, tally
 from seqtally.operators.pool import BarcodePool, add_status, concatenated, expand_iupac, resolve_duplicates
 from seqtally.operators.scan import candidates
 from seqtally.plans import oracle as O
@@ -22,7 +23,7 @@ from seqtally.plans.template import Template
 from seqtally.schema import Duplicates, Strand
 from seqtally.scratch import scratch
 from seqtally.sources.fastq import pair, read_fastq, read_fastq_pairs, read_fastq_ranges, read_fastq_strict, stream_fastq, write_fastq
-from seqtally.streaming.counts import count_stream, counted, stream_counts
+from seqtally.streaming.counts import count_stream, counted, latest, stream_counts, tally_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -327,15 +328,19 @@ def streaming_single_se(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("streaming_single_se", streaming_single_se, O.query(O.single("m", "reads", "seq", S.ONE, "pool1", 1, False), "select idx, count(*) as count from m group by idx"))
 
 
-def streamed(design: Callable[[], H.Handler], source: Query, schema: str) -> Query:
-    """Four files of reads, two in each micro-batch."""
+def streamed(design: Callable[[], H.Handler], source: Query, schema: str, in_state: bool = True) -> Query:
+    """Four files of reads, two in each micro-batch; counts are in the state store, or added up from those of each batch."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = scratch(spark)
         source(spark, sf_dir).repartition(4).write.parquet(f"{base}/in")
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-        count_stream(stream, design(), f"{base}/out", f"{base}/state").awaitTermination()
-        return counted(spark, f"{base}/out")
+        made = design()
+        if not in_state:
+            count_stream(stream, made, f"{base}/out", f"{base}/state").awaitTermination()
+            return counted(spark, f"{base}/out")
+        tally_stream(stream, made, f"{base}/out", f"{base}/state").awaitTermination()
+        return counts_of(latest(spark, f"{base}/out", made), made)
 
     return run
 
@@ -353,6 +358,8 @@ for _name, _design, _source, _schema, _same in (
     ("random_se", lambda: H.RandomBarcode(S.ASYMMETRIC, 1, False, Strand.BOTH), S.asymmetric_reads, _READS, "random_se_best"),
 ):
     add(f"streaming_{_name}", streamed(_design, _source, _schema), ORACLES[_same])
+    if _name in ("dual_pe", "single_dense"):
+        add(f"streaming_batches_{_name}", streamed(_design, _source, _schema, False), ORACLES[_same])
 
 
 class BasesOfReads(H.BatchHandler):
@@ -426,3 +433,18 @@ def bases_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("handler_state_in_order", first_of_length, O.query([], "select cast(length(seq) as integer) as length, 'R' || min(read_id) as name, count(*) as count from reads group by 1"))
 add("handler_state_pairs", bases_of_pairs, O.query([], "select base, count(*) filter (side = 1) as count1, count(*) filter (side = 2) as count2 from (select 1 as side, unnest(string_split(upper(seq1), '')) as base from pairs union all select 2, unnest(string_split(upper(seq2), '')) from pairs) group by base"))
+
+
+# --- all results of a design from one scan ---------------------------------------------------------
+
+_ctes = O.dual_paired("m", False, False, 1, 1, S.LEFT, S.RIGHT) + ["rest as (select * from pairs where read_id not in (select read_id from m))", *O.combo_paired("c", "rest", False, False, 1, 1, S.LEFT, S.RIGHT, "first")]
+_none = "cast(null as integer)"
+_ALL_RESULTS = O.query(
+    _ctes,
+    f"select 'match' as kind, idx, {_none} as idx1, {_none} as idx2, count(*) as count from m group by idx union all select case kind when 'm' then 'combination' else kind end, {_none}, idx1, idx2, count(*) from c group by kind, idx1, idx2",
+)
+_all = lambda: H.DualBarcodesPairedDiagnostics(S.LEFT, S.pool1(), S.RIGHT, _repeats, max_mismatches1=1, max_mismatches2=1, use_first=False)
+add("dual_pe_diag_tally", lambda s, d: tally(S.pairs(s, d), _all()), _ALL_RESULTS)
+add("dual_pe_diag_tally_weighted", lambda s, d: tally(folded(S.pairs(s, d)), _all(), "weight"), _ALL_RESULTS)
+_ctes = O.combo("m", "reads", "seq", S.TWO, ["pool1", "pool2"], 2, False, "both")
+add("combo_se_tally", lambda s, d: tally(S.reads(s, d), H.CombinatorialBarcodes(S.TWO, [S.pool1(), S.pool2()], 2, False, Strand.BOTH)), O.query(_ctes, f"select 'combination' as kind, idx1, idx2, count(*) as count from m group by all union all select null, {_none}, {_none}, count(*) from reads where read_id not in (select read_id from m)"))

@@ -1,7 +1,8 @@
 """Counts over streams of reads.
 
-``stream_counts``: a read's match is found inside its row, so the only aggregation of the stream is the count itself.
-``count_stream``: any design.  A read, or pair, lies whole in one micro-batch, so a design runs on each batch as it does on a
+``stream_counts`` and ``tally_stream``: what a design finds in a read or pair is found inside its row, so the only aggregation of the stream is the
+count itself, which is in the state store.
+``count_stream``: any design, pools of any size.  A read, or pair, lies whole in one micro-batch, so a design runs on each batch as it does on a
 table, and its counts add up.  A batch's counts are a folder of its own name, so a repeated batch replaces what it wrote.
 """
 
@@ -11,45 +12,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from seqtally.functions.bases import canonical, let, reverse_complement
 from seqtally.operators.handlers import Handler, SingleBarcode
-from seqtally.operators.lookup import nearest_in_row
-from seqtally.operators.scan import constant_mismatches
-from seqtally.schema import Duplicates
+from seqtally.operators.outcomes import _single, columns_of, tally
 
 
 def match_in_row(design: SingleBarcode, seq: str = "seq") -> Column:
     """The barcode of a read, or null, by array functions alone."""
-    t, n, k = design.template, len(design.template), design.k
-    s, e = t.regions[0]
+    return _single(design, seq)["idx"][0]
 
-    def hits(reverse: bool) -> Column:
-        def at(p: Column) -> Column:
-            window = F.substr(F.col(seq), p + 1, F.lit(n))
-            v = canonical(F.substr(window, F.lit(s + 1), F.lit(e - s)) if not reverse else reverse_complement(F.substr(window, F.lit(n - e + 1), F.lit(e - s))))
-            tied = F.lit(None).cast("int")
-            pick = {Duplicates.FIRST: lambda m: m["first"], Duplicates.LAST: lambda m: m["last"]}.get(design.duplicates, lambda m: F.when(m["first"] == m["last"], m["first"]).otherwise(tied))
-            return let(nearest_in_row(v, design.pool), lambda m: F.struct((constant_mismatches(F.upper(window), t, reverse) + m["distance"]).alias("mismatches"), p.alias("position"), F.lit(reverse).alias("reverse"), pick(m).alias("idx")))
 
-        places = F.when(F.length(seq) >= n, F.sequence(F.lit(0), F.length(seq) - n)).otherwise(F.array().cast("array<int>"))
-        near = F.filter(places, lambda p: constant_mismatches(F.upper(F.substr(F.col(seq), p + 1, F.lit(n))), t, reverse) <= k)
-        return F.filter(F.transform(near, at), lambda h: (h["mismatches"] <= k) & h["idx"].isNotNull())
+def stream_counts(reads: DataFrame, design: SingleBarcode, seq: str = "seq") -> DataFrame:
+    """(idx, count) of barcodes seen so far; for output modes complete and update."""
+    return reads.select(match_in_row(design, seq).alias("idx")).filter("idx is not null").groupBy("idx").agg(F.count("*").alias("count"))
 
-    parts = [hits(r) for r in design.strand.reversed_flags]
-    every = parts[0] if len(parts) == 1 else F.concat(*parts)
-    if design.use_first:
-        return F.array_min(F.transform(every, lambda h: F.struct(h["position"], h["reverse"], h["idx"])))["idx"]
 
-    def undisputed(found: Column) -> Column:
-        best = let(F.array_min(found)["mismatches"], lambda least: F.array_distinct(F.transform(F.filter(found, lambda h: h["mismatches"] == least), lambda h: h["idx"])))
-        return let(best, lambda b: F.when(F.size(b) == 1, F.element_at(b, 1)))
+def tally_stream(reads: DataFrame, design: Handler, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Starts a stream in update mode: each micro-batch writes the results whose counts it has changed, with the counts so far, below ``path``.
 
-    return let(every, undisputed)
+    A batch's results are a folder of its own name, so a repeated batch replaces what it wrote; ``latest`` reads them.
+    """
 
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def stream_counts(reads: DataFrame, design: SingleBarcode, seq: str = "seq") -> DataFrame:
-    """(idx, count) of barcodes seen so far; for output modes complete and update."""
-    return reads.select(match_in_row(design, seq).alias("idx")).filter("idx is not null").groupBy("idx").agg(F.count("*").alias("count"))
+    return tally(reads, design).writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest(spark: SparkSession, path: str, design: Handler) -> DataFrame:
+    """(kind, columns of the result, count) of all reads so far, from what ``tally_stream`` writes."""
+    parts = spark.read.parquet(path)
+    return parts.groupBy("kind", *columns_of(design)).agg(F.max_by("count", "batch").alias("count"))
+
+
+def compact(spark: SparkSession, path: str, design: Handler, to: str) -> None:
+    """Writes the latest results as a folder of batch -1 below ``to``, which can take the place of all folders below ``path``."""
+    latest(spark, path, design).write.parquet(f"{to}/batch=-1")
 
 
 def count_stream(reads: DataFrame, design: Handler, path: str, checkpoint: str, **trigger) -> StreamingQuery:
