@@ -274,7 +274,7 @@ def align(table: DataFrame, id_col: str, audio: Column, least_votes: int = LEAST
     def compare(pairs: DataFrame) -> DataFrame:
         return aligned(pairs).filter((F.col("votes") >= least_votes) & (F.col("error") <= most_error)).select("a", "b")
 
-    _, roots = linked(shared, compare, least=least_votes)  # fewer places can't give as many votes
+    _, roots = linked(shared.withColumn("need", F.lit(least_votes)), compare)  # fewer places can't give as many votes
     known = written(classes.select("class_key", "class", "class_id").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node"))
     # the smallest id that isn't null, and the class that has it
     firsts = known.groupBy("root").agg(F.min(F.when(F.col("class_id").isNotNull(), F.struct("class_id", "class"))).alias("first"), F.min("class").alias("any"))

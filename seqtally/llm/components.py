@@ -41,37 +41,38 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], stars: int = 2, least: int = 1, hints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted pairs, (node, root) of each node in one) among the nodes that share keys of members (key, node, times).
+def linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], stars: int = 2, hints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted pairs, (node, root) of each node in one) among the nodes that share keys of members (key, node, times, need).
 
-    Two nodes share a key as often as the one does that has it fewer times; pairs that share less than ``least`` in all are not
+    Two nodes share a key as often as the one does that has it fewer times; pairs that share less in all than the smaller of their ``need`` are not
     compared.  ``compare`` takes distinct pairs (a, b) and gives those accepted, with columns of its own.  A star compares the nodes
     of each key with one of them, which unites a large group at a cost of its size.  Then every two nodes that
     share enough and are not united yet are compared, so any two are either in one component or were rejected.  ``hints`` are rows of the same
     kind by which one star goes before, so that less is left apart.
     Rejected pairs are compared one by one: many nodes that share keys and are not alike cost the square of their number.
     """
-    rows, accepted, roots = members.select("key", "node", "times"), None, None
+    columns = ["key", "node", "times", "need"]
+    rows, accepted, roots = members.select(columns), None, None
     steps = [(rows, k) for k in range(stars + 1)]
     if hints is not None:
-        steps = [(hints.select("key", "node", "times"), 0), *steps]
+        steps = [(hints.select(columns), 0), *steps]
     for some, k in steps:
         now = some.withColumn("root", F.col("node")) if roots is None else some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        now = written(now.join(apart, "key").select("key", "node", "times", "root"))
+        now = written(now.join(apart, "key").select(*columns, "root"))
         if now.isEmpty():
             if some is rows:
                 break
             continue
         if k < stars:
             order = F.struct("node") if not k else F.struct(F.xxhash64("root", F.lit(k)).alias("h"), "node")
-            heads = now.groupBy("key").agg(F.min_by(F.struct("node", "root", "times"), order).alias("head"))
-            pairs = now.join(heads, "key").filter("root <> head.root").select(F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b"), F.least("times", "head.times").alias("times"))
+            heads = now.groupBy("key").agg(F.min_by(F.struct("node", "root", "times", "need"), order).alias("head"))
+            pairs = now.join(heads, "key").filter("root <> head.root").select(F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b"), F.least("times", "head.times").alias("times"), F.least("need", "head.need").alias("need"))
         else:
-            other = now.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("times").alias("n"))
-            pairs = now.withColumnRenamed("node", "a").join(other, "key").filter("a > b and root <> other").select("a", "b", F.least("times", "n").alias("times"))
+            other = now.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("times").alias("n"), F.col("need").alias("m"))
+            pairs = now.withColumnRenamed("node", "a").join(other, "key").filter("a > b and root <> other").select("a", "b", F.least("times", "n").alias("times"), F.least("need", "m").alias("need"))
         # keys whose nodes are all united are left out, but those of two nodes that are apart are all here
-        pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times")).filter(F.col("times") >= least).select("a", "b")
+        pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).filter("times >= need").select("a", "b")
         found = written(compare(pairs))
         accepted = found if accepted is None else accepted.unionByName(found)
         roots = written(components(accepted))

@@ -1,7 +1,7 @@
 """Exact links among all texts: those whose sets of shingles are similar enough.
 
-Two sets of a Jaccard similarity of ``least`` or more share one of the first n - ceil(least * n) + 1 of their n members, in
-whatever order these are (prefix filter); frequent ones come last here.  Every two sets that share one are either united or were compared
+Two sets of a Jaccard similarity of ``least`` or more share k of the first n - ceil(least * n) + k of their n members, in
+whatever order these are (prefix filter); frequent ones come last here, and k grows with n.  Every two sets that share so many are either united or were compared
 whole and rejected.  Groups found by other means, as by SimHash, only say which sets to compare first.  Texts with equal sets are one node,
 by 128 bits of a digest; nodes are numbered.  Sets hold 64-bit hashes, so a collision could change a similarity by one shingle.
 """
@@ -22,14 +22,21 @@ from seqtally.llm.kernels import column_bytes
 
 #: Sets whose documents' ids are broadcast, at most (four numbers each).
 MOST_BROADCAST = 1 << 21
+#: A prefix has another member to share for each NEED members of a set: texts with a common passage are seldom compared then.
+NEED = 40
 #: Shingles counted at once; counts of less than LOCAL among them are not passed on, nor are more than FREQUENT shingles kept.
 COUNTED, LOCAL, FREQUENT = 1 << 20, 4, 1 << 18
 
 
+def needed(n: int) -> int:
+    """How many members of its prefix a set of n shares with a similar set (of two sets, the smaller number counts)."""
+    return 1 + n // NEED
+
+
 def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least: Fraction) -> np.ndarray:
-    """The hashes, first in the order of counts and then of hashes, of which a similar set must have one."""
+    """The hashes, first in the order of counts and then of hashes, of which a similar set must have ``needed``."""
     n = len(hashes)
-    most = n + least.numerator * n // -least.denominator + 1 if n else 0
+    most = n + least.numerator * n // -least.denominator + needed(n) if n else 0
     count = np.zeros(n, np.int64)
     if len(frequent) and n:
         at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
@@ -100,18 +107,19 @@ def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Call
     def prefixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
         for batch in it:
-            heads = [prefix(np.frombuffer(x.as_buffer(), np.uint64), frequent, counts, part) for x in batch.column(1)]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            heads = [prefix(x, frequent, counts, part) for x in sets]
             size = [len(h) for h in heads]
             if sum(size):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size))], names=["key", "node"])
+                n = np.array([len(x) for x in sets], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(n, size))], names=["key", "node", "size"])
 
-    heads = written(read(nodes, prefixes, "key long, node long"))
-    meeting = heads.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    members = written(heads.join(meeting, "key").select("key", "node", F.lit(1).alias("times")))
+    heads = written(read(nodes, prefixes, "key long, node long, size int"))
+    meeting = heads.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    members = written(heads.join(meeting, "key").select("key", "node", F.lit(1).alias("times"), (F.floor(F.col("size") / NEED) + 1).cast("int").alias("need")))
+    sizes = written(heads.select("node", "size").distinct())
     several = nodes.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
-    hints = written(nodes.join(several, "root").select(F.xxhash64("root").alias("key"), F.col("at").alias("node"), F.lit(1).alias("times")))
-    wanted = members.select("node").unionByName(hints.select("node")).distinct().withColumnRenamed("node", "at")
-    sets = written(read(written(nodes.join(wanted, "at")), iter, "at long, hashes binary").dropDuplicates(["at"]).withColumn("size", F.length("hashes")))
+    hints = nodes.join(several, "root").select(F.xxhash64("root").alias("key"), F.col("at").alias("node"), F.lit(1).alias("times"), F.lit(1).alias("need"))
 
     def verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -119,11 +127,14 @@ def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Call
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def compare(pairs: DataFrame) -> DataFrame:
-        size = lambda c, v: sets.select(F.col("at").alias(c), F.col("size").alias(v))
-        side = lambda c, v: sets.select(F.col("at").alias(c), F.col("hashes").alias(v))
-        # sets of too different sizes can't be similar enough, whatever is in them
-        fit = pairs.join(size("a", "n"), "a").join(size("b", "m"), "b").filter(F.least("n", "m") * part.denominator >= F.greatest("n", "m") * part.numerator).select("a", "b")
-        return fit.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+        """The similar ones; whole sets are made of the texts of those pairs alone whose sizes allow it, and travel to the second of a pair."""
+        of = lambda c, v: sizes.select(F.col("node").alias(c), F.col("size").alias(v))
+        fit = pairs.join(of("a", "n"), "a").join(of("b", "m"), "b").filter(F.least("n", "m") * part.denominator >= F.greatest("n", "m") * part.numerator)
+        fit = written(fit.select("a", "b"))
+        sets = lambda c: read(written(nodes.join(fit.select(F.col(c).alias("at")).distinct(), "at")), iter, "at long, hashes binary")
+        left = sets("a").select(F.col("at").alias("a"), F.col("hashes").alias("x"))
+        right = sets("b").select(F.col("at").alias("b"), F.col("hashes").alias("y"))
+        return fit.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
 
     roots = linked(members, compare, hints=hints)[1].withColumnRenamed("node", "at").withColumnRenamed("root", "top")
     united = written(nodes.join(roots, "at", "left").select("node", "id", F.coalesce("top", "at").alias("top")))
