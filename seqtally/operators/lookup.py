@@ -7,6 +7,7 @@ last, or none (AMBIGUOUS).
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
@@ -19,12 +20,15 @@ from pyspark.sql import functions as F
 
 from seqtally.functions.bases import IUPAC, hamming, let
 from seqtally.operators.pool import BarcodePool, expand_iupac
+from seqtally.operators.tree import PoolTree, probe
 from seqtally.schema import AMBIGUOUS, OK, Duplicates
 
 #: Rows of a neighbourhood table at most; it is this bound that allows it to be broadcast.
 MOST_NEIGHBOURS = 500_000
 #: Barcodes that are compared one by one, inside a row, at most.
 MOST_BRUTE = 4096
+#: Bytes of a tree of a pool that is broadcast, at most: some millions of barcodes.
+MOST_TREE = 256 << 20
 #: Tuples from which the frequencies of keys are estimated.
 MOST_ESTIMATED = 20_000
 
@@ -34,9 +38,9 @@ def neighbourhood_size(expanded: int, length: int, cap: int) -> int:
 
 
 def strategy(pool: BarcodePool, cap: int) -> str:
-    """exact, neighbours, brute or seeds."""
-    if pool.is_wide and len(pool) <= MOST_BRUTE:
-        return "brute"
+    """exact, neighbours, brute, tree or seeds."""
+    if pool.is_wide:
+        return "brute" if len(pool) <= MOST_BRUTE else "tree"
     if cap == 0:
         return "exact"
     if neighbourhood_size(pool.expanded_size, pool.length, cap) <= MOST_NEIGHBOURS:
@@ -90,6 +94,38 @@ def nearest_in_row(v: Column, pool: BarcodePool) -> Column:
     return let(far, lambda all_: let(F.array_min(all_), lambda lo: F.struct(lo["distance"].alias("distance"), lo["idx"].alias("first"), last(all_, lo).alias("last"))))
 
 
+def _by_tree(seen: DataFrame, pool: BarcodePool, cap: int) -> DataFrame:
+    """(key, distance, first, last) of distinct strings, by a tree of the pool's sets of bases that is broadcast."""
+    tree = PoolTree(pool)
+    if tree.nbytes > MOST_TREE:
+        raise ValueError(f"the tree of a pool takes {tree.nbytes} bytes, which is over the {MOST_TREE} that are broadcast")
+    shared = seen.sparkSession.sparkContext.broadcast(tree)
+    return seen.mapInArrow(lambda it: probe(shared, cap, it), "key string, distance int, first int, last int")
+
+
+def lookup_remembered(df: DataFrame, v: str, pool: BarcodePool, cap: int, duplicates: Duplicates, path: str) -> DataFrame:
+    """lookup with what earlier runs have found: only strings that no run has met are looked up, and they are added to a table below ``path``.
+
+    The table is one for each pool and cap, whatever the duplicates' treatment; strings without a barcode are in it too.  Runs that write at the same
+    time may both look a string up, which does no harm.
+    """
+    spark = df.sparkSession
+    name = hashlib.sha256("\n".join(s.upper() for s in pool.sequences).encode()).hexdigest()[:32]
+    table = f"{path.rstrip('/')}/pool={name}/cap={cap}"
+    schema = "key string, distance int, first int, last int"
+    empty = spark.createDataFrame([], schema)
+    empty.write.mode("append").parquet(table)  # a table without rows is a table
+    known = spark.read.schema(schema).parquet(table)
+    fresh = df.select(F.col(v).alias("string")).filter("string is not null").distinct()
+    fresh = fresh.join(known, fresh["string"] == known["key"], "left_anti")
+    looked = lookup(fresh, "string", pool, cap, Duplicates.FIRST).select("string", F.col("string_distance").alias("distance"), F.col("string_idx").alias("first"))
+    other = lookup(fresh, "string", pool, cap, Duplicates.LAST).select("string", F.col("string_idx").alias("last"))
+    fresh.join(looked.join(other, "string"), "string", "left").select(F.col("string").alias("key"), "distance", "first", "last").write.mode("append").parquet(table)
+    every = spark.read.schema(schema).parquet(table).filter("distance is not null").distinct()
+    idx, status = _chosen(duplicates)
+    return df.join(every, df[v] == every["key"]).select(*df.columns, F.col("distance").alias(f"{v}_distance"), idx.alias(f"{v}_idx"), status.alias(f"{v}_status"))
+
+
 def lookup(df: DataFrame, v: str, pool: BarcodePool, cap: int, duplicates: Duplicates, how: str | None = None) -> DataFrame:
     """df with <v>_distance, <v>_idx and <v>_status; rows without a barcode within cap are dropped.
 
@@ -104,6 +140,9 @@ def lookup(df: DataFrame, v: str, pool: BarcodePool, cap: int, duplicates: Dupli
         return done(df.filter(F.lit(False)).withColumns({"distance": F.lit(0), "first": F.lit(0), "last": F.lit(0)}))
     if how == "brute":
         return done(df.withColumn("_near", nearest_in_row(F.col(v), pool)).select(*df.columns, "_near.*").filter(F.col("distance") <= cap))
+    if how == "tree":
+        table = _by_tree(df.select(F.col(v).alias("v")).distinct(), pool, cap)
+        return done(df.join(table, df[v] == table["key"]))
     if how in ("exact", "neighbours"):
         table = _nearest(neighbours(spark, pool, cap if how == "neighbours" else 0), ["key"])
         if neighbourhood_size(pool.expanded_size, pool.length, cap) <= MOST_NEIGHBOURS:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqtally.functions.bases import canonical, complement, hamming, is_standard_base, packed_bases, reverse_complement
 from seqtally.operators import handlers as H
-from seqtally.operators.lookup import lookup, lookup_segments
+from seqtally.operators.lookup import lookup, lookup_remembered, lookup_segments
 from seqtally.operators.outcomes import counts_of, folded, tally
 from seqtally.operators.pool import BarcodePool, add_status, concatenated, expand_iupac, resolve_duplicates
 from seqtally.operators.scan import candidates
@@ -200,7 +200,7 @@ for _dup in (Duplicates.FIRST, Duplicates.LAST, Duplicates.NONE):
 _iupac_rows = ", ".join(f"({i}, '{s}')" for i, s in enumerate(IUPAC_POOL))
 _iupac_d = " + ".join(f"(case when instr((case substr(p.seq,{i},1) when 'R' then 'AG' when 'Y' then 'CT' when 'S' then 'CG' when 'W' then 'AT' when 'K' then 'GT' when 'M' then 'AC' when 'N' then 'ACGT' else substr(p.seq,{i},1) end), substr(v0,{i},1)) > 0 then 0 else 1 end)" for i in range(1, 9))
 _IUPAC_SQL = f"with obs as ({OBSERVED}), pool as (select cast(idx as integer) as idx, seq from (values {_iupac_rows}) t(idx, seq)), c as (select read_id, idx, cast({_iupac_d} as integer) as d from obs cross join pool p), m as (select *, min(d) over (partition by read_id) as least from c where d <= 3) select read_id, least as distance, min(idx) as idx, 'OK' as status from m where d = least group by read_id, least"
-for _how in ("brute", "seeds", "neighbours"):
+for _how in ("brute", "seeds", "neighbours", "tree"):
     add(f"lookup_iupac_{_how}", lookup_query(3, Duplicates.FIRST, _how, IUPAC_POOL), _IUPAC_SQL)
 
 
@@ -277,6 +277,35 @@ def exact_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("lookup_exact_large", exact_large, O.query(_LARGE, "select read_id, p.idx, 'OK' as status from (select read_id, regexp_extract(seq, 'ACGT([ACGTN]{20})CGGC', 1) as v0 from large_reads) join large_pool p on p.seq = v0"))
 add("single_se_large_pool", lambda s, d: H.SingleBarcode(S.LARGE_TEMPLATE, S.large_pool(), 1, False).matches(S.large_reads(s, d)).select("read_id", "idx", "position", "mismatches"), O.query(_LARGE_MATCH, "select read_id, idx, position, cast(mm as integer) as mismatches from m"))
 
+def wide_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders(spark, sf_dir).createOrReplaceTempView("seqtally_orders")
+    seen = spark.sql(S.WIDE_SQL.replace("from orders", "from seqtally_orders"))
+    return lookup(seen, "v0", BarcodePool(S.wide_pool()), 1, FST).select("read_id", F.col("v0_distance").alias("distance"), F.col("v0_idx").alias("idx"))
+
+
+def remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one table of what has been looked up: all but the orders divisible by five, then all."""
+    path, seen = scratch(spark), observed(spark, sf_dir)
+    lookup_remembered(seen.filter("read_id % 5 <> 0"), "v0", BarcodePool(S.pool1()), 2, Duplicates.NONE, path).write.format("noop").mode("overwrite").save()
+    out = lookup_remembered(seen, "v0", BarcodePool(S.pool1()), 2, Duplicates.NONE, path)
+    return out.select("read_id", F.col("v0_distance").alias("distance"), F.col("v0_idx").alias("idx"), F.col("v0_status").alias("status"))
+
+
+def _significant(x: str, parity: int) -> str:
+    return " || ".join(f"substr({x}, {j + 1}, 1)" for j in range(20) if j % 2 == parity)
+
+
+# of ten letters with one mismatch at most, the first five or the last five are equal; an N of the string fits no base of the others either
+_odd_n = lambda parity: f"length({_significant('v0', parity)}) - length(replace({_significant('v0', parity)}, 'N', ''))"
+_WIDE_SQL = f"""with obs as ({S.WIDE_SQL}), pool as (select cast(i as integer) as idx, {S.dna("'W'||i")} as w from range({S.WIDE}) t(i)),
+letters as (select idx, idx % 2 as side, case when idx % 2 = 0 then {_significant('w', 0)} else {_significant('w', 1)} end as s from pool),
+seen as (select read_id, 0 as side, {_significant('v0', 0)} as s, {_odd_n(1)} as n from obs union all select read_id, 1, {_significant('v0', 1)}, {_odd_n(0)} from obs),
+near as (select read_id, idx, cast(hamming(a.s, b.s) + n as integer) as d from seen a join letters b on a.side = b.side and substr(a.s, 1, 5) = substr(b.s, 1, 5)
+ union select read_id, idx, cast(hamming(a.s, b.s) + n as integer) from seen a join letters b on a.side = b.side and substr(a.s, 6, 5) = substr(b.s, 6, 5))
+select read_id, min(d) as distance, arg_min(idx, d * 1000000 + idx) as idx from near where d <= 1 group by read_id"""
+add("lookup_iupac_wide", wide_lookup, _WIDE_SQL)
+add("lookup_remembered", remembered, lookup_sql(2, "none"))
+
 # --- other strands, ties and counters of paired designs --------------------------------------------
 
 

@@ -114,6 +114,21 @@ def large() -> str:
 
 LARGE_SQL = f"select {K} as read_id, {large()} as seq from orders"
 LARGE_POOL_SQL = f"select cast(i as integer) as idx, substr({dna("'L'||i")},1,20) as seq from range({LARGE}) t(i)"
+#: Barcodes of the wide pool: bases at the even or at the odd of 20 places, N at the others.
+WIDE = 20_000
+
+
+def wide_pool() -> list[str]:
+    return ["".join(c if (j + i) % 2 == 0 else "N" for j, c in enumerate(_py_dna(f"W{i}")[:20])) for i in range(WIDE)]
+
+
+def wide() -> str:
+    """20 bases that fit a barcode of the wide pool, or none, with a substitution in every fourth and anything where the barcode has N."""
+    b = f"({K}*17%26000)"
+    return "concat(" + ", ".join(f"case when {K}%4=1 and {K}%20={j} then substr('ACGTN',cast({K}%5+1 as int),1) when ({j}+{b})%2=0 then substr({dna(f"'W'||{b}")},{j + 1},1) else substr({dna(f"'r'||{K}")},{j + 1},1) end" for j in range(20)) + ")"
+
+
+WIDE_SQL = f"select {K} as read_id, {wide()} as v0 from orders"
 READS_SQL = f"select {K} as read_id, {single()} as seq from orders"
 PAIRS_SQL = "select {0} as read_id, {1} as seq1, {2} as seq2 from orders".format(K, *turned_pair())
 ASYMMETRIC_SQL = f"select {K} as read_id, {asymmetric()} as seq from orders"
