@@ -8,8 +8,8 @@ integers in a row), and accepted by the share of bits that differ over the overl
 
 Landmarks only say which recordings are compared; a comparison reads both fingerprints, which are 1/32 of 8-bit
 samples.  Recordings that share a landmark are first aligned with one of them, so a large group of copies costs its size;
-accepted alignments are united into components.  Then every two that share a landmark and are in different
-components are aligned.  So two recordings that share a landmark are either united or rejected.
+accepted alignments are united into components.  Then every two that share landmarks at enough places (least_votes, or all that the
+shorter one has) and are in different components are aligned.  So two such recordings are either united or rejected.
 """
 
 from __future__ import annotations
@@ -234,28 +234,30 @@ def fingerprints(table: DataFrame, id_col: str, audio: Column, scale: Scale = SC
 
 
 def _landmarks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct landmarks of each class, and the number of places of each."""
+    """The distinct landmarks of each class, the number of places of each, and that of all."""
     for batch in it:
         marks = [np.unique(landmarks(np.frombuffer(raw.as_buffer(), "<u4")), return_counts=True) for raw in batch.column(1)]
         if marks:
             key, times = np.concatenate([m for m, _ in marks]), np.concatenate([n for _, n in marks])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(m) for m, _ in marks])), pa.array(times.astype(np.int64))], names=["key", "node", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(m) for m, _ in marks])), pa.array(times.astype(np.int64)), pa.array(np.repeat([int(n.sum()) for _, n in marks], [len(m) for m, _ in marks]))], names=["key", "node", "times", "places"])
 
 
-_ALIGNED = "a long, b long, shift long, votes long, error double"
+_ALIGNED = "a long, b long, shift long, votes long, error double, places long"
 
 
 def _align(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
+        shorter = pa.array([min(x.as_buffer().size, y.as_buffer().size) // 4 - 1 for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.int64())
         found = [alignment(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")) or (None, 0, None) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64())))], names=["a", "b", "shift", "votes", "error"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))), shorter], names=["a", "b", "shift", "votes", "error", "places"])
 
 
 def align(table: DataFrame, id_col: str, audio: Column, least_votes: int = LEAST_VOTES, most_error: float = MOST_ERROR, scale: Scale = SCALE) -> DataFrame:
     """One row for each recording: id, n_values, values_crc32, class_id, component_id, shift, votes, error.
 
     class_id: the smallest id with the same packed integers or, of recordings shorter than a frame, with the same samples.
-    Two classes are linked if their alignment (see ``alignment``) has least_votes votes and an error of at most most_error;
+    Two classes are linked if their alignment (see ``alignment``) has least_votes votes, or one for each landmark that the shorter one has if these are
+    fewer, and an error of at most most_error (both limits included);
     component_id is the smallest id reachable.  shift (in frames), votes and error are those of a class against the class of
     the component's smallest id: null in that class itself, votes 0 where the two share no landmark.
     A recording without samples, or null, is alone.  A null id is kept, and counts as no id.
@@ -265,16 +267,16 @@ def align(table: DataFrame, id_col: str, audio: Column, least_votes: int = LEAST
     alone = F.coalesce(F.concat(F.lit("samples "), "samples"), F.col("row").cast("string"))
     prints = written(prints.withColumn("class_key", F.when(F.col("n_values") > 0, F.sha2("vals", 256)).otherwise(alone)).drop("row", "samples"))
     classes = written(prints.groupBy("class_key").agg(F.min("id").alias("class_id"), F.any_value("vals").alias("vals")).withColumn("class", F.monotonically_increasing_id()))
-    marks = written(classes.select("class", "vals").mapInArrow(_landmarks, "key long, node long, times long"))
+    marks = written(classes.select("class", "vals").mapInArrow(_landmarks, "key long, node long, times long, places long"))
     several = marks.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
     shared = written(marks.join(several, "key"))
     side = lambda c, v: classes.select(F.col("class").alias(c), F.col("vals").alias(v))
     aligned = lambda pairs: pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_align, _ALIGNED)
 
     def compare(pairs: DataFrame) -> DataFrame:
-        return aligned(pairs).filter((F.col("votes") >= least_votes) & (F.col("error") <= most_error)).select("a", "b")
+        return aligned(pairs).filter((F.col("votes") >= F.least(F.lit(least_votes), "places")) & (F.col("error") <= most_error)).select("a", "b")
 
-    _, roots = linked(shared.withColumn("need", F.lit(least_votes)), compare)  # fewer places can't give as many votes
+    _, roots = linked(shared.withColumn("need", F.least(F.lit(least_votes), "places")), compare)  # fewer places can't give as many votes
     known = written(classes.select("class_key", "class", "class_id").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node"))
     # the smallest id that isn't null, and the class that has it
     firsts = known.groupBy("root").agg(F.min(F.when(F.col("class_id").isNotNull(), F.struct("class_id", "class"))).alias("first"), F.min("class").alias("any"))

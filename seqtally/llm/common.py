@@ -46,6 +46,15 @@ def slices(batch: pa.RecordBatch, at: int, rows: int = SLICE_ROWS, size: int = S
         i = j
 
 
+def given_back(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of ``it``; after each, and at the end, Arrow's free memory goes back to the system, as workers stay when a task is done."""
+    for batch in it:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and a lost executor costs nothing that is done."""
     spark = df.sparkSession

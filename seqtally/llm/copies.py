@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqtally.llm.common import slices, spread_join, written
+from seqtally.llm.common import given_back, slices, spread_join, written
 from seqtally.llm.components import linked
 from seqtally.llm.kernels import column_bytes
 
@@ -89,7 +89,7 @@ def confirm(table: DataFrame, texts: DataFrame, sets_of: Callable, name_of: Call
     nodes = written(table.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("root").alias("root")).withColumn("at", F.monotonically_increasing_id()))
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in given_back(it):
             for piece in slices(batch, 0):
                 found = list(sets_of(*column_bytes(piece.column(0))))
                 own = pa.array([name_of(x) == n for x, n in zip(found, piece.column(1).to_pylist(), strict=True)], pa.bool_())  # ids may repeat

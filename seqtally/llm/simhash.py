@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, field, slices, spread_join, written
+from seqtally.llm.common import arrow_schema, field, given_back, slices, spread_join, written
 from seqtally.llm.components import components
 from seqtally.llm.copies import confirm
 from seqtally.llm.kernels import column_bytes, gather, runs, words
@@ -120,7 +120,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
-        for whole in it:
+        for whole in given_back(it):
             for batch in slices(whole, 1):
                 fp, node = [np.empty(0, np.uint64)], []
                 for x in shingle_hashes(*column_bytes(batch.column(1)), shingle):

@@ -374,7 +374,7 @@ def brute_align(prints):
     for x, i in enumerate(ids):
         for j in ids[:x]:
             f = brute_alignment(prints[i], prints[j])
-            if f and f[1] >= 2 and f[2] <= 0.25:
+            if f and f[1] >= min(2, len(prints[i]) - 1, len(prints[j]) - 1) and f[2] <= 0.25:
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     out = []
@@ -402,6 +402,10 @@ def test_alignments_against_all_pairs(spark, monkeypatch):
             v = np.concatenate([np.full(int(rng.integers(3, 40)), 9, np.uint32), v])
         prints[k] = v
     prints[70], prints[71] = prints[3], np.full(200, 9, np.uint32)
+    for k in range(12):  # of one landmark and of two, alone, in longer ones, and with bits that differ
+        v = base[k % 4]
+        prints[80 + k] = v[30 : 32 + k % 2].copy() if k < 8 else v[30:33] ^ np.array([0, 0, [0, 1, 0xFFFFFFFF, 0xFFFF0000][k - 8]], np.uint32)
+        prints[100 + k] = np.array([9, 9, *([7] * (k % 3))], np.uint32)
     table = spark.createDataFrame([(k, bytes(v.astype("<u4"))) for k, v in prints.items()], "id long, audio binary").coalesce(1)
     monkeypatch.setattr(chroma, "fingerprints", given(prints))
     want = brute_align(prints)
