@@ -21,8 +21,20 @@ from seqtally.llm.toxicity import score, train
 SHINGLE, BITS, SIMILARITY = 5, 3, 0.8
 
 
+#: Rows of a batch that goes to a Python worker, at most: a document has some thousand bytes, and a long one much more.
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From here on the session's batches are small, so that a task's buffers on either side of a worker's pipe are."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.3 or more go.  The model is fitted on the labelled rows of ``docs``; empty and null texts score its bias."""
+    _small_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score(_hidden(docs), model).filter("predicted = 0")
     return scored.select(*_shown(docs))
@@ -35,6 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     SimHash fingerprints unite most of them, and a prefix filter over all sets finds the others.  Texts of fewer words are one shingle; those
     without words, null ones too, are copies of each other.  Documents with a null id, which can't be told apart, stay.
     """
+    _small_batches(spark)
     groups = near_duplicates(docs, shingle=SHINGLE, distance=BITS, least=SIMILARITY)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -45,6 +58,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of documents with equal ids none counts as earlier, and a null id is later than any other.
     """
+    _small_batches(spark)
     out = remove_repeats(_hidden(docs))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return out.select(*_shown(docs, text))
@@ -52,11 +66,13 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in angle brackets; a null text stays null and an empty one empty."""
+    _small_batches(spark)
     return find_personal_data(_hidden(docs), masked=True).select(*_shown(docs, F.col("masked_text")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 ids; a null or empty text is its end id alone, repeated rows are packed each."""
+    _small_batches(spark)
     return pack(docs)
 
 
