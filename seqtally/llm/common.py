@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -46,13 +47,21 @@ def slices(batch: pa.RecordBatch, at: int, rows: int = SLICE_ROWS, size: int = S
         i = j
 
 
+def give_back() -> None:
+    """Free memory of Arrow and of the C library, if that can, goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def given_back(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches of ``it``; after each, and at the end, Arrow's free memory goes back to the system, as workers stay when a task is done."""
+    """The batches of ``it``; after each, and at the end, free memory goes back to the system, as workers stay when a task is done."""
     for batch in it:
         yield batch
         del batch
-        pa.default_memory_pool().release_unused()
-    pa.default_memory_pool().release_unused()
+        give_back()
+    give_back()
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:

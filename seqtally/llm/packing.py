@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, batches, field, slices, written
+from seqtally.llm.common import arrow_schema, batches, field, given_back, slices, written
 from seqtally.llm.tokens import default_vocabulary, encode_column
 
 WINDOW = 2048
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         part = TaskContext.get().partitionId()
         target = arrow_schema(schema)
         packer, rows = Packer(part << 32, window, open_windows, max_pad), _rows(target)
-        for batch in it:
+        for batch in given_back(it):
             for piece in slices(batch, 1):
                 ids, offsets = encode_column(piece.column(1), path, end_id)
                 for k, doc_id in enumerate(piece.column(0).to_pylist()):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, scratch, written
+from seqtally.llm.common import arrow_schema, give_back, given_back, scratch, written
 from seqtally.llm.kernels import column_bytes, digests, gather, runs, sequence_hashes, words
 
 WINDOW, BLOCK = 13, 7
@@ -60,7 +60,7 @@ def _chunk_rows(text_index: int, schema: pa.Schema):
             seq, held, size = seq + 1, [], 0
             return out
 
-        for batch in it:
+        for batch in given_back(it):
             batch = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema, strict=True)], schema=schema)
             data, offsets = column_bytes(batch.column(text_index))
             for i, j in runs(offsets, CHUNK_BYTES // 4):
@@ -206,6 +206,7 @@ def _answers(pdf: pd.DataFrame, counts: list[int], yes: np.ndarray) -> pd.DataFr
 
 def _shared_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one range of hashes: bits of those that stand in two documents and are an indexed block of one."""
+    give_back()
     zstd, keys, flags, counts = zstandard.ZstdDecompressor(), [], [], pdf["n"].tolist()
     for n, payload in zip(counts, pdf["payload"].tolist(), strict=True):
         raw = zstd.decompress(payload)
@@ -228,6 +229,7 @@ def _shared_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _smaller_elsewhere(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one range of hashes: bits of a chunk's windows that also start in a smaller document of another chunk."""
+    give_back()
     zstd, a, b, least, counts = zstandard.ZstdDecompressor(), [], [], [], pdf["n"].tolist()
     for n, payload in zip(counts, pdf["payload"].tolist(), strict=True):
         raw = zstd.decompress(payload)
@@ -281,8 +283,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdCompressor(level=1)
         target = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
-        for batch in it:
+        for batch in given_back(it):
             for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                give_back()
                 anchors = _Anchors(opened(payload.as_py(), 1)[1], parts, window, block)
                 aligned, several = anchors.flags()
                 out = []
@@ -294,6 +297,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
 
     def extend(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         zstd, out = zstandard.ZstdCompressor(level=1), []
         for chunk, payload in zip(left["chunk"].tolist(), left["payload"].tolist(), strict=True):
             rows, w = opened(payload, 2)
@@ -308,6 +312,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out_schema = T.StructType([*docs.schema.fields, *new])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         target = arrow_schema(out_schema)
         right = right.to_pandas()
         out = []

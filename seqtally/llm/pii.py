@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, slices
+from seqtally.llm.common import arrow_schema, given_back, slices
 from seqtally.llm.kernels import column_bytes, runs, words
 
 #: Kinds in the order in which spans that start together are listed; the last two come from the random field alone.
@@ -391,7 +391,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", lines: tuple[str
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
-        for whole in it:
+        for whole in given_back(it):
             for batch in slices(whole, at):
                 base, every = find(*column_bytes(batch.column(at)), model)
                 columns = [c.cast(f.type) for c, f in zip(batch.columns, target, strict=False)]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, field, slices
+from seqtally.llm.common import arrow_schema, field, given_back, slices
 from seqtally.llm.kernels import column_bytes, runs, span_hashes, words
 
 HASH_BITS = 18
@@ -253,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
+        for whole in given_back(it):
             for batch in slices(whole, 1):
                 doc, feature = features(*column_bytes(batch.column(1)))
                 order = np.argsort(doc, kind="stable")
@@ -280,7 +280,7 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
-        for whole in it:
+        for whole in given_back(it):
             for batch in slices(whole, at):
                 s = model.score(batch.num_rows, *features(*column_bytes(batch.column(at))))
                 columns = [c.cast(f.type) for c, f in zip(batch.columns, target, strict=False)]
