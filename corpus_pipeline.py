@@ -21,8 +21,8 @@ from seqtally.llm.toxicity import score, train
 SHINGLE, BITS, SIMILARITY = 5, 3, 0.8
 
 
-#: Rows of a batch that goes to a Python worker, at most: a document has some thousand bytes, and a long one much more.
-BATCH_ROWS = 2000
+#: Rows and bytes of a batch that goes to a Python worker, at most: a document has some thousand bytes, and a long one much more.
+BATCH_ROWS, BATCH_BYTES = 2000, "8m"
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -30,6 +30,7 @@ def _small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
