@@ -73,7 +73,7 @@ def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts: an order for prefixes, of which any is right."""
-    top = counts.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
+    top = counts.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()  # columns, not rows, on the driver
     key, count = top["key"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
     order = np.argsort(key)
     return key[order], count[order]

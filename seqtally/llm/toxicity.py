@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtally.llm.common import arrow_schema, field, given_back, slices
+from seqtally.llm.common import arrow_schema, field, give_back, given_back, slices
 from seqtally.llm.kernels import column_bytes, runs, span_hashes, words
 
 HASH_BITS = 18
@@ -265,7 +265,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     joined = source.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most most_rows rows
     rows = joined.mapInArrow(run, T.StructType([field(joined, "doc_id"), T.StructField("label", T.IntegerType()), T.StructField("features", T.BinaryType())])).toArrow()
     rows = rows.sort_by("doc_id")  # whatever order tasks end in, the sums are the same
-    return fit([np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("features")] or [np.empty(0, np.int32)], rows.column("label").to_numpy().astype(np.int64) if rows.num_rows else np.zeros(1, np.int64))
+    model = fit([np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("features")] or [np.empty(0, np.int32)], rows.column("label").to_numpy().astype(np.int64) if rows.num_rows else np.zeros(1, np.int64))
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
