@@ -285,7 +285,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         target = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
         for batch in given_back(it):
             for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                give_back()
                 anchors = _Anchors(opened(payload.as_py(), 1)[1], parts, window, block)
                 aligned, several = anchors.flags()
                 out = []
@@ -293,8 +292,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     i, j = anchors.bounds[p], anchors.bounds[p + 1]
                     raw = _planes(_deltas((anchors.key[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32))) + np.packbits(aligned[i:j]).tobytes() + np.packbits(several[i:j]).tobytes()
                     out.append((p, chunk, int(j - i), zstd.compress(raw)))
+                del anchors, aligned, several  # before the next chunk's are made
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+                out = []
+                give_back()
 
     def extend(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         give_back()
