@@ -27,7 +27,7 @@ from seqtally.llm.kernels import column_bytes
 
 #: Sets whose documents' ids are broadcast, at most (four numbers each).
 MOST_BROADCAST = 1 << 21
-#: Stars at most before all rows that meet are compared, and how many rows each row may meet without another star.
+#: Stars at most before all rows that meet are compared, and how many rows each row may meet without another star; none follows one that hasn't halved what meets.
 STARS, MEETING = 3, 4
 #: Shingles counted at once; counts of less than LOCAL among them are not passed on, nor are more than FREQUENT shingles kept.
 COUNTED, LOCAL, FREQUENT = 1 << 20, 4, 1 << 18
@@ -130,9 +130,9 @@ def united(members: DataFrame, compare: Callable[[DataFrame], DataFrame], hints:
     """(node, root) of each node that is linked, among the nodes whose rows (key, node, size, most) meet.
 
     ``compare`` takes distinct pairs (a, b) and gives those accepted.  A star over ``hints``, rows of the same kind, goes first, then stars over
-    ``members``, which unite a large group at a cost of its size, for as long as many rows meet others of another root, and at last all pairs that meet and are apart.
+    ``members``, which unite a large group at a cost of its size, for as long as that helps and many rows meet others of another root, and at last all pairs that meet and are apart.
     """
-    links, roots = None, None
+    links, roots, before = None, None, float("inf")
 
     def link(pairs: DataFrame) -> None:
         nonlocal links, roots
@@ -148,11 +148,11 @@ def united(members: DataFrame, compare: Callable[[DataFrame], DataFrame], hints:
         rows, pairs = now.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("major")).alias("m")).agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("m"))).first()
         if not rows:
             break
-        last = k == STARS or pairs <= MEETING * rows
+        last = k == STARS or pairs <= MEETING * rows or 2 * pairs > before
         link(_all(now) if last else _star(now, k))
         if last:
             break
-        members = now.select(*_ROW)  # what meets nothing now won't later
+        before, members = pairs, now.select(*_ROW)  # what meets nothing now won't later
     return members.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
 
 
