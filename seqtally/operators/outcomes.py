@@ -2,17 +2,19 @@
 
 Hits, the nearest barcodes and the choice among hits are array functions, so all results of a design come from one scan and one
 aggregation, in batches and in streams alike.  Barcodes are compared one by one, so pools have MOST_BRUTE barcodes at most.
+``tally`` finds the same by array operations over many reads (``arrays``) where a design has one read and pools.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtally.functions.bases import IUPAC, canonical, let, reverse_complement
+from seqtally.operators import arrays
 from seqtally.operators import handlers as H
 from seqtally.operators.lookup import MOST_BRUTE, nearest_in_row
 from seqtally.operators.pool import BarcodePool
@@ -231,13 +233,25 @@ def outcome(design: H.Handler) -> Column:
     raise TypeError(f"no outcome inside a row for {type(design).__name__}")
 
 
+def _steps(design: H.Handler) -> list[tuple[str, list[str], arrays.Single]] | None:
+    """(kind, columns, what finds them) of a design of single reads with pools, in the order in which they count; None for others."""
+    if isinstance(design, H.DualBarcodes):
+        return [(MATCH, ["idx"], arrays.Single(design.template, design.k, design.strand.reversed_flags, [_within(design.pool)], design.duplicates, design.use_first, joined=True))]
+    return None
+
+
 def tally(reads: DataFrame, design: H.Handler, weight: str | None = None) -> DataFrame:
     """(kind, columns of the result, count): all results of a design from one scan and one aggregation.
 
     Reads without a result are counted under a null kind, so the counts add up to all reads.  Of a stream this is its only aggregation, for the
     output modes update and complete.  ``weight``: a column that says how many reads a row stands for.
     """
-    columns = columns_of(design)
+    columns, steps = columns_of(design), _steps(design)
+    if steps is not None:
+        # upper case is Spark's, as in the row: a character may become two
+        given = reads.select(F.upper("seq").alias("text"), F.length("seq").alias("letters"), *([F.col(weight).cast("long").alias("_w")] if weight else []))
+        found = given.mapInArrow(partial(arrays.outcomes, steps, columns, weight is not None), ", ".join(["kind string", *(f"{c} int" for c in columns), "_w long"]))
+        return found.groupBy("kind", *columns).agg(F.sum("_w").alias("count"))
     made = reads.select(outcome(design).alias("_o"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
     return made.select("_o.kind", *(f"_o.{c}" for c in columns), "_w").groupBy("kind", *columns).agg(F.sum("_w").alias("count"))
 

@@ -357,12 +357,16 @@ def streaming_single_se(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("streaming_single_se", streaming_single_se, O.query(O.single("m", "reads", "seq", S.ONE, "pool1", 1, False), "select idx, count(*) as count from m group by idx"))
 
 
+#: Bytes of a row group of a stream's files: a row group is read by one task.
+ROW_GROUP = 8 << 20
+
+
 def streamed(design: Callable[[], H.Handler], source: Query, schema: str, in_state: bool = True) -> Query:
-    """Four files of reads, two in each micro-batch; counts are in the state store, or added up from those of each batch."""
+    """Four files of reads, two in each micro-batch, in row groups that are tasks; counts are in the state store, or added up from those of each batch."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = scratch(spark)
-        source(spark, sf_dir).repartition(4).write.parquet(f"{base}/in")
+        source(spark, sf_dir).repartition(4).write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/in")
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
         made = design()
         if not in_state:
