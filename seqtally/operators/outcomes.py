@@ -235,6 +235,8 @@ def outcome(design: H.Handler) -> Column:
 
 def _steps(design: H.Handler) -> list[tuple[str, list[str], arrays.Single]] | None:
     """(kind, columns, what finds them) of a design of single reads with pools, in the order in which they count; None for others."""
+    if isinstance(design, H.SingleBarcode):
+        return [(MATCH, ["idx"], arrays.Single(design.template, design.k, design.strand.reversed_flags, [_within(design.pool)], design.duplicates, design.use_first))]
     if isinstance(design, H.DualBarcodes):
         return [(MATCH, ["idx"], arrays.Single(design.template, design.k, design.strand.reversed_flags, [_within(design.pool)], design.duplicates, design.use_first, joined=True))]
     return None

@@ -43,3 +43,9 @@ def same(r, d):
 @pytest.mark.parametrize(("first", "duplicates"), [(True, Duplicates.FIRST), (False, Duplicates.NONE), (False, Duplicates.LAST)])
 def test_tuples_of_one_read(spark, strand, first, duplicates):
     same(reads(spark), H.DualBarcodes(TWO, POOLS, 2, first, strand, duplicates))
+
+
+@pytest.mark.parametrize(("first", "duplicates"), [(True, Duplicates.LAST), (False, Duplicates.NONE)])
+def test_one_barcode_of_one_read(spark, first, duplicates):
+    same(reads(spark), H.SingleBarcode("AC----GT", POOLS[0], 1, first, Strand.BOTH, duplicates))
+    same(reads(spark), H.SingleBarcode("AC----GT", [], 1, first, Strand.FORWARD, duplicates))
