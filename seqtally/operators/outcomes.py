@@ -239,6 +239,10 @@ def _steps(design: H.Handler) -> list[tuple[str, list[str], arrays.Single]] | No
         return [(MATCH, ["idx"], arrays.Single(design.template, design.k, design.strand.reversed_flags, [_within(design.pool)], design.duplicates, design.use_first))]
     if isinstance(design, H.DualBarcodes):
         return [(MATCH, ["idx"], arrays.Single(design.template, design.k, design.strand.reversed_flags, [_within(design.pool)], design.duplicates, design.use_first, joined=True))]
+    if isinstance(design, H.CombinatorialBarcodes):
+        return [(COMBINATION, design.idx, arrays.Single(design.template, design.k, design.strand.reversed_flags, [_within(p) for p in design.pools], design.duplicates, design.use_first))]
+    if isinstance(design, H.DualBarcodesDiagnostics):
+        return [*_steps(design.dual), *_steps(design.combo)]
     return None
 
 

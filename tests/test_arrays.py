@@ -49,3 +49,7 @@ def test_tuples_of_one_read(spark, strand, first, duplicates):
 def test_one_barcode_of_one_read(spark, first, duplicates):
     same(reads(spark), H.SingleBarcode("AC----GT", POOLS[0], 1, first, Strand.BOTH, duplicates))
     same(reads(spark), H.SingleBarcode("AC----GT", [], 1, first, Strand.FORWARD, duplicates))
+
+
+def test_tuples_and_what_reads_hold_instead(spark):
+    same(reads(spark), H.DualBarcodesDiagnostics(TWO, POOLS, max_mismatches=1, use_first=False, strand=Strand.BOTH, duplicates=Duplicates.NONE))
