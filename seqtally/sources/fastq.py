@@ -1,10 +1,10 @@
 """FASTQ files as DataFrames: whole, in byte ranges, in pairs, or as streams.
 
 ``format("fastq")`` is a Python data source.  Without an index a file is one task, since a record can span lines and
-``@`` may begin a line of qualities, so that no place in a file is safe to split at.  ``index_fastq`` makes an index: each byte range of a plain or
-block-gzipped file is read once from where its first record seems to begin, which tells where its last one ends; a guess
-counts only if the range before ends there, and ranges with a wrong one are read again from the right place.  Sums over ranges
-number the records.  With the index every range is a task, and no text is shuffled.  ``format("fastq_pairs")`` reads both files of a pair
+``@`` may begin a line of qualities, so that no place in a file is safe to split at.  ``index_fastq`` makes an index: each run of byte ranges of a plain
+file, or range of a block-gzipped one, is read once from where its first record seems to begin, which tells where its last one ends; a guess
+counts only if the run before ends there, and runs with a wrong one are read again from the right place.  Sums over ranges
+number the records.  With the index runs of ranges are tasks, and no text is shuffled.  ``format("fastq_pairs")`` reads both files of a pair
 in step.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from seqtally.scratch import scratch
-from seqtally.sources.records import Records, file_infos, file_system, likely_start, open_range, parse
+from seqtally.sources.records import BLOCK, Records, file_infos, file_system, likely_start, open_plain, open_range, parse
 
 __all__ = ["index_fastq", "pair", "parse", "read_fastq", "read_fastq_pairs", "read_fastq_ranges", "read_fastq_strict", "stream_fastq", "with_read_id", "write_fastq"]
 
@@ -28,6 +29,8 @@ __all__ = ["index_fastq", "pair", "parse", "read_fastq", "read_fastq_pairs", "re
 RECORD_BITS = 40
 #: Bytes of a range.
 SPLIT = 64 << 20
+#: Bytes of a task of several ranges, at most, and how many tasks there are at least where there are as many ranges.
+RUN, TASKS = 32 << 20, 64
 UNEQUAL = "different number of reads in paired FASTQ files"
 
 
@@ -45,6 +48,9 @@ class Piece(InputPartition):
 
     def records(self, strip_cr: bool, on: bool = False, texts: bool = True) -> Records:
         """``on``: past the end of the range, to that of the file."""
+        plain = open_plain(self.path, self.begin + self.start)
+        if plain is not None:
+            return Records(plain, strip_cr, None if on or self.end is None else self.end - self.begin - self.start, self.line, texts)
         data, rest = open_range(self.path, self.begin, self.end)
         if data is None:
             return Records(rest, strip_cr, None, self.line, texts)
@@ -56,29 +62,66 @@ class Piece(InputPartition):
         return Records(blocks(), strip_cr, None if on else max(0, len(data) - self.start), self.line, texts)
 
 
-def _pieces(options: dict, path: str, index: str) -> list[Piece]:
-    """The pieces of an index, or the files of a path."""
+class Run(InputPartition):
+    """Ranges of one file, one after another, as one task; ``marks`` has (begin, end, start, record, line) of each, -1 for the end of the file."""
+
+    def __init__(self, path: str, file_no: int, marks: np.ndarray):
+        super().__init__(path)
+        self.path, self.file_no, self.marks = path, file_no, marks
+        self.record = int(marks[0, 3])
+
+    def piece(self, k: int, last: int | None = None) -> Piece:
+        begin, _, start, record, line = self.marks[k].tolist()
+        end = int(self.marks[k if last is None else last, 1])
+        return Piece(self.path, self.file_no, begin, None if end < 0 else end, start, record=record, line=line)
+
+    def records(self, strip_cr: bool) -> Iterator[tuple[pa.Array, pa.Array]]:
+        if len(self.marks) == 1 or open_plain(self.path, 0) is not None:
+            yield from self.piece(0, -1).records(strip_cr)
+        else:
+            for k in range(len(self.marks)):
+                yield from self.piece(k).records(strip_cr)
+
+
+def per_run(ranges: int, size: int) -> int:
+    """Ranges of ``size`` bytes that make a task."""
+    return max(1, min(RUN // max(1, size), -(-ranges // TASKS)))
+
+
+def _files(options: dict, path: str, index: str) -> list[Run]:
+    """All ranges of each file of an index, or the files of a path."""
     if options.get(index):
         fs, name = file_system(options[index])
-        rows = pq.read_table(name, filesystem=fs).sort_by([("file_no", "ascending"), ("begin", "ascending")]).to_pylist()
-        return [Piece(**r) for r in rows]
+        rows = pq.read_table(name, filesystem=fs).sort_by([("file_no", "ascending"), ("begin", "ascending")])
+        marks = np.stack([rows[c].fill_null(-1).to_numpy() for c in ("begin", "end", "start", "record", "line")], 1)
+        no = rows["file_no"].to_numpy()
+        cuts = [*np.flatnonzero(np.append(True, no[1:] != no[:-1])).tolist(), len(no)] if len(no) else []
+        return [Run(rows["path"][a].as_py(), int(no[a]), marks[a:b]) for a, b in zip(cuts, cuts[1:])]
     if not options.get(path):
         raise ValueError("a path is needed")
-    found = [Piece(p, i) for i, p in enumerate(list_files(options[path]))]
+    found = [Run(p, i, np.array([[0, -1, 0, 0, 0]])) for i, p in enumerate(list_files(options[path]))]
     if not found:
         raise ValueError(f"no such file: {options[path]}")
     return found
 
 
+def _runs(files: list[Run]) -> Iterator[list[Run]]:
+    """The tasks of each file."""
+    size = max((int((f.marks[:, 1] - f.marks[:, 0]).max()) for f in files), default=0)
+    step = per_run(sum(len(f.marks) for f in files), size) if size > 0 else 1
+    for f in files:
+        yield [Run(f.path, f.file_no, f.marks[i : i + step]) for i in range(0, len(f.marks), step)]
+
+
 def _strip_cr(options: dict) -> bool:
     return str(options.get("strip_cr", "false")).lower() == "true"
 
 
-def _rows(piece: Piece, names: list[str], strip_cr: bool) -> Iterator[pa.RecordBatch]:
+def _rows(piece: Piece | Run, names: list[str], strip_cr: bool) -> Iterator[pa.RecordBatch]:
     first = piece.record
     for name, seq in piece.records(strip_cr):
         n = len(seq)
-        make = {"file": lambda: pa.array([piece.path] * n), "file_no": lambda: pa.array([piece.file_no] * n, pa.int32()), "record_no": lambda: pa.array(range(first, first + n), pa.int64()), "name": lambda: name, "seq": lambda: seq}  # noqa: B023  used at once
+        make = {"file": lambda: pa.repeat(piece.path, n), "file_no": lambda: pa.repeat(pa.scalar(piece.file_no, pa.int32()), n), "record_no": lambda: pa.array(np.arange(first, first + n)), "name": lambda: name, "seq": lambda: seq}  # noqa: B023  used at once
         yield pa.RecordBatch.from_arrays([make[c]() for c in names], names=names)
         first += n
 
@@ -86,12 +129,12 @@ def _rows(piece: Piece, names: list[str], strip_cr: bool) -> Iterator[pa.RecordB
 class FastqReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.names, self.strip_cr = schema.fieldNames(), _strip_cr(options)
-        self.pieces = _pieces(options, "path", "index")
+        self.pieces = [r for runs in _runs(_files(options, "path", "index")) for r in runs]
 
     def partitions(self) -> list[InputPartition]:
         return self.pieces
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
         return _rows(partition, self.names, self.strip_cr)
 
 
@@ -143,9 +186,9 @@ class FastqSource(DataSource):
 
 
 class PairedPiece(InputPartition):
-    """Records of a piece of one file, and those at the same places of the other file, ``skip`` records into a piece of it."""
+    """Records of a run of one file, and those at the same places of the other file, ``skip`` records into a piece of it."""
 
-    def __init__(self, one: Piece, two: Piece, skip: int, last: bool):
+    def __init__(self, one: Run, two: Piece, skip: int, last: bool):
         super().__init__((one.path, two.path))
         self.one, self.two, self.skip, self.last = one, two, skip, last
 
@@ -153,19 +196,16 @@ class PairedPiece(InputPartition):
 class FastqPairsReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.names, self.strip_cr = schema.fieldNames(), _strip_cr(options)
-        sides = [_pieces(options, f"path{k}", f"index{k}") for k in (1, 2)]
-        files = [{n: [p for p in side if p.file_no == n] for n in sorted({p.file_no for p in side})} for side in sides]
-        if len(files[0]) != len(files[1]):
-            raise ValueError(f"different number of paired FASTQ files ({len(files[0])} and {len(files[1])})")
-        self.pieces = [p for n, m in zip(*files, strict=True) for p in self._matched(files[0][n], files[1][m])]
+        one, two = (_files(options, f"path{k}", f"index{k}") for k in (1, 2))
+        if len(one) != len(two):
+            raise ValueError(f"different number of paired FASTQ files ({len(one)} and {len(two)})")
+        self.pieces = [p for runs, other in zip(_runs(one), two, strict=True) for p in self._matched(runs, other)]
 
     @staticmethod
-    def _matched(one: list[Piece], two: list[Piece]) -> Iterator[PairedPiece]:
-        k = 0
-        for i, piece in enumerate(one):
-            while k + 1 < len(two) and two[k + 1].record <= piece.record:
-                k += 1
-            yield PairedPiece(piece, two[k], piece.record - two[k].record, i + 1 == len(one))
+    def _matched(runs: list[Run], two: Run) -> Iterator[PairedPiece]:
+        for i, run in enumerate(runs):
+            k = int(np.searchsorted(two.marks[:, 3], run.record, "right")) - 1
+            yield PairedPiece(run, two.piece(k), run.record - int(two.marks[k, 3]), i + 1 == len(runs))
 
     def partitions(self) -> list[InputPartition]:
         return self.pieces
@@ -196,7 +236,7 @@ class FastqPairsReader(DataSourceReader):
                     raise unequal(at, two)
                 n = min(len(seq) - done, len(held[0]))
                 make = {
-                    "read_id": lambda: pa.array(range(first, first + n), pa.int64()),  # noqa: B023  used at once
+                    "read_id": lambda: pa.array(np.arange(first, first + n)),  # noqa: B023  used at once
                     "name1": lambda: name.slice(done, n),  # noqa: B023
                     "seq1": lambda: seq.slice(done, n),  # noqa: B023
                     "name2": lambda: held[0].slice(0, n),  # noqa: B023
@@ -243,72 +283,112 @@ def stream_fastq(spark: SparkSession, path: str, **options) -> DataFrame:
 def index_fastq(spark: SparkSession, path: str, split: int = SPLIT, strip_cr: bool = False, to: str | None = None) -> str:
     """Writes the index of a path's files and returns where: one row for each range of ``split`` bytes in which a record begins.
 
-    Files are read once, in ranges; a range whose first record was looked for in the wrong place once more.  What can't be parsed is no
-    error here, but to who reads that range.  The driver holds a row of numbers for each range.
+    Files are read once, in runs of ranges (block-gzipped ones in ranges); one whose first record was looked for in the wrong place once more.  What can't be
+    parsed is no error here, but to who reads that range.  The driver holds a row of numbers for each range.
     """
     infos = file_infos(path)
     if not infos:
         raise ValueError(f"no such file: {path}")
-    ranges = [(n, p, at, min(at + split, size) if at + split < size else None) for n, (p, size, _) in enumerate(infos) for at in range(0, max(size, 1), split)]
+    sizes = [size for _, size, _ in infos]
+    step = split * per_run(sum(-(-size // split) for size in sizes), split)
+    runs = []
+    for n, (p, size, _) in enumerate(infos):
+        own = split if open_plain(p, 0) is None else step
+        runs += [(n, p, at, min(at + own, size) if at + own < size else None) for at in range(0, max(size, 1), own)]
+
+    def plain(file: str, begin: int, size: int, start: int, whole: bool) -> tuple:
+        """What a run of a plain file has from its first record on; whole: to the end of the file."""
+        records = Records(open_plain(file, begin + start, min(BLOCK, max(split, 1 << 16))), strip_cr, None, texts=False)
+        marks = []
+        for lo in range(0, max(size, 1), split):
+            hi, at = min(lo + split, size), start + records.at
+            if at >= hi and (begin or lo):  # one record goes on over the whole range
+                continue
+            n, line = records.n, records.line
+            records.limit = None if whole and hi == size else hi - start
+            try:
+                for _ in records:
+                    pass
+            except ValueError:
+                return start, size, None, 0, 0, np.array([*marks, (lo, at - lo, 0, n, line)])
+            marks.append((lo, at - lo, records.n - n, n, line))
+        return start, size, 0 if whole else max(0, records.at - size + start), records.n, records.line, np.array(marks, np.int64).reshape(-1, 5)
 
     def scanned(wanted: list[tuple]) -> list:
-        """Of each (file_no, path, begin, end, start): (place in wanted, start, bytes of text, bytes past them, records, lines)."""
+        """Of each (file_no, path, begin, end, start): (place in wanted, start, bytes of text, bytes past them, records, lines, marks).
+
+        marks: (begin in the run, start, records, records and lines of the run before) of each range in which a record begins.
+        """
 
         def scan(row: tuple[int, tuple]) -> tuple:
             k, (n, file, begin, end, start) = row
+            if open_plain(file, 0) is not None:
+                size = (sizes[n] if end is None else end) - begin
+                if start is None and begin:
+                    blocks = open_plain(file, begin, max(1, min(BLOCK, size)))
+                    start = likely_start(next(blocks, b""), blocks, strip_cr)
+                    if start is None:
+                        return k, None, size, 0, 0, 0, None
+                return k, *plain(file, begin, size, start or 0, end is None)
             data, rest = open_range(file, begin, end)
             if data is not None and start is None:
                 start = 0 if not begin else likely_start(data, rest, strip_cr)
                 if start is None:
-                    return k, None, len(data), 0, 0, 0
+                    return k, None, len(data), 0, 0, 0, None
             records = Piece(file, n, begin, end, start or 0).records(strip_cr, texts=False)
+            mark = lambda count: np.array([(0, start or 0, count, 0, 0)])
             try:
                 for _ in records:
                     pass
             except ValueError:
-                return k, start or 0, len(data or b""), None, 0, 0
-            return k, start or 0, len(data or b""), max(0, records.at - len(data or b"") + (start or 0)) if data is not None else 0, records.n, records.line
+                return k, start or 0, len(data or b""), None, 0, 0, mark(0)
+            return k, start or 0, len(data or b""), max(0, records.at - len(data or b"") + (start or 0)) if data is not None else 0, records.n, records.line, mark(records.n)
 
-        tasks = max(1, len(wanted))
+        tasks = max(1, min(len(wanted), max(TASKS, sum(sizes) // RUN)))
         return sorted(spark.sparkContext.parallelize(list(enumerate(wanted)), tasks).map(scan).collect(), key=lambda r: r[0])
 
-    found = scanned([(*r, None) for r in ranges])
+    found = scanned([(*r, None) for r in runs])
     while True:
         wrong, carry, record, line, rows, dead = [], 0, 0, 0, [], False
-        for k, ((n, file, begin, end), (_, start, size, past, count, lines)) in enumerate(zip(ranges, found, strict=True)):
+        for k, ((n, file, begin, end), (_, start, size, past, count, lines, marks)) in enumerate(zip(runs, found, strict=True)):
             if not begin:
                 carry, record, line, dead = 0, 0, 0, False
             if dead:
                 continue
-            if carry >= size and begin:  # one record goes on over the whole range
+            if carry >= size and begin:  # one record goes on over the whole run
                 carry -= size
                 continue
             if start != carry:
                 wrong.append(k)
                 if start is None or past is None:
                     dead = True
-                    found[k] = (k, carry, size, None, 0, 0)
+                    found[k] = (k, carry, size, None, 0, 0, None)
                     continue
-                found[k] = (k, carry, size, past, count, lines)  # what it says about the ranges after it is tried first
+                found[k] = (k, carry, size, past, count, lines, None)  # what it says about the runs after it is tried first
                 carry = past
                 continue
-            rows.append((file, n, begin, end, start, count, record, line))
+            for lo, first, own, before, above in [] if marks is None else marks.tolist():
+                stop = begin + lo + split
+                stop = end if end is not None and stop > end or stop >= sizes[n] else stop
+                rows.append((file, n, begin + lo, stop, first, own, record + before, line + above))
             if past is None:
                 dead = True  # nothing after what can't be parsed is read
                 continue
             carry, record, line = past, record + count, line + lines
         if not wrong:
             break
-        for k, again in zip(wrong, scanned([(*ranges[k], found[k][1]) for k in wrong]), strict=True):
+        for k, again in zip(wrong, scanned([(*runs[k], found[k][1]) for k in wrong]), strict=True):
             found[k] = (k, *again[1:])
     to = to or scratch(spark, "fastq")
+    kinds = {"path": pa.string(), "file_no": pa.int32(), **dict.fromkeys(("begin", "end", "start", "n", "record", "line"), pa.int64())}
+    table = pa.table({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(kinds.items())})
     schema = "path string, file_no int, begin long, end long, start long, n long, record long, line long"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(to)
+    spark.createDataFrame(table, schema).coalesce(1).write.parquet(to)
     return to
 
 
 def read_fastq_ranges(spark: SparkSession, path: str, split: int = SPLIT, index: str | None = None, names: bool = True, **options) -> DataFrame:
-    """read_fastq with a task for each range of ``split`` bytes; the index is made first, unless it is given."""
+    """read_fastq with a task for each range of ``split`` bytes, or of several where there are many; the index is made first, unless it is given."""
     index = index or index_fastq(spark, path, split, _strip_cr(options))
     return read_fastq(spark, path, names, index=index, **options)
 

@@ -132,31 +132,38 @@ def _regular(data: np.ndarray, strip_cr: bool, most: int | None, texts: bool) ->
 class Records:
     """Batches of (names, sequences) from blocks of bytes that begin at a record.
 
-    ``limit``: records that begin at that byte or later are left.  ``n``, ``at`` and ``line`` tell the records read, and the bytes and lines before the next one.
-    ``texts=False`` only counts: four-line records are in no batch.
+    ``limit``: records that begin at that byte or later are left; iteration goes on from there when it is set anew.  ``n``, ``at`` and ``line`` tell the records
+    read, and the bytes and lines before the next one.  ``texts=False`` only counts: no record is in a batch.
     """
 
     def __init__(self, blocks: Iterator[bytes], strip_cr: bool = False, limit: int | None = None, line: int = 0, texts: bool = True):
         self.blocks, self.strip_cr, self.limit, self.line, self.texts = iter(blocks), strip_cr, limit, line, texts
         self.n = self.at = 0
+        self.held, self.parsed = b"", None
 
     def _past(self) -> bool:
         return self.limit is not None and self.at >= self.limit
 
     def __iter__(self) -> Iterator[tuple[pa.Array, pa.Array]]:
-        held, whole = b"", True
-        while whole and not self._past():
-            block = next(self.blocks, None)
-            if block is None:
-                break
-            held = held + block if held else block
-            n, name, seq, used, whole = _regular(np.frombuffer(held, np.uint8), self.strip_cr, None if self.limit is None else self.limit - self.at, self.texts)
+        spent = not self.held
+        while self.parsed is None and not self._past():
+            if spent:
+                block = next(self.blocks, None)
+                if block is None:
+                    break
+                self.held = self.held + block if self.held else block
+            n, name, seq, used, whole = _regular(np.frombuffer(self.held, np.uint8), self.strip_cr, None if self.limit is None else self.limit - self.at, self.texts)
             self.n, self.at, self.line = self.n + n, self.at + used, self.line + 4 * n
-            held = held[used:]
+            self.held, spent = self.held[used:], True
             if n and self.texts:
                 yield name, seq
+            if not whole:
+                break
         if not self._past():
-            yield from self._by_lines(held)
+            if self.parsed is None:
+                held, self.held = self.held, b""
+                self.parsed = parse(self._lines(held), self.strip_cr, self.line)
+            yield from self._by_lines()
 
     def _lines(self, held: bytes) -> Iterator[bytes]:
         while True:
@@ -172,7 +179,7 @@ class Records:
             self.at, self.line = self.at + len(held), self.line + 1
             yield held
 
-    def _by_lines(self, held: bytes) -> Iterator[tuple[pa.Array, pa.Array]]:
+    def _by_lines(self) -> Iterator[tuple[pa.Array, pa.Array]]:
         rows: list[tuple[bytes, bytes]] = []
 
         def batch() -> tuple[pa.Array, pa.Array]:
@@ -180,11 +187,12 @@ class Records:
             rows.clear()
             return out
 
-        for row in parse(self._lines(held), self.strip_cr, self.line):
-            rows.append(row)
+        for row in self.parsed:
             self.n += 1
-            if len(rows) == BATCH:
-                yield batch()
+            if self.texts:
+                rows.append(row)
+                if len(rows) == BATCH:
+                    yield batch()
             if self._past():
                 break
         if rows:
@@ -226,12 +234,19 @@ def _block_size(head: bytes) -> int | None:
     return None
 
 
-def _plain(f: pa.NativeFile, at: int) -> Iterator[bytes]:
+def _plain(f: pa.NativeFile, at: int, size: int = BLOCK) -> Iterator[bytes]:
     f.seek(at)
-    while block := f.read(BLOCK):
+    while block := f.read(size):
         yield block
 
 
+def open_plain(path: str, at: int, size: int = BLOCK) -> Iterator[bytes] | None:
+    """Blocks of a plain file from a byte on, None for a gzipped one."""
+    fs, name = file_system(path)
+    f = fs.open_input_file(name)
+    return None if f.read(2) == b"\x1f\x8b" else _plain(f, at, size)
+
+
 def _blocks(f: pa.NativeFile, at: int) -> Iterator[tuple[int, bytes]]:
     """(place in the file, text) of each block from the first that begins at ``at`` or later."""
     f.seek(at)
