@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from seqtally.scratch import scratch
-from seqtally.sources.records import BLOCK, Records, file_infos, file_system, likely_start, open_plain, open_range, parse
+from seqtally.sources.records import BLOCK, Records, file_infos, file_system, likely_start, open_plain, open_range, parse, text_from
 
 __all__ = ["index_fastq", "pair", "parse", "read_fastq", "read_fastq_pairs", "read_fastq_ranges", "read_fastq_strict", "stream_fastq", "with_read_id", "write_fastq"]
 
@@ -48,9 +48,11 @@ class Piece(InputPartition):
 
     def records(self, strip_cr: bool, on: bool = False, texts: bool = True) -> Records:
         """``on``: past the end of the range, to that of the file."""
+        if on or self.end is None:
+            return Records(text_from(self.path, self.begin, self.start), strip_cr, None, self.line, texts)
         plain = open_plain(self.path, self.begin + self.start)
         if plain is not None:
-            return Records(plain, strip_cr, None if on or self.end is None else self.end - self.begin - self.start, self.line, texts)
+            return Records(plain, strip_cr, self.end - self.begin - self.start, self.line, texts)
         data, rest = open_range(self.path, self.begin, self.end)
         if data is None:
             return Records(rest, strip_cr, None, self.line, texts)
@@ -59,7 +61,7 @@ class Piece(InputPartition):
             yield data[self.start :]
             yield from rest
 
-        return Records(blocks(), strip_cr, None if on else max(0, len(data) - self.start), self.line, texts)
+        return Records(blocks(), strip_cr, max(0, len(data) - self.start), self.line, texts)
 
 
 class Run(InputPartition):

@@ -311,6 +311,23 @@ def open_range(path: str, begin: int, end: int | None) -> tuple[bytes | None, It
     return b"".join(data), rest()
 
 
+def text_from(path: str, begin: int, start: int) -> Iterator[bytes]:
+    """Blocks of a file's text to its end, from the ``start``-th byte of the text of its bytes from ``begin`` on."""
+    fs, name = file_system(path)
+    f = fs.open_input_file(name)
+    head = f.read(64)
+    if head[:2] != b"\x1f\x8b":
+        yield from _plain(f, begin + start)
+    elif _block_size(head) is not None:
+        for _, text in _blocks(f, begin):
+            if start < len(text):
+                yield text[start:]
+            start = max(0, start - len(text))
+    elif not begin:
+        stream = fs.open_input_stream(name, compression="gzip")
+        yield from iter(lambda: stream.read(BLOCK), b"")
+
+
 def likely_start(data: bytes, rest: Iterator[bytes], strip_cr: bool) -> int | None:
     """Where the first record of a range seems to begin: at a line with ``@`` from which LIKELY records, or the end, can be read."""
     text, at = data, 0 if data[:1] == b"@" else data.find(b"\n@") + 1
