@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 
-from seqtally.sources.fastq import Piece
+from seqtally.sources.fastq import FastqPairsReader, Piece
 from seqtally.sources.records import Records
 
 
@@ -41,6 +41,17 @@ def test_a_whole_file_is_never_held(tmp_path, pack, record):
     assert rows and most < 40 << 20  # 80 MB and more before
 
 
+def test_a_pair_of_whole_files_is_never_held(tmp_path):
+    record = b"@r\n" + b"A" * 90 + b"\n+\n" + b"!" * 90 + b"\n"
+    for k in (1, 2):
+        (tmp_path / str(k)).write_bytes(record * ((40 << 20) // len(record)))
+    from pyspark.sql.types import StructType
+
+    reader = FastqPairsReader(StructType().add("seq1", "string").add("seq2", "string"), {f"path{k}": str(tmp_path / str(k)) for k in (1, 2)})
+    rows, most = peak(lambda: next(iter(reader.read(reader.partitions()[0]))).num_rows)
+    assert rows and most < 40 << 20  # 80 MB and more before
+
+
 @pytest.mark.parametrize("limit", [None, 15 << 20])
 def test_records_count_without_batches(limit):
     record = b"@r\nAC\nGT\n+\n!!\n!!\n"
